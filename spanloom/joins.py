@@ -15,14 +15,16 @@ def fits_broadcast(rows: int, row_bytes: int) -> bool:
     return rows * row_bytes <= BROADCAST_BYTES
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, row_bytes: int = 256) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, row_bytes: int = 256, n_left: int | None = None) -> DataFrame:
     """Left join to a table whose ``keys`` are unique.
 
     Keys with more than ``hot_rows`` left rows, of which there are at most ``rows / hot_rows``, are joined to a
     broadcast copy of their right rows, if that copy's size, ``row_bytes`` a row, is within BROADCAST_BYTES; the
     remaining keys go through an ordinary shuffled join. Without hot keys it is one ordinary join. Null keys
-    match nothing.
+    match nothing. Where ``n_left``, the number of left rows, is known and no key can be hot, none is looked for.
     """
+    if n_left is not None and n_left <= hot_rows:
+        return left.join(right, keys, "left")
     some = F.lit(True)
     for k in keys:
         some = some & F.col(k).isNotNull()
