@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from . import cooccurrence, sequences
+from . import components, cooccurrence, overlap, sequences
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,44 @@ def p3_beside_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.select(F.col("item_a").alias("tool_a"), F.col("item_b").alias("tool_b"), F.col("n_ab").alias("n_together"), four(F.col("n_ab") * F.col("n"), F.col("n_a") * F.col("n_b")).alias("lift"), conviction.alias("conviction"), "n_frozen")
 
 
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "trajectories").select("record_id", N.task_key("task_id").alias("task"), N.app_key("app_name").alias("app"))
+    return components.record_groups(rows, "record_id", ["task", "app"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir).filter("n_app >= 2").select("record_id", "group_id")
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split given to every record."""
+    targets = [(r["split_name"], r["target_share"]) for r in _table(spark, sf_dir, "split_targets").collect()]
+    return components.assign_splits(_groups(spark, sf_dir), sorted(targets)).select("record_id", "group_id", "split")
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of records reached, beside their targets."""
+    per = p5_splits(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_records"))
+    total = per.agg(F.sum("n_records").alias("n"))
+    targets = _table(spark, sf_dir, "split_targets").withColumnRenamed("split_name", "split")
+    return targets.join(per, "split", "left").crossJoin(F.broadcast(total)).select("split", F.coalesce("n_records", F.lit(0)).alias("n_records"), "target_share", (F.coalesce("n_records", F.lit(0)) / F.col("n")).alias("share"))
+
+
+def _overlap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "trajectories").select("record_id", N.task_key("task_id").alias("task"), "intent", "split_name", "source")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlaps(_overlap_rows(spark, sf_dir))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation split and source: rows, and how many of them training repeats."""
+    return overlap.report(_overlap_rows(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_beside_frozen)}
+    return {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_beside_frozen, p5_found, p5_splits, p5_shares, p6_found, p6_report)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -65,9 +101,24 @@ def oracle_sql() -> dict[str, str]:
       u AS (SELECT record_id, unnest(tools) AS x FROM b), n AS (SELECT count(DISTINCT record_id) AS n FROM u), k AS (SELECT x, count(*) AS k FROM u GROUP BY x),
       ab AS (SELECT a.x AS tool_a, b.x AS tool_b, count(*) AS n_ab FROM u a JOIN u b ON a.record_id = b.record_id AND a.x < b.x GROUP BY ALL),
       p AS (SELECT tool_a, tool_b, n_ab, n.n, ka.k AS n_a, kb.k AS n_b FROM ab, n, k ka, k kb WHERE ka.x = tool_a AND kb.x = tool_b AND n_ab >= 5 AND 1000 * n_ab >= n.n)"""
+    p5 = f"""WITH RECURSIVE x AS (SELECT record_id, 't:' || {task} AS t, 'a:' || {app} AS a FROM trajectories),
+      e AS (SELECT t AS u, a AS v FROM x WHERE t IS NOT NULL AND a IS NOT NULL UNION SELECT a, t FROM x WHERE t IS NOT NULL AND a IS NOT NULL),
+      n AS (SELECT t AS u FROM x WHERE t IS NOT NULL UNION SELECT a FROM x WHERE a IS NOT NULL),
+      r AS (SELECT u, u AS v FROM n UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+      c AS (SELECT u, min(v) AS root, count(*) FILTER (WHERE v LIKE 'a:%') AS apps FROM r GROUP BY u),
+      g AS (SELECT record_id, root, apps FROM x JOIN c ON c.u = coalesce(t, a))"""
+    p6 = f"""WITH x AS (SELECT record_id, {task} AS task, list_sort(list_distinct({N.words_sql("intent")})) AS w, lower(trim(split_name, ' \t\r\n ')) AS split, source FROM trajectories),
+      tr AS (SELECT * FROM x WHERE split = 'train'), ev AS (SELECT * FROM x WHERE split IN ('validation', 'test')),
+      j AS (SELECT tr.record_id AS a, ev.record_id AS b, tr.task = ev.task AS same_task, tr.w = ev.w AND len(ev.w) > 0 AS exact,
+        len(list_intersect(tr.w, ev.w)) * 10 >= 7 * (len(tr.w) + len(ev.w) - len(list_intersect(tr.w, ev.w))) AND len(tr.w) > 0 AND len(ev.w) > 0 AS alike FROM tr, ev)"""
     return {
         "p1_found": f"{p1} SELECT pattern FROM c",
         "p1_support": f"{p1} SELECT pattern, n_tasks FROM c",
+        "p5_found": f"{p5} SELECT record_id, min(record_id) OVER (PARTITION BY root) AS group_id FROM g WHERE apps >= 2",
+        "p6_found": f"{p6} SELECT least(a, b) AS record_a, greatest(a, b) AS record_b FROM j WHERE same_task OR alike",
+        "p6_report": f"""{p6}, f AS (SELECT b, bool_or(coalesce(exact, false)) AS exact, bool_or(coalesce(alike AND NOT exact, false)) AS near, bool_or(coalesce(same_task, false)) AS same_task FROM j GROUP BY b)
+          SELECT split, source, count(*) AS n_rows, CAST(count(*) FILTER (WHERE exact) AS BIGINT) AS n_exact, CAST(count(*) FILTER (WHERE near) AS BIGINT) AS n_near, CAST(count(*) FILTER (WHERE same_task) AS BIGINT) AS n_same_task,
+          CAST(count(*) FILTER (WHERE exact OR near OR same_task) AS BIGINT) AS n_any FROM ev LEFT JOIN f ON f.b = ev.record_id GROUP BY split, source""",
         "p3_found": f"{p3} SELECT tool_a, tool_b FROM p WHERE n_ab * n >= 8 * n_a * n_b",
         "p3_beside_frozen": f"""{p3}, o AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(n_together) AS n_frozen FROM (SELECT {N.tool_name_sql("tool_a")} AS a, {N.tool_name_sql("tool_b")} AS b, n_together FROM co_occurrence) GROUP BY ALL)
           SELECT tool_a, tool_b, n_ab AS n_together, floor(n_ab * n * 10000 / (n_a * n_b)) / 10000 AS lift, CASE WHEN n_ab < n_a THEN floor(n_a * (n - n_b) * 10000 / (n * (n_a - n_ab))) / 10000 END AS conviction, n_frozen FROM p LEFT JOIN o ON o.a = tool_a AND o.b = tool_b""",
