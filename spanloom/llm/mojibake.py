@@ -49,7 +49,9 @@ MARGIN, STEP = 10.0, 2.0
 ORDINARY = 12.0
 #: States that are expanded, operations in a row, bits by which a state on the way may be dearer than the start.
 MAX_STATES, MAX_DEPTH, SLACK = 8, 4, 20.0
-_CONTEXT = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?|&[#\w]{2,8};")
+_CONTEXT = re.compile(r"[\x00-\x7f]?(?:[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#\d{2,6});)+[\x00-\x7f]?")
+_WORDLIKE = re.compile(r"[a-z][^\x00-\x7f]|[^\x00-\x7f][a-z]|[^\W\d_a-z][^\x00-\x7f]|[^\x00-\x7f][^\W\d_a-z]")
+_NARROW = frozenset(WRITTEN_IN)
 _ALIKE = {c: 48 for c in range(48, 58)} | {c: c + 32 for c in range(65, 91)}
 
 
@@ -126,7 +128,7 @@ class Restorer:
     def cost(self, text: str) -> float:
         return self.bits(text)[0] + 20.0 * len(_BROKEN.findall(text)) + 12.0 * len(_ENTITY.findall(text))
 
-    def _neighbours(self, text: str):
+    def _neighbours(self, text: str, narrow: bool):
         """(state, operation) for each operation that changes the text."""
         if _ENTITY.search(text):
             t = html.unescape(text)
@@ -142,25 +144,36 @@ class Restorer:
             if raw in tried or not any(raw):
                 continue
             tried.add(raw)
-            for dec in ("utf-8",) if enc in READ_AS_WIDE else ("utf-8", *WRITTEN_IN, *WRITTEN_IN_WIDE) if long else ("utf-8", *WRITTEN_IN):
+            for dec in ("utf-8", *(WRITTEN_IN_WIDE if long else ()), *(WRITTEN_IN if narrow else ())) if enc in READ_AS else ("utf-8",):
                 new = {r: v for r, b in zip(runs, raw) if b and (v := _decode(b, dec)) is not None and v != r}
                 if new and dec != enc:
                     yield _RUN.sub(lambda m: new.get(m[0], m[0]), text), (enc, dec)
 
     def search(self, text: str) -> list:
-        """The operations that lead to the cheapest reachable text; none if it isn't cheap enough."""
+        """The operations that lead to the cheapest reachable text; none if it isn't cheap enough.
+
+        Bytes of one encoding always have a meaning in another encoding of single bytes, so such a change is only made
+        once, to the text as it stands, and is weighed where it makes words: letters next to letters.
+        """
         own = self.cost(text)
+        in_words = " ".join(m for m in text.split("\x1f") if _WORDLIKE.search(m))
+        own_words, n_pairs = self.bits(in_words)
         best, best_cost, queue, seen, n = [], own, [(own, 0, text, [])], {hash(text)}, 0
         while queue and n < MAX_STATES:
             cost, _, t, path = heapq.heappop(queue)
             n += 1
             if len(path) == MAX_DEPTH or cost > own + SLACK:
                 continue
-            for u, op in self._neighbours(t):
+            for u, op in self._neighbours(t, narrow=not path):
                 if (k := hash(u)) in seen:
                     continue
                 seen.add(k)
                 c, way = self.cost(u) + STEP * (len(path) + 1), [*path, op]
+                if op and op[1] in _NARROW:
+                    gain = own_words - self.bits(apply(way, in_words))[0]
+                    if gain >= max(self.margin, 2 * n_pairs) and c < best_cost - 1e-9:
+                        best, best_cost = way, c
+                    continue
                 if c < best_cost - 1e-9:
                     best, best_cost = way, c
                 heapq.heappush(queue, (c, len(seen), u, way))
@@ -177,7 +190,9 @@ class Restorer:
         if passage.isascii() and not entity:
             return passage, False
         # what matters are the runs with their neighbours; passages alike in these have one result
-        key = " ".join(_CONTEXT.findall(passage)).translate(_ALIKE)
+        key = "\x1f".join(_CONTEXT.findall(passage))
+        if not entity:
+            key = key.translate(_ALIKE)
         way = self.memo.get(key)
         broken = bool(_BROKEN.search(passage))
         if way is None:

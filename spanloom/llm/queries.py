@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from . import components, cooccurrence, overlap, sequences
+from . import components, cooccurrence, mixing, mojibake, overlap, packing, sequences, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,8 +82,44 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(_overlap_rows(spark, sf_dir))
 
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every text lies, in containers of each kind."""
+    sizes = tokens.token_counts(_table(spark, sf_dir, "documents"))
+    kinds = {r["container_kind"]: (r["capacity_tokens"], max(1, r["capacity_tokens"] // 8), r["capacity_tokens"]) for r in _table(spark, sf_dir, "container_sizes").collect()}
+    placed = packing.pack_items(sizes, kinds)
+    return placed.select(F.col("kind").alias("container_kind"), F.col("container").alias("container_id"), "doc_id", "piece", "from_token", "to_token")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and unused space of each kind."""
+    placed = p8_packing(spark, sf_dir)
+    kinds = _table(spark, sf_dir, "container_sizes")
+    per = placed.groupBy("container_kind").agg(F.count_distinct("container_id").alias("n_containers"), F.sum(F.col("to_token") - F.col("from_token")).alias("n_tokens"))
+    return per.join(F.broadcast(kinds), "container_kind").select("container_kind", "n_containers", "n_tokens", (1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("unused"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each text is drawn."""
+    sizes = tokens.token_counts(_table(spark, sf_dir, "documents"), keep=("source",))
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in _table(spark, sf_dir, "mix_targets").collect()]
+    return mixing.mix(sizes, targets).withColumnRenamed("size", "n_tokens")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached beside their targets."""
+    return mixing.shares(p9_mix(spark, sf_dir).withColumnRenamed("n_tokens", "size"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restore(_table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restore(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_beside_frozen, p5_found, p5_splits, p5_shares, p6_found, p6_report)}
+    return {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_beside_frozen, p5_found, p5_splits, p5_shares, p6_found, p6_report, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
