@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of one key from which the key counts as hot.
@@ -38,3 +38,21 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = H
     a = flagged.filter(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(hot_right), keys, "left")
     b = flagged.filter(F.col("_hot").isNull()).drop("_hot").join(right, keys, "left")
     return a.unionByName(b)
+
+
+def asof_last(left: DataFrame, right: DataFrame, by: str, t: str, value: str, width: int) -> DataFrame:
+    """Backward as-of join: each left row with the ``value`` of the last right row of its ``by`` at or before its ``t``.
+
+    Right rows of equal ``t`` are ordered by value. Times fall into buckets of ``width``: windows run within buckets,
+    and a second window over the buckets' last values carries them on, so one key's rows are spread over many tasks.
+    """
+    bucket = F.floor(F.col(t) / F.lit(width))
+    a = left.withColumn("_b", bucket).withColumn("_side", F.lit(1)).withColumn(value, F.lit(None).cast(right.schema[value].dataType))
+    r = right.withColumn("_b", bucket).withColumn("_side", F.lit(0))
+    w = Window.partitionBy(by, "_b").orderBy(t, "_side", value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = a.unionByName(r, allowMissingColumns=True).withColumn("_near", F.last(value, ignorenulls=True).over(w)).filter("_side = 1").drop(value, "_side")
+    ends = r.groupBy(by, "_b").agg(F.max_by(value, F.struct(t, value)).alias("_end"))
+    asked = near.filter("_near is null").select(by, "_b").distinct().withColumn("_end", F.lit(None).cast(right.schema[value].dataType)).withColumn("_ask", F.lit(1))
+    v = Window.partitionBy(by).orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_ask", F.lit(0)).unionByName(asked).withColumn("_far", F.last("_end", ignorenulls=True).over(v)).filter("_ask = 1").select(by, "_b", "_far")
+    return near.join(carried, [by, "_b"], "left").withColumn(value, F.coalesce("_near", "_far")).drop("_b", "_near", "_far")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import records
+from . import records, traces
 
-MODULES = [records]
+MODULES = [records, traces]
 
 
 def queries() -> dict:
