@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import records, traces
+from . import corpus, records, traces
 
-MODULES = [records, traces]
+MODULES = [records, traces, corpus]
 
 
 def queries() -> dict:
