@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, records, traces
+from . import corpus, evaluation, records, traces
 
-MODULES = [records, traces, corpus]
+MODULES = [records, traces, corpus, evaluation]
 
 
 def queries() -> dict:
