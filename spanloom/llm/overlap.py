@@ -14,6 +14,7 @@ records match each for itself. Whole texts count, however long. Empty input give
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -33,6 +34,11 @@ def _slot(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % _SLOTS
 
 
+def _key(word: str) -> int:
+    """64 bits for a word: equal words meet, and words that happen to share a key only add a candidate."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(_SLOTS, np.int64)
     for rb in batches:
@@ -52,8 +58,8 @@ def _prefixes(counts, t: Fraction):
                 n = len(w)
                 k = n - -(-t.numerator * n // t.denominator) + 1
                 for x in sorted(w, key=lambda x: (often[_slot(x)], x))[:k]:
-                    h.append(key), sizes.append(n), tokens.append(x)
-            yield pa.record_batch([pa.array(h, pa.string()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.string())], names=["h", "n", "token"])
+                    h.append(key), sizes.append(n), tokens.append(_key(x))
+            yield pa.record_batch([pa.array(h, pa.binary()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.int64())], names=["h", "n", "token"])
 
     return run
 
@@ -61,7 +67,7 @@ def _prefixes(counts, t: Fraction):
 def word_classes(records: DataFrame, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Members (all columns and ``h``) and classes (``h``, ``wset``, ``in_train``, ``in_eval``); ``records`` has ``train`` boolean."""
     wset = F.array_sort(F.array_distinct(words(text)))
-    rows = records.withColumn("wset", wset).filter(F.size("wset") > 0).withColumn("h", F.sha2(F.array_join("wset", " "), 256))
+    rows = records.withColumn("wset", wset).filter(F.size("wset") > 0).withColumn("h", F.unhex(F.md5(F.array_join("wset", " "))))
     rows = scratch.cut(rows, "rows")
     classes = rows.groupBy("h").agg(F.first("wset").alias("wset"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
     return rows.drop("wset"), scratch.cut(classes, "classes")
@@ -75,7 +81,7 @@ def matching_classes(classes: DataFrame, threshold: float, scratch: Scratch) ->
     slots = classes.select("wset").mapInArrow(_count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2^18 rows
     counts[slots["slot"].to_numpy(int)] = slots["n"].to_numpy()
     shared = spark.sparkContext.broadcast(counts)
-    pre = scratch.cut(classes.select("h", "wset").mapInArrow(_prefixes(shared, t), "h string, n int, token string"), "prefixes")
+    pre = scratch.cut(classes.select("h", "wset").mapInArrow(_prefixes(shared, t), "h binary, n int, token bigint"), "prefixes")
     side = classes.select("h", "in_train", "in_eval")
     pre = pre.join(side, "h")
     train = pre.filter("in_train").select("token", "n", F.col("h").alias("h_train"))
@@ -119,7 +125,7 @@ def report(records: DataFrame, record_id: str = "record_id", task: str = "task",
     members, classes = word_classes(rows.select("rid", "text", "train", "split", "source", "task"), "text", scratch)
     match = matching_classes(classes, threshold, scratch).groupBy(F.col("h_eval").alias("h")).agg(F.max("exact").alias("exact"), F.max(~F.col("exact")).alias("near"))
     wset = F.array_sort(F.array_distinct(words("text")))
-    ev = rows.filter("not train").withColumn("h", F.when(F.size(wset) > 0, F.sha2(F.array_join(wset, " "), 256)))
+    ev = rows.filter("not train").withColumn("h", F.when(F.size(wset) > 0, F.unhex(F.md5(F.array_join(wset, " ")))))
     tasks = rows.filter("train and task is not null").select("task").distinct().withColumn("has_task", F.lit(True))
     flags = ev.join(match, "h", "left").join(tasks, "task", "left")
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
