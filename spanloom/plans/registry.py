@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, records, traces
+from . import corpus, evaluation, learning, records, streams, traces
 
-MODULES = [records, traces, corpus, evaluation]
+MODULES = [records, traces, corpus, evaluation, learning, streams]
 
 
 def queries() -> dict:
