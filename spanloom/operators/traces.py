@@ -16,6 +16,7 @@ from ..functions.ids import canonical_id, parent_id
 from ..joins import asof_last
 from ..storage import Scratch
 from . import hierarchy
+from .twins import client_twins
 
 
 @dataclass(frozen=True)
@@ -207,7 +208,7 @@ def project(deliveries: DataFrame, config: ProjectionConfig = ProjectionConfig()
     """(traces with ``n_steps`` and ``drop_reason``, steps of all traces in order)."""
     spans = Scratch(deliveries.sparkSession, "project").cut(clean_spans(deliveries), "spans")
     trees = hierarchy.hierarchies(deliveries, with_path=False)
-    tools = innermost_tools(spans, trees)
+    tools = innermost_tools(spans.join(client_twins(spans), ["trace_id", "span_id"], "left_anti"), trees)
     if config.drop_tools:
         tools = tools.filter(~F.col("tool").isin(*config.drop_tools))
     steps = tools.join(nearest_agents(spans), ["trace_id", "span_id"], "left")
