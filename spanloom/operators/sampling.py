@@ -1,5 +1,5 @@
-"""Positives, negative sampling and group splits. Every random choice is an order by hash of seed, decision and tool, so
-results don't depend on partitioning or on retried tasks. The catalog travels as one broadcast array, whose size is
+"""Positives, negative sampling and group splits. Every random choice is a hash of seed and decision, so results don't
+depend on partitioning or on retried tasks. The catalog travels as one broadcast array, whose size is
 checked; sampling then needs no shuffle.
 """
 
@@ -20,21 +20,31 @@ def _catalog_row(catalog: DataFrame, row_bytes: int = 512) -> DataFrame:
     return catalog.agg(F.array_sort(F.collect_list(F.struct("tool", words.alias("words")))).alias("catalog"))
 
 
-def _order(seed: str, decision: Column, tool: Column) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), decision, F.lit(":"), tool))
+def _number(seed: str, decision: Column, what) -> Column:
+    text = F.concat(F.lit(seed + ":"), decision, F.lit(":"), what if isinstance(what, Column) else F.lit(str(what)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
 def _drawn(pool: Column, seed: str, decision: Column, n) -> Column:
-    """The first n of an array of tools in hash order."""
-    keyed = F.array_sort(F.transform(pool, lambda t: F.struct(_order(seed, decision, t).alias("h"), t.alias("t"))))
-    return F.transform(F.slice(keyed, 1, n), lambda x: x["t"])
+    """n tools of an array without replacement, or all if there are fewer; each with the same probability.
+
+    The array, turned by a random offset, is cut into n parts of equal size, and one tool is drawn from each: n + 1 hashes
+    a decision, whatever the catalog's size.
+    """
+    m = F.size(pool).cast("bigint")
+    k = F.least(n if isinstance(n, Column) else F.lit(n), F.size(pool)).cast("bigint")
+    off = _number(seed, decision, "off")
+    edge = lambda j: (j * m / k).cast("bigint")
+    at = lambda j: F.pmod(off + edge(j) + F.pmod(_number(seed, decision, j.cast("string")), edge(j + 1) - edge(j)), m)
+    drawn = F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda j: F.get(pool, at(j).cast("int")))
+    return F.when(k > 0, drawn).otherwise(F.array().cast("array<string>"))
 
 
-def random_negatives(decisions: DataFrame, catalog: DataFrame, key: str, exclude: str, n: int = 3, seed: str = "neg") -> DataFrame:
+def random_negatives(decisions: DataFrame, catalog: DataFrame, key: str, exclude: str, n: int | Column = 3, seed: str = "neg") -> DataFrame:
     """Adds ``negatives``: n tools of the catalog without ``exclude``, or as many as there are."""
     d = decisions.crossJoin(F.broadcast(_catalog_row(catalog)))  # one row
-    pool = F.array_except(F.transform("catalog", lambda c: c["tool"]), F.col(exclude))
-    return d.withColumn("negatives", _drawn(pool, seed, F.col(key).cast("string"), n)).drop("catalog")
+    d = d.withColumn("_pool", F.array_except(F.transform("catalog", lambda c: c["tool"]), F.col(exclude)))
+    return d.withColumn("negatives", _drawn(F.col("_pool"), seed, F.col(key).cast("string"), n)).drop("catalog", "_pool")
 
 
 def hard_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, co_occurrence: DataFrame, key: str = "record_id", n: int = 10, weights: tuple[float, float, float] = (0.4, 0.3, 0.3), seed: str = "neg", column: str = "negatives") -> DataFrame:
@@ -53,7 +63,8 @@ def hard_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, c
     k = F.col(key).cast("string")
     pool = F.array_except(names, F.col("tools"))
     d = d.withColumn("_pool", pool)
-    d = d.withColumn("_same", _drawn(F.array_intersect("_pool", F.coalesce("_app", none)), seed + ":app", k, a))
+    d = d.withColumn("_same", F.array_intersect("_pool", F.coalesce("_app", none)))
+    d = d.withColumn("_same", _drawn(F.col("_same"), seed + ":app", k, a))
     d = d.withColumn("_cand", F.array_except(F.array_intersect(F.coalesce("_co", none), F.col("_pool")), F.col("_same")))
     mine = F.array_distinct(F.flatten(F.transform(F.filter("catalog", lambda x: F.array_contains("tools", x["tool"])), lambda x: x["words"])))
     d = d.withColumn("_words", mine)
@@ -61,8 +72,9 @@ def hard_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, c
     like = F.transform(F.array_sort(F.transform(open_, lambda x: F.struct((-F.size(F.array_intersect(x["words"], F.col("_words")))).alias("s"), x["tool"].alias("t")))), lambda x: x["t"])
     d = d.withColumn("_like", like).withColumn("_like", F.slice("_like", 1, F.lit(s) if s >= 0 else F.greatest(F.lit(0), F.size("_like") + s)))
     d = d.withColumn("_hard", F.concat("_same", F.slice("_cand", 1, c), "_like"))
-    fill = _drawn(F.array_except("_pool", "_hard"), seed + ":fill", k, F.greatest(F.lit(0), F.lit(n) - F.size("_hard")))
-    return d.withColumn(column, F.slice(F.concat("_hard", fill), 1, n)).drop("_app", "_co", "catalog", "_pool", "_same", "_cand", "_words", "_like", "_hard")
+    d = d.withColumn("_rest", F.array_except("_pool", "_hard"))
+    fill = _drawn(F.col("_rest"), seed + ":fill", k, F.greatest(F.lit(0), F.lit(n) - F.size("_hard")))
+    return d.withColumn(column, F.slice(F.concat("_hard", fill), 1, n)).drop("_app", "_co", "catalog", "_pool", "_same", "_cand", "_words", "_like", "_hard", "_rest")
 
 
 def mixed_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, co_occurrence: DataFrame, key: str = "record_id", n: int = 10, hard_ratio: float = 0.5, seed: str = "neg") -> DataFrame:

@@ -34,7 +34,8 @@ def scored(spark, sf_dir):
     pop = freq.crossJoin(F.broadcast(top)).select(F.col("tool").alias("tool_name"), (F.col("n_records") / F.col("most")).alias("popularity"))
     pool = corpus.app_tools(train).select("app", F.explode("tools").alias("tool_name")).join(pop, "tool_name").groupBy("app").agg(F.collect_list(F.struct("tool_name", "popularity")).alias("pool"))
     c = recs.join(pool, "app").select(F.col("record_id").alias("task_id"), "tools", F.explode("pool").alias("c")).select("task_id", "c.*", F.array_contains("tools", F.col("c.tool_name")).cast("int").alias("label"))
-    return c.withColumn("score", _u(F.concat(F.col("task_id").cast("string"), F.lit(":"), "tool_name")) * 0.5 + F.col("popularity") * 0.25 + F.col("label") * 0.25)
+    scores = c.withColumn("score", _u(F.concat(F.col("task_id").cast("string"), F.lit(":"), "tool_name")) * 0.5 + F.col("popularity") * 0.25 + F.col("label") * 0.25)
+    return Scratch(spark, "scored").cut(scores.select("task_id", "tool_name", "label", "popularity", "score"), "scored")  # read many times
 
 
 def topk_per_task(spark, sf_dir):
@@ -64,7 +65,7 @@ def metrics_by_app(spark, sf_dir):
 
 def score_table(spark, sf_dir):
     """D14, AG23, AG30: the long table's means by method and metric, for the scores and the popularity baseline (BL2)."""
-    s = Scratch(spark, "scored").cut(scored(spark, sf_dir), "scored")
+    s = scored(spark, sf_dir)
     cols = ["r_precision", "recall_3", "mrr"]
     a = ranking.long_scores(ranking.task_metrics(s), cols, "app", "score")
     b = ranking.long_scores(ranking.task_metrics(s, score="popularity"), cols, "app", "popularity")
@@ -93,7 +94,7 @@ def ece(spark, sf_dir):
 
 def shortlist_confidence(spark, sf_dir):
     """TK3, TK4, MT9: top-one hit and whole-shortlist correctness of every task."""
-    s = Scratch(spark, "scored").cut(scored(spark, sf_dir), "scored")
+    s = scored(spark, sf_dir)
     full = ranking.full_shortlists(s).select("task_id", F.col("correct").alias("all_correct"), F.round("confidence", 9).alias("top_r_score"))
     return ranking.confidences(s).select("task_id", "correct", F.round("confidence", 9).alias("confidence")).join(full, "task_id", "left")
 
@@ -135,7 +136,7 @@ def bootstrap_ci(spark, sf_dir):
 
 def paired_holm(spark, sf_dir):
     """SP11, SP12, JN18, WN15: scores against popularity by app, with Holm's correction."""
-    s = Scratch(spark, "scored").cut(scored(spark, sf_dir), "scored")
+    s = scored(spark, sf_dir)
     app = _recs(spark, sf_dir).select(F.col("record_id").alias("task_id"), "app")
     a = ranking.task_metrics(s).join(app, "task_id")
     t = ranking.paired_bootstrap(a, ranking.task_metrics(s, score="popularity"), "mrr", by=["app"], n_boot=100)
