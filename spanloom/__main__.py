@@ -38,8 +38,8 @@ def parser() -> argparse.ArgumentParser:
 def receive(spark: SparkSession, args, cfg: C.Config) -> None:
     read = files.read_otlp if args.format == "otlp" else files.read_traces
     fields, steps = traces.project(read(spark, args.input), cfg.projection)
-    per = steps.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("at", "agent_name", "action", "observation"))).alias("x"))
-    spans = F.transform("x", lambda s: F.struct(s["agent_name"].alias("agent_name"), s["action"].alias("action"), s["observation"].alias("observation"), F.lit("").alias("thoughts")))
+    per = steps.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("at", "agent_name", "action", "observation", "thoughts"))).alias("x"))
+    spans = F.transform("x", lambda s: F.struct(s["agent_name"].alias("agent_name"), s["action"].alias("action"), s["observation"].alias("observation"), s["thoughts"].alias("thoughts")))
     meta = F.to_json(F.struct("success_source", "intent_source", F.col("trace_id").alias("otel.trace_id"), F.col("framework").alias("projection.framework")))
     kept = fields.filter("drop_reason is null").join(per, "trace_id", "left")
     sinks.write_trajectories(kept.select("task_id", "intent", "app_name", "success", spans.alias("spans"), meta.alias("metadata")), args.output)

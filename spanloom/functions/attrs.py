@@ -120,7 +120,32 @@ def observation(m: str = "attrs", max_chars: int = 2000) -> Column:
 def input_messages(m: str = "attrs") -> Column:
     """A span's input messages as JSON texts; the nested spelling of the key counts too."""
     nested = F.get_json_object(F.element_at(m, F.lit("gen_ai")), "$.input.messages")
-    return as_list(F.coalesce(first_attr(m, "gen_ai.input.messages", "llm.input_messages"), nested))
+    own = F.coalesce(first_attr(m, "gen_ai.input.messages", "llm.input_messages"), nested)
+    indexed = r"^llm\.input_messages\.(\d+)\.message\.content$"
+    each = F.transform(F.map_entries(F.map_filter(m, lambda k, v: k.rlike(indexed))), lambda e: F.struct(F.regexp_extract(e["key"], indexed, 1).cast("int").alias("i"), e["value"].alias("v")))
+    users = F.transform(F.array_sort(each), lambda e: F.to_json(F.struct(F.lit("user").alias("role"), e["v"].alias("content"))))
+    return F.coalesce(as_list(own), F.when(own.isNull() & (F.size(users) > 0), users))
+
+
+def output_messages(m: str = "attrs") -> Column:
+    return as_list(first_attr(m, "gen_ai.output.messages", "gen_ai.output.message", "llm.output_messages"))
+
+
+def assistant_text(m: str = "attrs", max_chars: int = 2000) -> Column:
+    """What a model span's assistant said before its first tool call, else its completion, else empty."""
+    part = "array<struct<type:string,content:string>>"
+
+    def said(msg: Column) -> Column:
+        parts = F.from_json(F.get_json_object(msg, "$.parts"), part)
+        calls = F.array_position(F.transform(parts, lambda p: p["type"].isin("tool_call", "function_call")), True)
+        before = F.when(calls > 0, F.slice(parts, 1, (calls - 1).cast("int"))).otherwise(parts)
+        texts = F.filter(F.transform(F.filter(before, lambda p: p["type"].isin("text", "input_text", "content")), lambda p: p["content"]), lambda t: strip(t) != "")
+        return F.when(parts.isNotNull(), F.array_join(texts, " ")).otherwise(message_text(msg))
+
+    texts = F.filter(F.transform(F.filter(output_messages(m), lambda x: message_role(x) == "assistant"), said), lambda t: t != "")
+    listed = F.from_json(first_attr(m, "gen_ai.completion", "llm.completions"), "array<struct<text:string>>")
+    completion = F.coalesce(F.array_join(F.transform(listed, lambda c: F.coalesce(c["text"], F.lit(""))), ", "), first_attr(m, "gen_ai.completion", "llm.completions"))
+    return F.substring(F.coalesce(F.nullif(strip(F.array_join(texts, " ")), F.lit("")), completion, F.lit("")), 1, max_chars)
 
 
 def message_role(msg: Column) -> Column:

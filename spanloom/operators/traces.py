@@ -176,13 +176,16 @@ def previous_llm(spans: DataFrame) -> DataFrame:
 def message_decisions(spans: DataFrame) -> DataFrame:
     """Tool calls of traces without a named tool span, read from the latest model span's input messages.
 
-    A call with an id counts once, where it is first seen; without an id once per message, name and arguments. The
-    first response with its id is its observation.
+    A call with an id counts once, where it is first seen; without an id once per message, name and arguments. Calls that
+    only the span's output has follow, if they have an id. The first response with its id is its observation.
     """
     per = spans.groupBy("trace_id").agg(F.max((F.col("tool").isNotNull())).alias("named"), F.max_by("attrs", F.when(F.col("role") == "llm", F.struct("start", "span_id"))).alias("attrs"))
-    msgs = per.filter("not named and attrs is not null").select("trace_id", F.posexplode(A.input_messages()).alias("m", "msg"))
-    msgs = msgs.withColumn("calls", A.message_calls(F.col("msg")))
-    responses = msgs.filter(A.message_role(F.col("msg")).isin("tool", "function")).select("trace_id", "m", F.coalesce(F.get_json_object("msg", "$.tool_call_id"), F.get_json_object("msg", "$.id")).alias("call_id"), A.message_text(F.col("msg")).alias("text"))
+    none = F.array().cast("array<string>")
+    given, made = F.coalesce(A.input_messages(), none), F.coalesce(A.output_messages(), none)
+    msgs = per.filter("not named and attrs is not null").select("trace_id", F.size(given).alias("n"), F.posexplode(F.concat(given, made)).alias("m", "msg"))
+    calls = A.message_calls(F.col("msg"))
+    msgs = msgs.withColumn("calls", F.when(F.col("m") < F.col("n"), calls).otherwise(F.filter(calls, lambda c: c["id"] != "")))
+    responses = msgs.filter("m < n").filter(A.message_role(F.col("msg")).isin("tool", "function")).select("trace_id", "m", F.coalesce(F.get_json_object("msg", "$.tool_call_id"), F.get_json_object("msg", "$.id")).alias("call_id"), A.message_text(F.col("msg")).alias("text"))
     responses = responses.filter("call_id is not null and call_id <> ''").groupBy("trace_id", "call_id").agg(F.min_by("text", "m").alias("observation"))
     calls = msgs.select("trace_id", "m", F.posexplode("calls").alias("c", "call")).select("trace_id", "m", "c", F.col("call.id").alias("call_id"), F.trim(F.substring_index("call.name", "(", 1)).alias("tool"), F.col("call.arguments").alias("arguments")).filter("tool <> ''")
     has_id = F.col("call_id") != ""
@@ -211,12 +214,14 @@ def project(deliveries: DataFrame, config: ProjectionConfig = ProjectionConfig()
     tools = innermost_tools(spans.join(client_twins(spans), ["trace_id", "span_id"], "left_anti"), trees)
     if config.drop_tools:
         tools = tools.filter(~F.col("tool").isin(*config.drop_tools))
-    steps = tools.join(nearest_agents(spans), ["trace_id", "span_id"], "left")
-    steps = steps.select("trace_id", F.struct(F.lit(0).alias("a"), F.col("start").alias("b"), F.col("span_id").alias("c")).alias("at"), F.coalesce("agent_name", F.lit("")).alias("agent_name"), F.col("tool").alias("action"), A.observation(max_chars=config.max_observation_chars).alias("observation"), A.tool_arguments().alias("arguments"), F.lit("tool").alias("origin"))
+    steps = tools.join(nearest_agents(spans), ["trace_id", "span_id"], "left").join(previous_llm(spans), ["trace_id", "span_id"], "left")
+    said = spans.filter("role = 'llm'").select("trace_id", F.col("span_id").alias("llm_span_id"), A.assistant_text(max_chars=config.max_thought_chars).alias("thoughts")).filter("thoughts <> ''")
+    steps = steps.join(said, ["trace_id", "llm_span_id"], "left").withColumn("thoughts", F.coalesce("thoughts", F.lit("")))
+    steps = steps.select("trace_id", F.struct(F.lit(0).alias("a"), F.col("start").alias("b"), F.col("span_id").alias("c")).alias("at"), F.coalesce("agent_name", F.lit("")).alias("agent_name"), F.col("tool").alias("action"), A.observation(max_chars=config.max_observation_chars).alias("observation"), A.tool_arguments().alias("arguments"), "thoughts", F.lit("tool").alias("origin"))
     calls = message_decisions(spans)
     if config.drop_tools:
         calls = calls.filter(~F.col("tool").isin(*config.drop_tools))
-    more = calls.select("trace_id", F.struct(F.lit(1).alias("a"), (F.col("message") * 100_000 + F.col("place")).cast("long").alias("b"), F.lit("").alias("c")).alias("at"), F.lit("").alias("agent_name"), F.col("tool").alias("action"), F.substring("observation", 1, config.max_observation_chars).alias("observation"), "arguments", F.lit("llm_fallback").alias("origin"))
+    more = calls.select("trace_id", F.struct(F.lit(1).alias("a"), (F.col("message") * 100_000 + F.col("place")).cast("long").alias("b"), F.lit("").alias("c")).alias("at"), F.lit("").alias("agent_name"), F.col("tool").alias("action"), F.substring("observation", 1, config.max_observation_chars).alias("observation"), "arguments", F.lit("").alias("thoughts"), F.lit("llm_fallback").alias("origin"))
     steps = steps.unionByName(more)
     fields = trace_fields(spans, config).join(steps.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_steps")), "trace_id", "left").fillna(0, ["n_steps"])
     return fields.withColumn("drop_reason", drop_reason(config)), steps

@@ -159,3 +159,20 @@ def test_wrappers_fold_into_the_innermost(spark):
     spans = spark.createDataFrame([("t", "1", "f"), ("t", "2", "f"), ("t", "3", "f"), ("t", "4", "g")], "trace_id string, span_id string, tool string")
     trees = spark.createDataFrame([("t", "1", "1", 0, 3), ("t", "2", "1", 1, 1), ("t", "3", "1", 2, 2), ("t", "4", "1", 3, 3)], "trace_id string, span_id string, root_span_id string, lo long, hi long")
     assert sorted(r.span_id for r in traces.innermost_tools(spans, trees).collect()) == ["2", "3", "4"]
+
+
+def test_assistant_text_and_indexed_messages(spark):
+    out = [{"role": "assistant", "parts": [{"type": "text", "content": "first"}, {"type": "tool_call", "name": "f"}, {"type": "text", "content": "later"}]}, {"role": "assistant", "content": "plain"}, {"role": "user", "content": "no"}]
+    rows = [({"gen_ai.output.messages": out},), ({"gen_ai.completion": "done"},), ({"llm.completions": [{"text": "a"}, {"text": "b"}]},), ({"llm.input_messages.10.message.content": "z", "llm.input_messages.2.message.content": "y"},)]
+    df = spark.createDataFrame([(i, json.dumps(a[0])) for i, a in enumerate(rows)], "i int, a string").withColumn("attrs", A.as_map("a"))
+    got = df.orderBy("i").select(A.assistant_text().alias("t"), F.transform(A.input_messages(), A.message_text).alias("m")).collect()
+    assert [r.t for r in got] == ["first plain", "done", "a, b", ""] and got[3].m == ["y", "z"] and got[0].m is None
+
+
+def test_calls_of_the_output_follow(spark):
+    inp = [{"role": "assistant", "tool_calls": [{"id": "a", "name": "f"}, {"name": "g"}, {"name": "g"}]}, {"role": "tool", "tool_call_id": "a", "content": "seen"}]
+    out = [{"role": "assistant", "tool_calls": [{"id": "a", "name": "f"}, {"id": "b", "name": "h"}, {"name": "k"}]}]
+    rows = [("t", "1", None, 0, "llm", None, json.dumps({"gen_ai.input.messages": inp, "gen_ai.output.messages": out}))]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, start long, role string, tool string, a string").withColumn("attrs", A.as_map("a"))
+    got = [(r.tool, r.call_id, r.observation) for r in traces.message_decisions(df).orderBy("message", "place").collect()]
+    assert got == [("f", "a", "seen"), ("g", "", ""), ("h", "b", "")]
