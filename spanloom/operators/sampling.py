@@ -20,6 +20,11 @@ def _catalog_row(catalog: DataFrame, row_bytes: int = 512) -> DataFrame:
     return catalog.agg(F.array_sort(F.collect_list(F.struct("tool", words.alias("words")))).alias("catalog"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, also where the body uses it within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _number(seed: str, decision: Column, what) -> Column:
     text = F.concat(F.lit(seed + ":"), decision, F.lit(":"), what if isinstance(what, Column) else F.lit(str(what)))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
@@ -66,10 +71,12 @@ def hard_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, c
     d = d.withColumn("_same", F.array_intersect("_pool", F.coalesce("_app", none)))
     d = d.withColumn("_same", _drawn(F.col("_same"), seed + ":app", k, a))
     d = d.withColumn("_cand", F.array_except(F.array_intersect(F.coalesce("_co", none), F.col("_pool")), F.col("_same")))
-    mine = F.array_distinct(F.flatten(F.transform(F.filter("catalog", lambda x: F.array_contains("tools", x["tool"])), lambda x: x["words"])))
+    mine = _let(F.col("tools"), lambda t: F.array_distinct(F.flatten(F.transform(F.filter("catalog", lambda x: F.array_contains(t, x["tool"])), lambda x: x["words"]))))
     d = d.withColumn("_words", mine)
-    open_ = F.filter("catalog", lambda x: F.array_contains("_pool", x["tool"]) & ~F.array_contains("_same", x["tool"]) & ~F.array_contains("_cand", x["tool"]))
-    like = F.transform(F.array_sort(F.transform(open_, lambda x: F.struct((-F.size(F.array_intersect(x["words"], F.col("_words")))).alias("s"), x["tool"].alias("t")))), lambda x: x["t"])
+    likeness = lambda v: F.transform(
+        F.array_sort(F.transform(F.filter("catalog", lambda x: F.array_contains(v["open"], x["tool"])), lambda x: F.struct((-F.size(F.array_intersect(x["words"], v["words"]))).alias("s"), x["tool"].alias("t")))), lambda x: x["t"]
+    )
+    like = _let(F.struct(F.array_except(F.array_except("_pool", "_same"), "_cand").alias("open"), F.col("_words").alias("words")), likeness)
     d = d.withColumn("_like", like).withColumn("_like", F.slice("_like", 1, F.lit(s) if s >= 0 else F.greatest(F.lit(0), F.size("_like") + s)))
     d = d.withColumn("_hard", F.concat("_same", F.slice("_cand", 1, c), "_like"))
     d = d.withColumn("_rest", F.array_except("_pool", "_hard"))
