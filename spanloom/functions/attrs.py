@@ -10,8 +10,10 @@ TOOL_OPS = ("execute_tool",)
 LLM_OPS = ("chat", "text_completion", "completion", "llm_request")
 SKIP_OPS = ("embeddings", "vector_db_retrieve", "handoff")
 SKIP_KINDS = ("session", "handoff", "server")
-TASK_SPAN = "shortchain.task"
-TASK_ROOT = "shortchain.task_root"
+# The prefix that the collector's own attribute keys have in the span tables (fixed value of the data).
+OWN_KEYS = "shortchain."
+TASK_SPAN = OWN_KEYS + "task"
+TASK_ROOT = OWN_KEYS + "task_root"
 SKIP_NAMES = ("mcp_tools", "tools/list", TASK_SPAN)
 
 _MESSAGE = "array<string>"
@@ -93,14 +95,14 @@ def tool_of_span(m: str = "attrs", name: str = "name") -> Column:
 
 
 def association(m: str, key: str) -> Column:
-    """An association property: the ``shortchain.`` alias before the JSON object's member."""
+    """An association property: the collector's own key before the JSON object's member."""
     blob = as_map(first_attr(m, "traceloop.association.properties"))
-    return F.coalesce(first_attr(m, f"shortchain.{key}"), F.nullif(F.element_at(blob, F.lit(key)), F.lit("")))
+    return F.coalesce(first_attr(m, OWN_KEYS + key), F.nullif(F.element_at(blob, F.lit(key)), F.lit("")))
 
 
 def success_of_span(m: str = "attrs") -> Column:
     blob = as_map(first_attr(m, "traceloop.association.properties"))
-    raw = F.coalesce(first_attr(m, "shortchain.success", "traceloop.association.properties.success"), F.element_at(blob, F.lit("success")))
+    raw = F.coalesce(first_attr(m, OWN_KEYS + "success", "traceloop.association.properties.success"), F.element_at(blob, F.lit("success")))
     return optional_bool(raw)
 
 

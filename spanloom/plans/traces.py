@@ -120,7 +120,7 @@ def clean_spans_sql() -> str:
     """CTEs: s (clean spans with kind, role, tool)."""
     t, s, p = canonical_id_sql("trace_id", 16), canonical_id_sql("span_id", 8), canonical_id_sql("parent_span_id", 8)
     kind = f"lower(coalesce({_attr('traceloop.span.kind', 'openinference.span.kind')}, ''))"
-    root = f"(name = 'shortchain.task' OR coalesce({_attr('shortchain.task_root')} NOT IN ('false', '0'), false))"
+    root = f"(name = '{A.TASK_SPAN}' OR coalesce({_attr(A.TASK_ROOT)} NOT IN ('false', '0'), false))"
     own = f"coalesce({_attr('gen_ai.tool.name', 'tool.name')}, CASE WHEN kind = 'tool' THEN {_attr('traceloop.entity.name')} END, CASE WHEN name = 'tools/call.tool' THEN {_attr('traceloop.entity.input.tool_name')} END"
     named = "CASE WHEN name LIKE 'execute_tool %' THEN trim(substr(name, 14)) WHEN name = 'tools/call.tool' THEN '' WHEN name LIKE '%.tool' THEN trim(left(name, length(name) - 5)) WHEN name LIKE 'function.%' THEN trim(substr(name, 10)) ELSE '' END"
     bare = f"trim(split_part({own}, {named}), '(', 1))"
@@ -132,7 +132,7 @@ def clean_spans_sql() -> str:
       s3 AS (SELECT *, CASE WHEN op IN ('embeddings', 'vector_db_retrieve', 'handoff') OR kind IN ('session', 'handoff', 'server') THEN 'skip' WHEN is_root THEN 'root' WHEN name IN ('mcp_tools', 'tools/list') THEN 'skip'
         WHEN op = 'execute_tool' OR {_attr('gen_ai.tool.name', 'tool.name')} IS NOT NULL OR name LIKE 'execute_tool %' OR name LIKE '%.tool' OR (name LIKE 'function.%' AND kind IN ('tool', '')) OR kind = 'tool' THEN 'tool'
         WHEN op IN ('chat', 'text_completion', 'completion', 'llm_request') OR kind = 'llm' THEN 'llm' WHEN kind IN ('workflow', 'agent') OR op = 'invoke_agent' THEN 'agent' WHEN kind = 'task' OR op = 'execute_task' THEN 'task' ELSE 'other' END AS role FROM s2),
-      s AS (SELECT *, CASE WHEN role = 'tool' AND {bare} NOT IN ('', 'mcp_tools', 'tools/list', 'shortchain.task') THEN {bare} END AS tool FROM s3)"""
+      s AS (SELECT *, CASE WHEN role = 'tool' AND {bare} NOT IN ('', 'mcp_tools', 'tools/list', '{A.TASK_SPAN}') THEN {bare} END AS tool FROM s3)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -140,8 +140,8 @@ def oracle_sql() -> dict[str, str]:
     roots = f"""{base}, rr AS (SELECT s.*, CASE WHEN is_root THEN 0 WHEN kind IN ('workflow', 'agent') AND NOT EXISTS (SELECT 1 FROM s u WHERE u.trace_id = s.trace_id AND u.span_id = s.p AND u.kind IN ('workflow', 'agent')) THEN 1
         WHEN p IS NULL THEN 2 ELSE 3 END AS rule FROM s), root AS (SELECT trace_id, arg_min(span_id, (rule, t0, span_id)) AS root_span_id, min(rule) AS root_rule FROM rr GROUP BY trace_id)"""
     blob = f"CASE WHEN json_valid({_attr('traceloop.association.properties')}) THEN CAST({_attr('traceloop.association.properties')} AS JSON) END"
-    assoc = lambda k: f"coalesce({_attr(f'shortchain.{k}')}, nullif(b ->> '$.{k}', ''))"
-    raw = f"lower(trim(coalesce({_attr('shortchain.success', 'traceloop.association.properties.success')}, b ->> '$.success')))"
+    assoc = lambda k: f"coalesce({_attr(A.OWN_KEYS + k)}, nullif(b ->> '$.{k}', ''))"
+    raw = f"lower(trim(coalesce({_attr(A.OWN_KEYS + 'success', 'traceloop.association.properties.success')}, b ->> '$.success')))"
     x = f"{roots}, x AS (SELECT rr.*, root_span_id, span_id = root_span_id AS me, {blob} AS b FROM rr JOIN root USING (trace_id)), y AS (SELECT *, CASE WHEN {raw} IN ('true', '1', 'yes', '1.0') THEN true WHEN {raw} IN ('false', '0', 'no', '0.0') THEN false END AS ok, {_attr('service.name', of='r')} AS service, {_attr('traceloop.workflow.name', 'gen_ai.agent.name')} AS wf, {_attr('gen_ai.conversation.id')} AS conv FROM x)"
     pick = lambda v, o, c="true": f"arg_min({v}, {o}) FILTER (WHERE ({v}) IS NOT NULL AND {c})"
     start, first = "(t0, span_id)", "(NOT me, t0, span_id)"

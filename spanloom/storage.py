@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -43,6 +46,12 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application wrote; frames that read them can't be used any more."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        drop(spark, path)
+
+
 class Scratch:
     """Tables written by one operator call; ``drop`` frees those that nothing reads any more."""
 

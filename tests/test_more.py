@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.__main__ import parser
 from spanloom.config import ModelConfig, RuntimeConfig
+from spanloom.functions.attrs import TASK_SPAN
 from spanloom.functions.replies import ranked_names, tool_line
 from spanloom.operators import benchmark, learn, traces, twins
 from spanloom.streaming.assembler import Inflight, run_available
@@ -79,7 +80,7 @@ def test_stream_closes_and_reports_late_spans(spark, tmp_path):
         spark.createDataFrame(rows, "delivery_id long, s long, trace_id string, span_id string, name string, attributes string").select("delivery_id", F.timestamp_seconds("s").alias("received_at"), "trace_id", "span_id", "name", "attributes").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         run_available(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     t1, t2, t3 = "a1" * 16, "a2" * 16, "a3" * 16
-    land(1, [(1, 100, t1, "01" * 8, "x", "{}"), (2, 101, t1, "02" * 8, "shortchain.task", "{}"), (3, 100, t2, "03" * 8, "x", "{}"), (4, 120, t1, "05" * 8, "x", "{}")])
+    land(1, [(1, 100, t1, "01" * 8, "x", "{}"), (2, 101, t1, "02" * 8, TASK_SPAN, "{}"), (3, 100, t2, "03" * 8, "x", "{}"), (4, 120, t1, "05" * 8, "x", "{}")])
     land(2, [(5, 200, t3, "04" * 8, "x", "{}"), (6, 140, t2, "06" * 8, "x", "{}")])
     land(3, [(7, 900, t3, "07" * 8, "x", "{}")])
     got = {(r.trace_id, r.complete_reason, tuple(r.span_ids)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}

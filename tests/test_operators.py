@@ -35,7 +35,7 @@ def test_tool_name(spark, raw, want):
     "name,attrs,role,tool",
     [
         ("chat", {"gen_ai.operation.name": "embeddings", "traceloop.span.kind": "task"}, "skip", None),
-        ("shortchain.task", {}, "root", None),
+        (A.TASK_SPAN, {}, "root", None),
         ("mcp_tools", {"openinference.span.kind": "TOOL"}, "skip", None),
         ("x", {"gen_ai.operation.name": "execute_tool", "gen_ai.tool.name": "f(1)"}, "tool", "f"),
         ("execute_tool look_up", {}, "tool", "look_up"),
