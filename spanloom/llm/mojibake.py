@@ -45,8 +45,8 @@ _UPPER = {c.upper() for c in _LOWER if len(c.upper()) == 1} | {"İ"}
 _SIGNS = set("“”„’‘–—…«»€£°§µ²³½№¿¡·•\xa0")
 #: Bits that a state must save for the passage to count as garbled; bits an operation costs.
 MARGIN, STEP = 10.0, 2.0
-#: Mean bits of a pair up to which a run is ordinary.
-ORDINARY = 12.0
+#: Bits of a pair, in the mean and at most, up to which a passage is ordinary.
+ORDINARY, RARE = 12.0, 14.0
 #: States that are expanded, operations in a row, bits by which a state on the way may be dearer than the start.
 MAX_STATES, MAX_DEPTH, SLACK = 8, 4, 20.0
 _CONTEXT = re.compile(r"[\x00-\x7f]?(?:[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#\d{2,6});)+[\x00-\x7f]?")
@@ -114,16 +114,19 @@ class Restorer:
         self.counts, self.total, self.margin = counts, float(counts.sum()) + 2000.0, margin
         self.memo: dict = {}
 
-    def bits(self, text: str) -> tuple[float, int]:
-        """Bits and number of pairs."""
+    def each(self, text: str) -> np.ndarray:
+        """Bits of every pair."""
         x = _codes(text)
         a, b = x[:-1], x[1:]
         use = np.flatnonzero((a > 127) | (b > 127))
-        if not len(use):
-            return 0.0, 0
         n = self.counts[((a[use] * 1_000_003 + b[use] * 7919) ^ (a[use] >> 3)) % SLOTS]
         prior = np.array([_prior(chr(p), chr(q)) for p, q in zip(a[use], b[use])])
-        return float(np.log2(self.total / (n + prior)).sum()), len(use)
+        return np.log2(self.total / (n + prior))
+
+    def bits(self, text: str) -> tuple[float, int]:
+        """Bits and number of pairs."""
+        x = self.each(text)
+        return float(x.sum()), len(x)
 
     def cost(self, text: str) -> float:
         return self.bits(text)[0] + 20.0 * len(_BROKEN.findall(text)) + 12.0 * len(_ENTITY.findall(text))
@@ -181,8 +184,8 @@ class Restorer:
 
     def ordinary(self, passage: str) -> bool:
         """Whether the model finds the passage usual and none of its runs can be UTF-8 read in another encoding."""
-        bits, n = self.bits(passage)
-        return bits <= ORDINARY * n and not any(_maybe_utf8(r) for r in _RUN.findall(passage))
+        x = self.each(passage)
+        return bool(x.sum() <= ORDINARY * len(x) and (x <= RARE).all()) and not any(_maybe_utf8(r) for r in _RUN.findall(passage))
 
     def passage(self, passage: str) -> tuple[str, bool]:
         """The restored passage and whether it is garbled."""
