@@ -29,7 +29,7 @@ def classify_spans(spark, sf_dir):
 def tool_io(spark, sf_dir):
     """PRJ15, PRJ16: arguments and observation of named tool spans."""
     s = _spans(spark, sf_dir).filter("tool is not null")
-    return s.select("trace_id", "span_id", "tool", A.tool_arguments().alias("arguments"), A.observation(max_chars=20).alias("observation"))
+    return s.select("trace_id", "span_id", "tool", A.tool_arguments().alias("arguments"), A.observation().alias("observation"))
 
 
 def trace_roots(spark, sf_dir):
