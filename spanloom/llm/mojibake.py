@@ -36,6 +36,7 @@ WRITTEN_IN = ("cp1251", "koi8_r", "cp866", "cp1250", "iso8859_2", "cp1254", "cp1
 WRITTEN_IN_WIDE = ("gbk", "big5", "shift_jis", "euc_jp", "euc_kr")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _NO_ASCII = re.compile(r"[^\x00-\x7f]+\Z")
+_AS_ASCII = {"shift_jis": re.compile("[¥‾]")}
 _BROKEN = re.compile("[�\x80-\x9f]")
 _ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,6}|#x[0-9A-Fa-f]{2,5});")
 _PASSAGE = re.compile(r"(?<=[.!?…。！？])(?=\s)|(?<=\n)|(?<=[。！？])")
@@ -131,8 +132,9 @@ class Restorer:
     def cost(self, text: str) -> float:
         return self.bits(text)[0] + 20.0 * len(_BROKEN.findall(text)) + 12.0 * len(_ENTITY.findall(text))
 
-    def _neighbours(self, text: str, narrow: bool):
-        """(state, operation) for each operation that changes the text."""
+    def _neighbours(self, text: str, path: list):
+        """(state, operation) for each operation that changes the text, which ``path`` led to."""
+        narrow, swallows = not path, _swallows(path)
         if _ENTITY.search(text):
             t = html.unescape(text)
             if t != text:
@@ -148,7 +150,7 @@ class Restorer:
                 continue
             tried.add(raw)
             for dec in ("utf-8", *(WRITTEN_IN_WIDE if long else ()), *(WRITTEN_IN if narrow else ())) if enc in READ_AS else ("utf-8",):
-                new = {r: v for r, b in zip(runs, raw) if b and (v := _decode(b, dec)) is not None and v != r}
+                new = {r: v for r, b in zip(runs, raw) if b and (v := _decode(b, dec, swallows and enc in READ_AS_WIDE)) is not None and v != r}
                 if new and dec != enc:
                     yield _RUN.sub(lambda m: new.get(m[0], m[0]), text), (enc, dec)
 
@@ -167,7 +169,7 @@ class Restorer:
             n += 1
             if len(path) == MAX_DEPTH or cost > own + SLACK:
                 continue
-            for u, op in self._neighbours(t, narrow=not path):
+            for u, op in self._neighbours(t, path):
                 if (k := hash(u)) in seen:
                     continue
                 seen.add(k)
@@ -220,6 +222,8 @@ class Restorer:
 @lru_cache(maxsize=100_000)
 def _encode(run: str, enc: str) -> bytes:
     """Bytes of a run, none if it has no such form; C1 controls stand for themselves where a Windows code page has gaps."""
+    if enc in _AS_ASCII and _AS_ASCII[enc].search(run):  # signs that would become ASCII by themselves
+        return b""
     try:
         return run.encode(enc)
     except UnicodeEncodeError:
@@ -234,26 +238,36 @@ def _encode(run: str, enc: str) -> bytes:
 
 @lru_cache(maxsize=100_000)
 def _maybe_utf8(run: str) -> bool:
-    return any((b := _encode(run, enc)) and len(b) > 1 and _decode(b, "utf-8") is not None for enc in READ_AS + READ_AS_WIDE)
+    return any((b := _encode(run, enc)) and len(b) > 1 and _decode(b, "utf-8", enc in READ_AS_WIDE) is not None for enc in READ_AS + READ_AS_WIDE)
 
 
 @lru_cache(maxsize=100_000)
-def _decode(raw: bytes, dec: str) -> str | None:
-    """The text of some bytes; none if there is none, or if it has ASCII, which a wrong encoding leaves alone."""
+def _decode(raw: bytes, dec: str, wide: bool) -> str | None:
+    """The text of some bytes; none if there is none, or if it has ASCII, which a wrong encoding of single bytes leaves alone.
+
+    A wrong encoding of several bytes (``wide``) takes an ASCII byte as the second one of a character, so only a text of
+    nothing but ASCII is refused there.
+    """
     try:
         out = raw.decode(dec)
     except UnicodeDecodeError:
         return None
-    return None if out.isascii() or not _NO_ASCII.match(out) else out
+    return None if out.isascii() or not wide and not _NO_ASCII.match(out) else out
+
+
+def _swallows(path: list) -> bool:
+    """Whether ASCII may come back in the next operation: only UTF-8 was undone before, not one of many meanings of the bytes."""
+    return all(op is None or op[1] == "utf-8" for op in path)
 
 
 def apply(way: list, text: str) -> str:
     """The text after the operations: None unescapes, (encoding, encoding) encodes and decodes every run that allows it."""
-    for op in way:
+    for i, op in enumerate(way):
+        wide = op is not None and op[0] in READ_AS_WIDE and _swallows(way[:i])
         if op is None:
             text = html.unescape(text)
         else:
-            text = _RUN.sub(lambda m: (b := _encode(m[0], op[0])) and _decode(b, op[1]) or m[0], text)
+            text = _RUN.sub(lambda m: (b := _encode(m[0], op[0])) and _decode(b, op[1], wide) or m[0], text)
     return text
 
 

@@ -1,0 +1,23 @@
+"""Operators for training data do the whole job."""
+
+import numpy as np
+import pytest
+from test_llm import restorer
+
+from spanloom.llm import mojibake
+
+UPPER = "РЕЕСТР СТРОК 75: ГРАФ, СБОЙ, РЯД, ЦЕХ, ЭТАП, ЯРУС, ХОД, УЗЕЛ"
+
+
+@pytest.mark.parametrize("text", ["It’s late", "据X", "次尝试仍然超时（见R", "，就交给更大的模型（见Q"])
+def test_ascii_taken_as_a_second_byte_comes_back(text):
+    bad = text.encode().decode("gbk")
+    assert bad != text and restorer().text(bad) == (text, 1)
+
+
+@pytest.mark.parametrize("text", [UPPER, "¥300", "‾"])
+def test_no_ascii_out_of_meant_characters(text):
+    r = restorer()
+    np.add.at(r.counts, mojibake._slots(mojibake._codes(UPPER)), 40)
+    assert r.text(text) == (text, 0)
+    assert mojibake._swallows([None, ("cp1252", "utf-8")]) and not mojibake._swallows([("cp866", "gbk")])
