@@ -130,7 +130,7 @@ def quantile_thresholds(spark, sf_dir):
 
 def bootstrap_ci(spark, sf_dir):
     """SP10: interval of mean R-precision."""
-    b = ranking.bootstrap(ranking.task_metrics(scored(spark, sf_dir)), "r_precision", n_boot=200)
+    b = ranking.bootstrap(ranking.task_metrics(scored(spark, sf_dir)), "r_precision")
     return _round(b.drop("p_value"), ["mean", "lower", "upper"])
 
 
@@ -139,7 +139,7 @@ def paired_holm(spark, sf_dir):
     s = scored(spark, sf_dir)
     app = _recs(spark, sf_dir).select(F.col("record_id").alias("task_id"), "app")
     a = ranking.task_metrics(s).join(app, "task_id")
-    t = ranking.paired_bootstrap(a, ranking.task_metrics(s, score="popularity"), "mrr", by=["app"], n_boot=100)
+    t = ranking.paired_bootstrap(a, ranking.task_metrics(s, score="popularity"), "mrr", by=["app"])
     return _round(ranking.holm(t, name="app"), ["mean", "lower", "upper", "p_value"])
 
 
