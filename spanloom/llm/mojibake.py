@@ -6,10 +6,12 @@ orders the queue, and the cheapest state reached is the restored text. A passage
 at least one encode and decode is cheaper by ``margin`` bits, or if it shows replacement or C1 control characters.
 
 The cost of a text is the sum, over its pairs of neighbouring characters of which one isn't ASCII, of the bits that a
-pair model needs. The model is counted over all documents (hashed to 2^20 counters, a table of fixed size that is
-broadcast) on top of small fixed prior counts for pairs that occur in writing: they decide where the corpus says nothing.
+pair model needs. The model is counted over all distinct passages (hashed to 2^20 counters, a table of fixed size that is
+broadcast), one that comes n times weighing 1 + log2(n), on top of small fixed prior counts for pairs that occur in
+writing: they decide where the corpus says nothing.
 
-Passages are lines, cut further after sentence ends. Runs that the model finds ordinary aren't searched.
+Passages are lines, cut further after sentence ends. Those that the model finds ordinary aren't searched, unless another
+reading is better by the prior alone: what is garbled often is frequent too.
 
 Defined results: null and empty texts are never garbled. Texts of any length are handled whole, passage by passage.
 Repeated texts give the same result each. A passage that can't be restored keeps its text and is reported as garbled.
@@ -71,12 +73,17 @@ def _slots(x: np.ndarray) -> np.ndarray:
     return ((a[use] * 1_000_003 + b[use] * 7919) ^ (a[use] >> 3)) % SLOTS
 
 
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        texts = [t for t in rb.column(0).to_pylist() if t and not t.isascii()]
+        yield pa.record_batch([pa.array([p for t in texts for p in _PASSAGE.split(t) if not p.isascii()], pa.string())], names=["passage"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(SLOTS, np.int64)
+    n = np.zeros(SLOTS)
     for rb in batches:
-        for t in rb.column(0).to_pylist():
-            if t and not t.isascii():
-                np.add.at(n, _slots(_codes(t)), 1)
+        for t, copies in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+            np.add.at(n, _slots(_codes(t)), 1 + np.log2(copies))
     at = np.flatnonzero(n)
     yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["slot", "n"])
 
@@ -110,6 +117,14 @@ def _prior(a: str, b: str) -> float:
     return _PRIOR.get(_kind(a) + _kind(b), _RARE)
 
 
+def _prior_bits(text: str) -> float:
+    """Bits of a pair by the prior alone, in the mean."""
+    x = _codes(text)
+    a, b = x[:-1], x[1:]
+    use = np.flatnonzero((a > 127) | (b > 127))
+    return float(np.mean([-np.log2(_prior(chr(p), chr(q))) for p, q in zip(a[use], b[use])])) if len(use) else 0.0
+
+
 class Restorer:
     def __init__(self, counts: np.ndarray, margin: float = MARGIN):
         self.counts, self.total, self.margin = counts, float(counts.sum()) + 2000.0, margin
@@ -185,9 +200,12 @@ class Restorer:
         return best if any(best) and own - best_cost >= self.margin else []
 
     def ordinary(self, passage: str) -> bool:
-        """Whether the model finds the passage usual and none of its runs can be UTF-8 read in another encoding."""
+        """Whether the model finds the passage usual and neither UTF-8 nor a reading better by the prior can be behind it."""
         x = self.each(passage)
-        return bool(x.sum() <= ORDINARY * len(x) and (x <= RARE).all()) and not any(_maybe_utf8(r) for r in _RUN.findall(passage))
+        if x.sum() > ORDINARY * len(x) or (x > RARE).any() or any(_maybe_utf8(r) for r in _RUN.findall(passage)):
+            return False
+        own = _prior_bits(passage)
+        return not any(a < own for a in (_prior_bits(u) for u, _ in self._neighbours(passage, [])))
 
     def passage(self, passage: str) -> tuple[str, bool]:
         """The restored passage and whether it is garbled."""
@@ -272,8 +290,9 @@ def apply(way: list, text: str) -> str:
 
 
 def pair_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Counts of neighbouring characters over all documents, in SLOTS hashed counters."""
-    rows = docs.select(text).mapInArrow(_count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    """Counts of neighbouring characters over all distinct passages, copies damped, in SLOTS hashed counters."""
+    copies = docs.select(text).mapInArrow(_passages, "passage string").groupBy("passage").agg(F.count(F.lit(1)).alias("copies"))
+    rows = copies.mapInArrow(_count, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
     counts = np.zeros(SLOTS, np.float32)
     counts[rows["slot"].to_numpy(int)] = rows["n"].to_numpy()
     return counts

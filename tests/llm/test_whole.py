@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from test_llm import restorer
+from test_llm import CLEAN, restorer
 
 from spanloom.llm import mojibake
 
@@ -21,3 +21,21 @@ def test_no_ascii_out_of_meant_characters(text):
     np.add.at(r.counts, mojibake._slots(mojibake._codes(UPPER)), 40)
     assert r.text(text) == (text, 0)
     assert mojibake._swallows([None, ("cp1252", "utf-8")]) and not mojibake._swallows([("cp866", "gbk")])
+
+
+@pytest.mark.parametrize("copies", [8, 9])
+def test_frequent_garbling_is_searched(copies):
+    bad = CLEAN[2].encode("cp1251").decode("cp1252")
+    r = restorer()
+    np.add.at(r.counts, mojibake._slots(mojibake._codes(bad)), copies)
+    r = mojibake.Restorer(r.counts)
+    x = r.each(bad)
+    assert x.sum() <= mojibake.ORDINARY * len(x) and (x <= mojibake.RARE).all()  # the model finds it usual
+    assert r.text(bad) == (CLEAN[2], 1)
+
+
+def test_copies_of_a_passage_are_damped(spark):
+    rows = [(i, "Ñëå." if i < 64 else f"Ж. no {i}") for i in range(66)] + [(70, None), (71, "ascii")]
+    n = mojibake.pair_counts(spark.createDataFrame(rows, "doc_id long, text string"), "text")
+    at = lambda pair: n[mojibake._slots(mojibake._codes(pair))[1]]
+    assert at("Ñë") == 7 and at("Ж.") == 2
