@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Operation names, span names and kinds (fixed values).
@@ -10,11 +10,12 @@ TOOL_OPS = ("execute_tool",)
 LLM_OPS = ("chat", "text_completion", "completion", "llm_request")
 SKIP_OPS = ("embeddings", "vector_db_retrieve", "handoff")
 SKIP_KINDS = ("session", "handoff", "server")
-# The prefix that the collector's own attribute keys have in the span tables (fixed value of the data).
-OWN_KEYS = "shortchain."
-TASK_SPAN = OWN_KEYS + "task"
-TASK_ROOT = OWN_KEYS + "task_root"
-SKIP_NAMES = ("mcp_tools", "tools/list", TASK_SPAN)
+SKIP_NAMES = ("mcp_tools", "tools/list")
+#: Members of the collector's own namespace: the span of a task, and the attribute that only task spans have.
+TASK, TASK_ROOT = "task", "task_root"
+#: Setting that names the collector's prefix; where it is unset, the prefix is found in the data.
+PREFIX_SETTING = "spanloom.collector.prefix"
+_PREFIXED = r'"([A-Za-z0-9_-]+)\.task_root"\s*:'
 
 _MESSAGE = "array<string>"
 
@@ -47,22 +48,39 @@ def optional_bool(c: Column) -> Column:
     return F.when(t.isin("true", "1", "yes", "1.0"), True).when(t.isin("false", "0", "no", "0.0"), False)
 
 
+def collector_prefix(df: DataFrame, attributes: str = "attributes") -> str:
+    """The prefix of the collector's own keys, with its dot: the setting's, else what stands before ``.task_root`` in most spans.
+
+    Of equally frequent prefixes the first by name counts; '' if there is none. One number per prefix reaches the driver.
+    """
+    named = df.sparkSession.conf.get(PREFIX_SETTING, None)
+    if named is not None:
+        return named.rstrip(".") + "." if named else ""
+    a = F.col(attributes)
+    seen = df.filter(F.contains(a, F.lit(".task_root"))).select(F.regexp_extract(a, _PREFIXED, 1).alias("p")).filter("p <> ''")
+    most = seen.groupBy("p").count().orderBy(F.desc("count"), "p").first()
+    return most["p"] + "." if most else ""
+
+
 def kind(m: str = "attrs") -> Column:
     return F.lower(F.coalesce(first_attr(m, "traceloop.span.kind", "openinference.span.kind"), F.lit("")))
 
 
-def is_task_root(m: str = "attrs", name: str = "name") -> Column:
-    flag = first_attr(m, TASK_ROOT)
-    return (F.col(name) == TASK_SPAN) | (flag.isNotNull() & ~flag.isin("false", "0"))
+def is_task_root(own: str, m: str = "attrs", name: str = "name") -> Column:
+    """Whether a span is a task's: by its name or its flag in the collector's namespace ``own``."""
+    if not own:
+        return F.lit(False)
+    flag = first_attr(m, own + TASK_ROOT)
+    return F.coalesce(F.col(name) == own + TASK, F.lit(False)) | F.coalesce(flag.isNotNull() & ~flag.isin("false", "0"), F.lit(False))
 
 
-def role(m: str = "attrs", name: str = "name") -> Column:
+def role(own: str = "", m: str = "attrs", name: str = "name") -> Column:
     """Exactly one of root, tool, llm, agent, task, skip, other; what is to be skipped goes first."""
     op = F.coalesce(first_attr(m, "gen_ai.operation.name", "llm.request.type"), F.lit(""))
     k, n = kind(m), F.coalesce(F.col(name), F.lit(""))
     return (
         F.when(op.isin(*SKIP_OPS) | k.isin(*SKIP_KINDS), "skip")
-        .when(F.coalesce(is_task_root(m, name), F.lit(False)), "root")
+        .when(is_task_root(own, m, name), "root")
         .when(n.isin(*SKIP_NAMES), "skip")
         .when(op.isin(*TOOL_OPS) | first_attr(m, "gen_ai.tool.name", "tool.name").isNotNull(), "tool")
         .when(n.startswith("execute_tool ") | n.endswith(".tool") | (n.startswith("function.") & k.isin("tool", "")) | (k == "tool"), "tool")
@@ -84,26 +102,27 @@ def tool_of_name(name: Column) -> Column:
     )
 
 
-def tool_of_span(m: str = "attrs", name: str = "name") -> Column:
+def tool_of_span(own: str = "", m: str = "attrs", name: str = "name") -> Column:
     """A tool span's bare tool name; null for listings and spans without one."""
-    own = first_attr(m, "gen_ai.tool.name", "tool.name")
+    called_by = first_attr(m, "gen_ai.tool.name", "tool.name")
     entity = F.when(kind(m) == "tool", first_attr(m, "traceloop.entity.name"))
     called = F.when(F.col(name) == "tools/call.tool", first_attr(m, "traceloop.entity.input.tool_name"))
-    any_name = F.coalesce(own, entity, called, tool_of_name(F.coalesce(F.col(name), F.lit(""))))
+    any_name = F.coalesce(called_by, entity, called, tool_of_name(F.coalesce(F.col(name), F.lit(""))))
     bare = F.trim(F.substring_index(any_name, "(", 1))
-    return F.when((bare != "") & ~bare.isin(*SKIP_NAMES), bare)
+    return F.when((bare != "") & ~bare.isin(*SKIP_NAMES, *([own + TASK] if own else [])), bare)
 
 
-def association(m: str, key: str) -> Column:
+def association(own: str, key: str, m: str = "attrs") -> Column:
     """An association property: the collector's own key before the JSON object's member."""
     blob = as_map(first_attr(m, "traceloop.association.properties"))
-    return F.coalesce(first_attr(m, OWN_KEYS + key), F.nullif(F.element_at(blob, F.lit(key)), F.lit("")))
+    member = F.nullif(F.element_at(blob, F.lit(key)), F.lit(""))
+    return F.coalesce(first_attr(m, own + key), member) if own else member
 
 
-def success_of_span(m: str = "attrs") -> Column:
+def success_of_span(own: str, m: str = "attrs") -> Column:
     blob = as_map(first_attr(m, "traceloop.association.properties"))
-    raw = F.coalesce(first_attr(m, OWN_KEYS + "success", "traceloop.association.properties.success"), F.element_at(blob, F.lit("success")))
-    return optional_bool(raw)
+    keys = [*([own + "success"] if own else []), "traceloop.association.properties.success"]
+    return optional_bool(F.coalesce(first_attr(m, *keys), F.element_at(blob, F.lit("success"))))
 
 
 def tool_arguments(m: str = "attrs") -> Column:

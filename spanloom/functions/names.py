@@ -64,6 +64,15 @@ def app_key_sql(c: str) -> str:
     return f"CASE WHEN {t} <> '' AND {t} NOT IN ({', '.join(repr(x) for x in UNKNOWN_APPS)}) THEN {t} END"
 
 
+def split_key(c: Column | str) -> Column:
+    """The name of a split, trimmed, in lower case."""
+    return F.lower(F.btrim(_col(c), F.lit(_SPACE)))
+
+
+def split_key_sql(c: str) -> str:
+    return f"lower(trim({c}, ' \t\r\n '))"
+
+
 def words(c: Column | str) -> Column:
     """The longest runs of letters and digits of the lower-cased text, in order."""
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

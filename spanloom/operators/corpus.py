@@ -20,11 +20,11 @@ def success(own: str = "success", score: str = "score") -> Column:
 
 
 def records(trajectories: DataFrame) -> DataFrame:
-    """One row per record: canonical task and app, success, distinct tools, names of its steps (null: no tool)."""
+    """One row per record: canonical task and app, success, distinct tools, split, names of its steps (null: no tool)."""
     spans = F.coalesce("spans", F.slice("spans", 1, 0))
     return trajectories.select(
         "record_id", N.task_key("task_id").alias("task"), N.app_key("app_name").alias("app"), "intent", success().alias("success"), N.tools_of_record().alias("tools"),
-        F.transform(F.coalesce(F.col("spans.action"), F.array().cast("array<string>")), N.tool_name).alias("names"), spans.alias("steps"), "metadata", "split_name", "recorded_at",
+        F.transform(F.coalesce(F.col("spans.action"), F.array().cast("array<string>")), N.tool_name).alias("names"), spans.alias("steps"), "metadata", N.split_key("split_name").alias("split_name"), "recorded_at",
     )
 
 
@@ -32,6 +32,12 @@ def tool_frequency(recs: DataFrame) -> DataFrame:
     return recs.select(F.explode("tools").alias("tool")).groupBy("tool").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def guarded_frequency(rows: DataFrame, train_frequency: DataFrame, tool: str = "tool") -> DataFrame:
+    """Adds ``tool_frequency`` as training has it, 0 for tools that training has not: nothing of other splits leaks in."""
+    f = train_frequency.select(F.col("tool").alias(tool), F.col("n_records").alias("_n"))
+    return rows.join(f, tool, "left").withColumn("tool_frequency", F.coalesce("_n", F.lit(0))).drop("_n")
+
+
 def co_occurrence(recs: DataFrame) -> DataFrame:
     """Both directions of every pair, with the number of records that hold both."""
     baskets = recs.filter(F.size("tools") > 1).groupBy("tools").agg(F.count(F.lit(1)).alias("w"))

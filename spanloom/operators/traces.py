@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import attrs as A
 from ..functions.ids import canonical_id, parent_id
-from ..joins import asof_last
+from ..joins import asof_last, next_in_order
 from ..storage import Scratch
 from . import hierarchy
 from .twins import client_twins
@@ -33,8 +33,12 @@ class ProjectionConfig:
     max_thought_chars: int = 2000
 
 
-def clean_spans(deliveries: DataFrame) -> DataFrame:
-    """One row per span: its first delivery, ids in one notation, attributes as maps of text."""
+def clean_spans(deliveries: DataFrame, prefix: str | None = None) -> DataFrame:
+    """One row per span: its first delivery, ids in one notation, attributes as maps of text, and what the collector noted.
+
+    ``prefix`` is that of the collector's own keys; by default the setting's, else the one found in the data.
+    """
+    own = A.collector_prefix(deliveries) if prefix is None else prefix
     t = deliveries.select(
         canonical_id("trace_id", 16).alias("trace_id"),
         canonical_id("span_id", 8).alias("span_id"),
@@ -43,7 +47,9 @@ def clean_spans(deliveries: DataFrame) -> DataFrame:
     ).filter("trace_id is not null and span_id is not null")
     one = t.groupBy("trace_id", "span_id").agg(F.min_by("_x", "_at").alias("_x")).select("trace_id", "span_id", "_x.*")
     out = one.withColumn("attrs", A.as_map("attributes")).withColumn("res", A.as_map("resource")).drop("attributes", "resource")
-    return out.withColumn("kind", A.kind()).withColumn("role", A.role()).withColumn("tool", F.when(F.col("role") == "tool", A.tool_of_span()))
+    noted = {f"own_{k}": A.association(own, k) for k in ("task_id", "intent", "app_name")}
+    out = out.withColumns({"kind": A.kind(), "role": A.role(own), "is_task": A.is_task_root(own), "own_success": A.success_of_span(own), **noted})
+    return out.withColumn("tool", F.when(F.col("role") == "tool", A.tool_of_span(own)))
 
 
 def root_spans(spans: DataFrame) -> DataFrame:
@@ -51,7 +57,7 @@ def root_spans(spans: DataFrame) -> DataFrame:
     outer = F.col("kind").isin("workflow", "agent")
     parents = spans.filter(outer).select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_inner"))
     j = spans.join(parents, ["trace_id", "parent_span_id"], "left")
-    rule = F.when(F.coalesce(A.is_task_root(), F.lit(False)), 0).when(outer & F.col("_inner").isNull(), 1).when(F.col("parent_span_id").isNull(), 2).otherwise(3)
+    rule = F.when(F.col("is_task"), 0).when(outer & F.col("_inner").isNull(), 1).when(F.col("parent_span_id").isNull(), 2).otherwise(3)
     return j.groupBy("trace_id").agg(F.min_by("span_id", F.struct(rule, "start", "span_id")).alias("root_span_id"), F.min(F.struct(rule, F.col("start"), F.col("span_id")))["col1"].alias("root_rule"))
 
 
@@ -77,18 +83,18 @@ def trace_fields(spans: DataFrame, config: ProjectionConfig = ProjectionConfig()
     number = lambda key: F.sum(F.coalesce(A.first_attr("attrs", key, key.replace("gen_ai.", "llm.")).try_cast("double").cast("long"), F.lit(0)))
     a = [
         F.first("root_span_id").alias("root_span_id"),
-        _pick(A.association("attrs", "task_id"), by_start, is_root).alias("assoc_task"),
+        _pick(F.col("own_task_id"), by_start, is_root).alias("assoc_task"),
         _pick(A.first_attr("attrs", "gen_ai.task.id"), by_start, F.col("role").isin("root", "agent")).alias("gen_ai_task"),
         _pick(A.first_attr("attrs", "gen_ai.conversation.id"), by_start).alias("conversation"),
-        _pick(A.association("attrs", "intent"), by_start, is_root).alias("assoc_intent"),
+        _pick(F.col("own_intent"), by_start, is_root).alias("assoc_intent"),
         _pick(F.nullif(A.strip(A.first_attr("attrs", "gen_ai.task.input")), F.lit("")), by_start).alias("task_input"),
         _pick(A.first_attr("attrs", "traceloop.entity.input"), by_start, is_root).alias("entity_input"),
         _pick(F.get("_users", F.lit(0)), by_start).alias("first_user"),
         F.min(F.when(F.col("_calls"), F.col("start"))).alias("first_call_start"),
-        _pick(A.success_of_span(), root_first).alias("assoc_success"),
+        _pick(F.col("own_success"), root_first).alias("assoc_success"),
         _pick(F.lower(A.first_attr("attrs", "gen_ai.task.status")), root_first, F.lower(A.first_attr("attrs", "gen_ai.task.status")).isin("success", "failure")).alias("task_status"),
         F.max_by("tool", F.when(F.col("tool").isNotNull(), by_start)).alias("last_tool"),
-        _pick(A.association("attrs", "app_name"), by_start, is_root).alias("assoc_app"),
+        _pick(F.col("own_app_name"), by_start, is_root).alias("assoc_app"),
         _pick(A.first_attr("res", "service.name"), root_first).alias("service"),
         _pick(A.first_attr("attrs", "traceloop.workflow.name", "gen_ai.agent.name"), root_first).alias("workflow"),
         F.count(F.lit(1)).alias("spans_in"),
@@ -130,40 +136,36 @@ def trace_fields(spans: DataFrame, config: ProjectionConfig = ProjectionConfig()
     return t.select("trace_id", "root_span_id", "task_id", "intent", "intent_source", "success", "success_source", "app_name", "framework", "conversation", "service", "spans_in", *[f"n_{r}" for r in ("root", "tool", "llm", "agent", "task", "skip", "other", "named_tools")], "input_tokens", "output_tokens", "total_tokens")
 
 
-def _last_user(s: DataFrame, t: DataFrame, preamble: int = 2000) -> DataFrame:
-    """The last user message of spans that start no later than the first one with a call; a long first one is passed over."""
+def _last_user(s: DataFrame, t: DataFrame) -> DataFrame:
+    """The last user message of spans that start no later than the first one with a call; without one, the last of all."""
     u = s.join(t.select("trace_id", "first_call_start"), "trace_id").select("trace_id", "start", "span_id", "first_call_start", F.posexplode("_users").alias("i", "text"))
     at = F.struct("start", "span_id", "i")
     early = F.col("first_call_start").isNull() | (F.col("start") <= F.col("first_call_start"))
-    agg = lambda cond: [F.max_by("text", F.when(cond, at)), F.min_by("text", F.when(cond, at)), F.count(F.when(cond, 1))]
-    g = u.groupBy("trace_id").agg(*[c.alias(n) for c, n in zip(agg(early) + agg(F.lit(True)), ("e_last", "e_first", "e_n", "a_last", "a_first", "a_n"))])
-    return g.select("trace_id", F.when(F.col("e_n") > 0, F.col("e_last")).otherwise(F.col("a_last")).alias("last_user"))
+    return u.groupBy("trace_id").agg(F.coalesce(F.max_by("text", F.when(early, at)), F.max_by("text", at)).alias("last_user"))
 
 
-def nearest_agents(spans: DataFrame) -> DataFrame:
-    """(trace_id, span_id, agent_name): the span's own agent, else that of the nearest span above, else ''.
+def span_trees(spans: DataFrame, cap: int = hierarchy.GROUP_CAP) -> DataFrame:
+    """Hierarchies of clean spans with ``agent_name``: the span's own agent, else that of the nearest span above, else ''.
 
-    By pointer jumping: after k rounds a span knows the nearest agent within 2^k steps, or where to look next, so deep
-    chains take few rounds; a round that settles nothing leaves only circles, whose agent is ''.
+    Small traces are solved whole, large ones by doubling, both in the same passes as the ranges.
     """
-    cur = spans.select("trace_id", "span_id", A.first_attr("attrs", "gen_ai.agent.name").alias("agent"), F.col("parent_span_id").alias("up"))
-    scratch = Scratch(spans.sparkSession, "agents")
-    cur = scratch.cut(cur, "state")
-    before = -1
-    while (left := cur.filter("agent is null and up is not null").count()) not in (0, before):
-        before = left
-        known = cur.select("trace_id", F.col("span_id").alias("up"), F.col("agent").alias("up_agent"), F.col("up").alias("up_up"))
-        moved = cur.filter("agent is null and up is not null").join(known, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("up_agent").alias("agent"), F.when(F.col("up_agent").isNull(), F.col("up_up")).alias("up"))
-        cur = scratch.cut(cur.filter("agent is not null or up is null").unionByName(moved), "state")
-    return cur.select("trace_id", "span_id", F.coalesce("agent", F.lit("")).alias("agent_name"))
+    trees = hierarchy.solve(hierarchy.span_links(spans, A.first_attr("attrs", "gen_ai.agent.name")), False, cap)
+    return trees.withColumn("agent_name", F.coalesce("nearest", F.lit(""))).drop("nearest", "path")
+
+
+def nearest_agents(spans: DataFrame, cap: int = hierarchy.GROUP_CAP) -> DataFrame:
+    """(trace_id, span_id, agent_name)."""
+    return span_trees(spans, cap).select("trace_id", "span_id", "agent_name")
 
 
 def innermost_tools(spans: DataFrame, trees: DataFrame) -> DataFrame:
-    """Named tool spans without the wrappers: of spans of one tool on one path downward only the innermost stays."""
-    tools = spans.filter("tool is not null").join(trees.select("trace_id", "span_id", "root_span_id", "lo", "hi"), ["trace_id", "span_id"], "left")
-    w = Window.partitionBy("trace_id", "root_span_id", "tool").orderBy("lo", "span_id")
-    wraps = F.coalesce((F.lead("lo").over(w) <= F.col("hi")) & (F.col("root_span_id") != ""), F.lit(False))
-    return tools.withColumn("_wraps", wraps).filter(~F.col("_wraps")).drop("_wraps", "root_span_id", "lo", "hi")
+    """Named tool spans without the wrappers: of spans of one tool on one path downward only the innermost stays.
+
+    A span wraps another of its tool if the next one of the tree in preorder lies in its range.
+    """
+    slim = spans.filter("tool is not null").select("trace_id", "span_id", "tool").join(trees.select("trace_id", "span_id", "root_span_id", "lo", "hi"), ["trace_id", "span_id"])
+    wraps = next_in_order(slim.filter("lo is not null"), ["trace_id", "root_span_id", "tool"], ["lo", "span_id"], "lo", "_next").filter("_next <= hi")
+    return spans.filter("tool is not null").join(wraps.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_anti")
 
 
 def previous_llm(spans: DataFrame) -> DataFrame:
@@ -176,8 +178,8 @@ def previous_llm(spans: DataFrame) -> DataFrame:
 def message_decisions(spans: DataFrame) -> DataFrame:
     """Tool calls of traces without a named tool span, read from the latest model span's input messages.
 
-    A call with an id counts once, where it is first seen; without an id once per message, name and arguments. Calls that
-    only the span's output has follow, if they have an id. The first response with its id is its observation.
+    A call with an id counts once, where it is first seen; without an id once per message, name and arguments, these as
+    JSON values: order of keys and blanks don't matter. Calls that only the span's output has follow, if they have an id. The first response with its id is its observation.
     """
     per = spans.groupBy("trace_id").agg(F.max((F.col("tool").isNotNull())).alias("named"), F.max_by("attrs", F.when(F.col("role") == "llm", F.struct("start", "span_id"))).alias("attrs"))
     none = F.array().cast("array<string>")
@@ -190,7 +192,8 @@ def message_decisions(spans: DataFrame) -> DataFrame:
     calls = msgs.select("trace_id", "m", F.posexplode("calls").alias("c", "call")).select("trace_id", "m", "c", F.col("call.id").alias("call_id"), F.trim(F.substring_index("call.name", "(", 1)).alias("tool"), F.col("call.arguments").alias("arguments")).filter("tool <> ''")
     has_id = F.col("call_id") != ""
     blank = lambda c: F.when(~has_id, F.col(c))
-    first = calls.groupBy("trace_id", F.col("call_id").alias("k"), blank("tool").alias("kt"), blank("arguments").alias("ka"), blank("m").alias("km")).agg(F.min_by(F.struct("call_id", "tool", "arguments"), F.struct("m", "c")).alias("x"), F.min(F.struct("m", "c")).alias("at"))
+    calls = calls.withColumn("canonical", F.coalesce(F.to_json(F.try_parse_json("arguments")), "arguments"))
+    first = calls.groupBy("trace_id", F.col("call_id").alias("k"), blank("tool").alias("kt"), blank("canonical").alias("ka"), blank("m").alias("km")).agg(F.min_by(F.struct("call_id", "tool", "arguments"), F.struct("m", "c")).alias("x"), F.min(F.struct("m", "c")).alias("at"))
     out = first.select("trace_id", "at.m", "at.c", "x.*").join(responses, ["trace_id", "call_id"], "left")
     return out.select("trace_id", F.col("m").alias("message"), F.col("c").alias("place"), "call_id", "tool", "arguments", F.coalesce("observation", F.lit("")).alias("observation"))
 
@@ -209,19 +212,34 @@ def drop_reason(config: ProjectionConfig) -> Column:
 
 def project(deliveries: DataFrame, config: ProjectionConfig = ProjectionConfig()) -> tuple[DataFrame, DataFrame]:
     """(traces with ``n_steps`` and ``drop_reason``, steps of all traces in order)."""
-    spans = Scratch(deliveries.sparkSession, "project").cut(clean_spans(deliveries), "spans")
-    trees = hierarchy.hierarchies(deliveries, with_path=False)
-    tools = innermost_tools(spans.join(client_twins(spans), ["trace_id", "span_id"], "left_anti"), trees)
+    scratch = Scratch(deliveries.sparkSession, "project")
+    return project_spans(scratch.cut(clean_spans(deliveries), "spans"), config)
+
+
+def project_spans(spans: DataFrame, config: ProjectionConfig = ProjectionConfig()) -> tuple[DataFrame, DataFrame]:
+    """The same of clean spans, a written table."""
+    scratch = Scratch(spans.sparkSession, "project")
+    trees = scratch.cut(span_trees(spans), "trees")
+    gone = client_twins(spans)  # settled before wrappers are folded
+    tools = innermost_tools(spans if gone is None else spans.join(gone, ["trace_id", "span_id"], "left_anti"), trees)
+    calls = message_decisions(spans)
     if config.drop_tools:
-        tools = tools.filter(~F.col("tool").isin(*config.drop_tools))
-    steps = tools.join(nearest_agents(spans), ["trace_id", "span_id"], "left").join(previous_llm(spans), ["trace_id", "span_id"], "left")
+        tools, calls = (d.filter(~F.col("tool").isin(*config.drop_tools)) for d in (tools, calls))
+    n_steps = tools.select("trace_id").unionByName(calls.select("trace_id")).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_steps"))
+    fields = trace_fields(spans, config).join(n_steps, "trace_id", "left").fillna(0, ["n_steps"])
+
+    steps = tools.join(trees.select("trace_id", "span_id", "agent_name"), ["trace_id", "span_id"], "left").join(previous_llm(spans), ["trace_id", "span_id"], "left")
     said = spans.filter("role = 'llm'").select("trace_id", F.col("span_id").alias("llm_span_id"), A.assistant_text(max_chars=config.max_thought_chars).alias("thoughts")).filter("thoughts <> ''")
     steps = steps.join(said, ["trace_id", "llm_span_id"], "left").withColumn("thoughts", F.coalesce("thoughts", F.lit("")))
     steps = steps.select("trace_id", F.struct(F.lit(0).alias("a"), F.col("start").alias("b"), F.col("span_id").alias("c")).alias("at"), F.coalesce("agent_name", F.lit("")).alias("agent_name"), F.col("tool").alias("action"), A.observation(max_chars=config.max_observation_chars).alias("observation"), A.tool_arguments().alias("arguments"), "thoughts", F.lit("tool").alias("origin"))
-    calls = message_decisions(spans)
-    if config.drop_tools:
-        calls = calls.filter(~F.col("tool").isin(*config.drop_tools))
     more = calls.select("trace_id", F.struct(F.lit(1).alias("a"), (F.col("message") * 100_000 + F.col("place")).cast("long").alias("b"), F.lit("").alias("c")).alias("at"), F.lit("").alias("agent_name"), F.col("tool").alias("action"), F.substring("observation", 1, config.max_observation_chars).alias("observation"), "arguments", F.lit("").alias("thoughts"), F.lit("llm_fallback").alias("origin"))
-    steps = steps.unionByName(more)
-    fields = trace_fields(spans, config).join(steps.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_steps")), "trace_id", "left").fillna(0, ["n_steps"])
-    return fields.withColumn("drop_reason", drop_reason(config)), steps
+    return fields.withColumn("drop_reason", drop_reason(config)), steps.unionByName(more)
+
+
+def trajectories(fields: DataFrame, steps: DataFrame) -> DataFrame:
+    """The kept traces as trajectories: their steps in order in one array, where they come from as metadata in JSON."""
+    per = steps.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("at", "agent_name", "action", "observation", "thoughts"))).alias("x"))
+    spans = F.transform("x", lambda s: F.struct(s["agent_name"].alias("agent_name"), s["action"].alias("action"), s["observation"].alias("observation"), s["thoughts"].alias("thoughts")))
+    meta = F.to_json(F.struct("success_source", "intent_source", F.col("trace_id").alias("otel.trace_id"), F.col("framework").alias("projection.framework")))
+    kept = fields.filter("drop_reason is null").join(per, "trace_id", "left")
+    return kept.select("task_id", "intent", "app_name", "success", F.coalesce(spans, F.slice(spans, 1, 0)).alias("spans"), meta.alias("metadata"))

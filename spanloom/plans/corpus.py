@@ -27,6 +27,13 @@ def tool_cooccurrence(spark, sf_dir):
     return corpus.co_occurrence(_recs(spark, sf_dir))
 
 
+def total_records(spark, sf_dir):
+    """AG4, TK5: records in all and the five most common tools."""
+    recs = _recs(spark, sf_dir)
+    top = corpus.tool_frequency(recs).orderBy(F.desc("n_records"), "tool").limit(5)
+    return top.crossJoin(F.broadcast(recs.agg(F.count(F.lit(1)).alias("n_total"))))
+
+
 def app_tool_sets(spark, sf_dir):
     """AG3, AG11."""
     return corpus.app_tools(_recs(spark, sf_dir)).withColumn("tools", F.array_join("tools", ","))
@@ -91,9 +98,22 @@ def candidate_text(spark, sf_dir):
 
 
 def spec_coverage(spark, sf_dir):
-    """AG28, AG29, JN20, SO4: tools in use that the catalog knows or lacks."""
+    """AG28, AG29: how many tools in use the catalog knows, and the share."""
     used = corpus.tool_frequency(_recs(spark, sf_dir)).select("tool").join(_catalog(spark, sf_dir).select("tool", F.lit(1).alias("known")), "tool", "left")
-    return used.agg(F.count(F.lit(1)).alias("n_used"), F.coalesce(F.sum("known"), F.lit(0)).alias("n_resolved"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.col("tool")))), ",").alias("missing"))
+    return used.agg(F.count(F.lit(1)).alias("n_used"), F.coalesce(F.sum("known"), F.lit(0)).alias("n_resolved")).withColumn("coverage", F.round(F.coalesce(F.try_divide("n_resolved", "n_used"), F.lit(0.0)), 6))
+
+
+def missing_specs(spark, sf_dir):
+    """JN20, SO4: tools in use that the catalog lacks, one row each."""
+    return corpus.tool_frequency(_recs(spark, sf_dir)).join(_catalog(spark, sf_dir).select("tool"), "tool", "left_anti")
+
+
+def train_frequency_guard(spark, sf_dir):
+    """FLT9: rows of other splits whose tools training has never seen, by how many; their frequency must count as 0."""
+    recs = _recs(spark, sf_dir)
+    freq = corpus.tool_frequency(recs.filter("split_name = 'train'"))
+    ev = recs.filter("split_name in ('test', 'validation')").select("record_id", F.explode("tools").alias("tool"))
+    return corpus.guarded_frequency(ev, freq).groupBy("record_id").agg(F.sum((F.col("tool_frequency") == 0).cast("long")).alias("n_unseen"), F.sum("tool_frequency").alias("frequency"))
 
 
 def tool_app_match(spark, sf_dir):
@@ -131,7 +151,7 @@ def mixed_negatives(spark, sf_dir):
     recs = _recs(spark, sf_dir)
     train = recs.filter("split_name = 'train'")
     d = sampling.mixed_negatives(recs.select("record_id", "app", "tools"), _catalog(spark, sf_dir), corpus.app_tools(train), corpus.co_occurrence(train), n=6)
-    return d.select("record_id", F.size("negatives").cast("long").alias("n"), F.size(F.array_distinct("negatives")).cast("long").alias("n_distinct"), F.size(F.array_intersect("negatives", "tools")).cast("long").alias("n_wrong"))
+    return d.select("record_id", F.array_join("negatives", ",").alias("negatives"))
 
 
 def pointwise_rows(spark, sf_dir):
@@ -173,7 +193,7 @@ def unseen_tasks(spark, sf_dir):
     return ev.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_tools"), F.coalesce(F.sum("known"), F.lit(0)).alias("n_known")).withColumn("unseen", F.col("n_known") == 0)
 
 
-QUERIES = (tool_frequency, tool_cooccurrence, app_tool_sets, dominant_app, quality_gate, gate_counts, prev_tools_context, history_summary, span_expansion, catalog_merge, tool_features, candidate_text, spec_coverage, tool_app_match, cooccurrence_score, random_negatives, hard_negatives, mixed_negatives, pointwise_rows, per_decision_rows, app_scoped_candidates, group_split, group_kfold, unseen_tasks)
+QUERIES = (tool_frequency, tool_cooccurrence, app_tool_sets, dominant_app, quality_gate, gate_counts, prev_tools_context, history_summary, span_expansion, catalog_merge, tool_features, candidate_text, spec_coverage, missing_specs, train_frequency_guard, total_records, tool_app_match, cooccurrence_score, random_negatives, hard_negatives, mixed_negatives, pointwise_rows, per_decision_rows, app_scoped_candidates, group_split, group_kfold, unseen_tasks)
 
 
 def queries() -> dict:
@@ -184,7 +204,7 @@ def records_sql() -> str:
     """CTEs: rec (records with their tools) and st (steps, k from 0)."""
     name = N.tool_name_sql
     names = lambda c: f"[z FOR z IN [{name('x')} FOR x IN {c}] IF z IS NOT NULL]"
-    return f"""rec AS (SELECT record_id, {N.task_key_sql('task_id')} AS task, {N.app_key_sql('app_name')} AS app, intent, coalesce(success, score >= 1, true) AS success, split_name, recorded_at, metadata, spans,
+    return f"""rec AS (SELECT record_id, {N.task_key_sql('task_id')} AS task, {N.app_key_sql('app_name')} AS app, intent, coalesce(success, score >= 1, true) AS success, {N.split_key_sql('split_name')} AS split_name, recorded_at, metadata, spans,
         list_sort(list_distinct(CASE WHEN len(tools_used) > 0 THEN {names('tools_used')} ELSE coalesce({names('[y.action FOR y IN spans]')}, []) END)) AS tools FROM trajectories),
       st AS (SELECT record_id, k, {name('s.action')} AS tool, s.observation AS obs, s.thoughts AS th FROM (SELECT record_id, unnest(range(len(spans))) AS k, unnest(spans) AS s FROM trajectories)),
       ut AS (SELECT record_id, app, split_name, unnest(tools) AS tool FROM rec), cat AS (SELECT {name('tool_name')} AS tool, description FROM tool_catalog)"""
@@ -227,6 +247,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "tool_frequency": f"WITH {base} SELECT tool, count(*) AS n_records FROM ut GROUP BY tool",
         "tool_cooccurrence": f"WITH {base} SELECT a.tool AS tool_a, b.tool AS tool_b, count(*) AS n_together FROM ut a JOIN ut b ON a.record_id = b.record_id AND a.tool <> b.tool GROUP BY ALL",
+        "total_records": f"WITH {base} SELECT tool, count(*) AS n_records, (SELECT count(*) FROM trajectories) AS n_total FROM ut GROUP BY tool ORDER BY n_records DESC, tool LIMIT 5",
         "app_tool_sets": f"WITH {base} SELECT app, string_agg(tool, ',' ORDER BY tool) AS tools, count(*) AS n_tools FROM (SELECT DISTINCT app, tool FROM ut WHERE app IS NOT NULL) GROUP BY app",
         "dominant_app": f"WITH {base}, u AS (SELECT record_id, tool, min(k) AS k FROM st WHERE tool IS NOT NULL GROUP BY ALL), f AS (SELECT record_id, app_family, count(*) AS n, min(k) AS k FROM u JOIN tool_catalog ON tool_name = tool GROUP BY ALL) SELECT record_id, arg_min(app_family, (-n, k)) AS app_family FROM f GROUP BY record_id",
         "quality_gate": f"WITH {gate} SELECT record_id, drop_reason FROM q",
@@ -239,7 +260,9 @@ def oracle_sql() -> dict[str, str]:
         "tool_features": f"""WITH {base}, f AS (SELECT tool, count(*) AS n FROM ut GROUP BY tool) SELECT tool_name, CAST(length(tool_name) AS INTEGER) AS tool_name_length, coalesce(description, '') <> '' AS has_description, CAST(coalesce(len(parameters), 0) AS BIGINT) AS n_params, {', '.join(map(n_of, ('string', 'integer', 'number', 'boolean', 'array')))},
           CAST(len([p FOR p IN parameters IF len(p.enum) > 0]) AS BIGINT) AS n_enum_params, coalesce(len(parameters), 0) > 0 AS has_parameters, coalesce(n, 0) AS tool_frequency FROM tool_catalog LEFT JOIN f ON tool = tool_name""",
         "candidate_text": "SELECT tool_name, concat_ws(' | ', tool_name, nullif(description, ''), CASE WHEN len(parameters) > 0 THEN 'args: ' || array_to_string([p.name || ' (' || p.type || ')' || CASE WHEN coalesce(p.description, '') <> '' THEN ': ' || p.description ELSE '' END FOR p IN parameters], '; ') END) AS text FROM tool_catalog",
-        "spec_coverage": f"WITH {base}, u AS (SELECT DISTINCT tool FROM ut) SELECT count(*) AS n_used, count(cat.tool) AS n_resolved, coalesce(string_agg(u.tool, ',' ORDER BY u.tool) FILTER (WHERE cat.tool IS NULL), '') AS missing FROM u LEFT JOIN cat USING (tool)",
+        "spec_coverage": f"WITH {base}, u AS (SELECT DISTINCT tool FROM ut) SELECT count(*) AS n_used, count(cat.tool) AS n_resolved, round(count(cat.tool) / count(*), 6) AS coverage FROM u LEFT JOIN cat USING (tool)",
+        "missing_specs": f"WITH {base} SELECT ut.tool, count(*) AS n_records FROM ut LEFT JOIN cat USING (tool) WHERE cat.tool IS NULL GROUP BY ut.tool",
+        "train_frequency_guard": f"WITH {base}, f AS (SELECT tool, count(*) AS n FROM ut WHERE {tr} GROUP BY tool) SELECT record_id, CAST(count(*) FILTER (WHERE n IS NULL) AS BIGINT) AS n_unseen, CAST(sum(coalesce(n, 0)) AS BIGINT) AS frequency FROM ut LEFT JOIN f USING (tool) WHERE split_name IN ('test', 'validation') GROUP BY record_id",
         "tool_app_match": f"WITH {base}, k AS (SELECT DISTINCT app, tool FROM ut WHERE {tr} AND app IS NOT NULL) SELECT st.record_id, CAST(st.k AS INTEGER) AS k, st.tool, CAST(k.tool IS NOT NULL AS INTEGER) AS tool_app_match FROM st JOIN rec USING (record_id) LEFT JOIN k ON k.app = rec.app AND k.tool = st.tool WHERE st.tool IS NOT NULL",
         "cooccurrence_score": f"WITH {base} SELECT a.record_id, CAST(a.k AS INTEGER) AS k, a.tool, round(sum(coalesce(n_together, 0)) / count(*), 6) AS tool_co_occurrence FROM st a JOIN st b ON a.record_id = b.record_id AND b.k < a.k AND b.tool IS NOT NULL LEFT JOIN co_occurrence c ON c.tool_a = a.tool AND c.tool_b = b.tool WHERE a.tool IS NOT NULL GROUP BY ALL",
         "random_negatives": f"WITH {base}, x AS (SELECT record_id AS id, tools AS ex FROM rec), {neg('3')} SELECT id AS record_id, array_to_string(negatives, ',') AS negatives FROM ng",

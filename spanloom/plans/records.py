@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_id_sql
 from ..operators import dedup, flatten, hierarchy
-from ..storage import new_path
+from ..storage import Scratch, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +50,9 @@ def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All spans below each agent span that is a root."""
+    """All spans below every span, with their distance."""
     trees = hierarchy.hierarchies(table(spark, sf_dir, "otel_spans"), with_path=False)
-    return hierarchy.descendants(trees, trees.filter("tree_depth = 0"))
+    return hierarchy.descendants(Scratch(spark, "trees").cut(trees, "trees"))
 
 
 def queries() -> dict:
@@ -89,5 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": f"WITH RECURSIVE {graph} SELECT l.t AS trace_id, l.s AS span_id, coalesce(w.r, '') AS root_span_id, CAST(coalesce(w.n, -1) AS INTEGER) AS tree_depth FROM l LEFT JOIN w ON w.t = l.t AND w.s = l.s",
         "p7_paths": f"""WITH RECURSIVE {graph}, b AS (SELECT t, a, count(*) AS n FROM (SELECT t, unnest(string_split(path, '/')) AS a FROM w) GROUP BY t, a)
           SELECT w.t AS trace_id, w.s AS span_id, path, b.n - 1 AS n_below FROM w JOIN b ON b.t = w.t AND b.a = w.s""",
-        "p7_descendants": f"WITH RECURSIVE {graph} SELECT t AS trace_id, r AS ancestor_span_id, s AS span_id, CAST(n AS INTEGER) AS distance FROM w WHERE n > 0",
+        "p7_descendants": f"WITH RECURSIVE {graph}, a AS (SELECT t, s, n, unnest(string_split(path, '/')) AS a, unnest(range(n + 1)) AS k FROM w) SELECT t AS trace_id, a AS ancestor_span_id, s AS span_id, CAST(n - k AS INTEGER) AS distance FROM a WHERE k < n",
     }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attrs as A
 from ..functions.ids import canonical_id_sql
-from ..operators import hierarchy, traces
+from ..operators import traces, twins
 from ..storage import Scratch
 from .records import table
 
@@ -75,8 +75,8 @@ def asof_thoughts(spark, sf_dir):
 
 def innermost_tools(spark, sf_dir):
     """JN6: tool spans without wrappers."""
-    trees = hierarchy.hierarchies(table(spark, sf_dir, "otel_spans"), with_path=False)
-    return traces.innermost_tools(_kept(spark, sf_dir), trees).select("trace_id", "span_id", "tool")
+    spans = _kept(spark, sf_dir)
+    return traces.innermost_tools(spans, traces.span_trees(spans)).select("trace_id", "span_id", "tool")
 
 
 def call_response_pairing(spark, sf_dir):
@@ -90,6 +90,19 @@ def drop_reason_counts(spark, sf_dir):
     return fields.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason")).agg(F.count(F.lit(1)).alias("n_traces"), F.sum("n_steps").alias("n_steps"))
 
 
+def projected_steps(spark, sf_dir):
+    """EXT13-EXT15, PRJ17, JN3, JN4: the steps of all traces, with agent, thought and a digest of the observation."""
+    _, steps = traces.project(table(spark, sf_dir, "otel_spans"))
+    return steps.select("trace_id", F.col("at.c").alias("span_id"), "agent_name", "action", F.md5("observation").alias("observation_md5"), "origin")
+
+
+def client_twin_spans(spark, sf_dir):
+    """JN5, EXT9, EXT10: client spans whose call the server recorded too."""
+    spans = _kept(spark, sf_dir)
+    gone = twins.client_twins(spans)
+    return gone if gone is not None else spans.filter(F.lit(False)).select("trace_id", "span_id")
+
+
 def catalog_first_source(spark, sf_dir):
     """AG8, SO1: tools seen in spans; the first description in order of start wins."""
     s = _spans(spark, sf_dir).filter("tool is not null")
@@ -108,7 +121,7 @@ def idle_sessions(spark, sf_dir):
 
 
 def queries() -> dict:
-    fs = (classify_spans, tool_io, trace_roots, role_counts, token_sums, trace_fields, first_user_intent, last_user_intent, nearest_agent, asof_thoughts, innermost_tools, call_response_pairing, drop_reason_counts, catalog_first_source, idle_sessions)
+    fs = (classify_spans, tool_io, trace_roots, role_counts, token_sums, trace_fields, first_user_intent, last_user_intent, nearest_agent, asof_thoughts, innermost_tools, call_response_pairing, drop_reason_counts, projected_steps, client_twin_spans, catalog_first_source, idle_sessions)
     return {f.__name__: f for f in fs}
 
 
@@ -116,23 +129,29 @@ def _attr(*keys: str, of: str = "j") -> str:
     return "coalesce(" + ", ".join(f"""nullif({of} ->> '$."{k}"', '')""" for k in keys) + ", NULL)"
 
 
+def _own(key: str) -> str:
+    """A member of the collector's own namespace."""
+    return f"""nullif(j ->> ('$."' || own || '{key}"'), '')"""
+
+
 def clean_spans_sql() -> str:
-    """CTEs: s (clean spans with kind, role, tool)."""
+    """CTEs: s (clean spans with kind, role, tool; ``own`` is the collector's prefix, found in the data)."""
     t, s, p = canonical_id_sql("trace_id", 16), canonical_id_sql("span_id", 8), canonical_id_sql("parent_span_id", 8)
     kind = f"lower(coalesce({_attr('traceloop.span.kind', 'openinference.span.kind')}, ''))"
-    root = f"(name = '{A.TASK_SPAN}' OR coalesce({_attr(A.TASK_ROOT)} NOT IN ('false', '0'), false))"
-    own = f"coalesce({_attr('gen_ai.tool.name', 'tool.name')}, CASE WHEN kind = 'tool' THEN {_attr('traceloop.entity.name')} END, CASE WHEN name = 'tools/call.tool' THEN {_attr('traceloop.entity.input.tool_name')} END"
+    root = f"(coalesce(name = own || '{A.TASK}', false) OR coalesce({_own(A.TASK_ROOT)} NOT IN ('false', '0'), false))"
+    called = f"coalesce({_attr('gen_ai.tool.name', 'tool.name')}, CASE WHEN kind = 'tool' THEN {_attr('traceloop.entity.name')} END, CASE WHEN name = 'tools/call.tool' THEN {_attr('traceloop.entity.input.tool_name')} END"
     named = "CASE WHEN name LIKE 'execute_tool %' THEN trim(substr(name, 14)) WHEN name = 'tools/call.tool' THEN '' WHEN name LIKE '%.tool' THEN trim(left(name, length(name) - 5)) WHEN name LIKE 'function.%' THEN trim(substr(name, 10)) ELSE '' END"
-    bare = f"trim(split_part({own}, {named}), '(', 1))"
-    return f"""s0 AS (SELECT {t} AS trace_id, {s} AS span_id, {p} AS p, name, start_time_unix_nano AS t0, end_time_unix_nano AS t1, received_at, delivery_id,
-        CASE WHEN json_valid(attributes) THEN CAST(attributes AS JSON) END AS j, CASE WHEN json_valid(resource) THEN CAST(resource AS JSON) END AS r FROM otel_spans),
+    bare = f"trim(split_part({called}, {named}), '(', 1))"
+    prefix = """pf AS (SELECT coalesce((SELECT p FROM (SELECT regexp_extract(attributes, '"([A-Za-z0-9_-]+)\\.task_root"\\s*:', 1) AS p FROM otel_spans) WHERE p <> '' GROUP BY p ORDER BY count(*) DESC, p LIMIT 1), '') || '.' AS own)"""
+    return f"""{prefix}, s0 AS (SELECT own, {t} AS trace_id, {s} AS span_id, {p} AS p, name, start_time_unix_nano AS t0, end_time_unix_nano AS t1, received_at, delivery_id,
+        CASE WHEN json_valid(attributes) THEN CAST(attributes AS JSON) END AS j, CASE WHEN json_valid(resource) THEN CAST(resource AS JSON) END AS r FROM otel_spans, pf),
       s1 AS (SELECT * EXCLUDE (p), CASE WHEN NOT regexp_full_match(p, '0+') THEN p END AS p FROM s0 WHERE trace_id IS NOT NULL AND span_id IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY received_at, delivery_id) = 1),
       s2 AS (SELECT *, {kind} AS kind, coalesce({_attr('gen_ai.operation.name', 'llm.request.type')}, '') AS op, {root} AS is_root FROM s1),
       s3 AS (SELECT *, CASE WHEN op IN ('embeddings', 'vector_db_retrieve', 'handoff') OR kind IN ('session', 'handoff', 'server') THEN 'skip' WHEN is_root THEN 'root' WHEN name IN ('mcp_tools', 'tools/list') THEN 'skip'
         WHEN op = 'execute_tool' OR {_attr('gen_ai.tool.name', 'tool.name')} IS NOT NULL OR name LIKE 'execute_tool %' OR name LIKE '%.tool' OR (name LIKE 'function.%' AND kind IN ('tool', '')) OR kind = 'tool' THEN 'tool'
         WHEN op IN ('chat', 'text_completion', 'completion', 'llm_request') OR kind = 'llm' THEN 'llm' WHEN kind IN ('workflow', 'agent') OR op = 'invoke_agent' THEN 'agent' WHEN kind = 'task' OR op = 'execute_task' THEN 'task' ELSE 'other' END AS role FROM s2),
-      s AS (SELECT *, CASE WHEN role = 'tool' AND {bare} NOT IN ('', 'mcp_tools', 'tools/list', '{A.TASK_SPAN}') THEN {bare} END AS tool FROM s3)"""
+      s AS (SELECT *, CASE WHEN role = 'tool' AND {bare} NOT IN ('', 'mcp_tools', 'tools/list', own || '{A.TASK}') THEN {bare} END AS tool FROM s3)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -140,8 +159,8 @@ def oracle_sql() -> dict[str, str]:
     roots = f"""{base}, rr AS (SELECT s.*, CASE WHEN is_root THEN 0 WHEN kind IN ('workflow', 'agent') AND NOT EXISTS (SELECT 1 FROM s u WHERE u.trace_id = s.trace_id AND u.span_id = s.p AND u.kind IN ('workflow', 'agent')) THEN 1
         WHEN p IS NULL THEN 2 ELSE 3 END AS rule FROM s), root AS (SELECT trace_id, arg_min(span_id, (rule, t0, span_id)) AS root_span_id, min(rule) AS root_rule FROM rr GROUP BY trace_id)"""
     blob = f"CASE WHEN json_valid({_attr('traceloop.association.properties')}) THEN CAST({_attr('traceloop.association.properties')} AS JSON) END"
-    assoc = lambda k: f"coalesce({_attr(A.OWN_KEYS + k)}, nullif(b ->> '$.{k}', ''))"
-    raw = f"lower(trim(coalesce({_attr(A.OWN_KEYS + 'success', 'traceloop.association.properties.success')}, b ->> '$.success')))"
+    assoc = lambda k: f"coalesce({_own(k)}, nullif(b ->> '$.{k}', ''))"
+    raw = f"lower(trim(coalesce({_own('success')}, {_attr('traceloop.association.properties.success')}, b ->> '$.success')))"
     x = f"{roots}, x AS (SELECT rr.*, root_span_id, span_id = root_span_id AS me, {blob} AS b FROM rr JOIN root USING (trace_id)), y AS (SELECT *, CASE WHEN {raw} IN ('true', '1', 'yes', '1.0') THEN true WHEN {raw} IN ('false', '0', 'no', '0.0') THEN false END AS ok, {_attr('service.name', of='r')} AS service, {_attr('traceloop.workflow.name', 'gen_ai.agent.name')} AS wf, {_attr('gen_ai.conversation.id')} AS conv FROM x)"
     pick = lambda v, o, c="true": f"arg_min({v}, {o}) FILTER (WHERE ({v}) IS NOT NULL AND {c})"
     start, first = "(t0, span_id)", "(NOT me, t0, span_id)"
@@ -177,7 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "classify_spans": f"WITH {base} SELECT trace_id, span_id, role, tool FROM s",
         "tool_io": f"""WITH {base}, a AS (SELECT *, {args} AS args FROM s WHERE tool IS NOT NULL), b AS (SELECT *, CASE WHEN json_valid(args) THEN CAST(args AS JSON) END AS aj FROM a)
           SELECT trace_id, span_id, tool, coalesce(CASE WHEN json_type(aj -> '$.arguments') NOT IN ('OBJECT', 'ARRAY') THEN aj ->> '$.arguments' END, CASE WHEN json_type(aj -> '$.input_str') NOT IN ('OBJECT', 'ARRAY') THEN aj ->> '$.input_str' END, args, '') AS arguments,
-          left(coalesce({_attr('gen_ai.tool.call.result', 'traceloop.entity.output', 'output.value', 'gen_ai.task.output')}, ''), 20) AS observation FROM b""",
+          left(coalesce({_attr('gen_ai.tool.call.result', 'traceloop.entity.output', 'output.value', 'gen_ai.task.output')}, ''), 2000) AS observation FROM b""",
         "trace_roots": f"WITH {roots} SELECT trace_id, root_span_id, CAST(root_rule AS INTEGER) AS root_rule FROM root",
         "role_counts": f"WITH {base} SELECT trace_id, count(*) AS spans_in, " + ", ".join(f"count(*) FILTER (WHERE role = '{r}') AS n_{r}" for r in ("root", "tool", "llm", "agent", "task", "skip", "other")) + " FROM s GROUP BY trace_id",
         "token_sums": f"WITH {base} SELECT trace_id, {tokens('input')}, {tokens('output')}, {tokens('total')} FROM s GROUP BY trace_id",
@@ -196,6 +215,11 @@ def oracle_sql() -> dict[str, str]:
           n AS (SELECT trace_id, sum(k) AS k FROM (SELECT s.trace_id, count(*) AS k FROM s LEFT JOIN wr USING (trace_id, span_id) WHERE s.tool IS NOT NULL AND wr.span_id IS NULL GROUP BY s.trace_id
             UNION ALL SELECT trace_id, count(DISTINCT (CASE WHEN call_id <> '' THEN call_id ELSE i || '|' || tool || '|' || arguments END, call_id = '')) FROM la GROUP BY trace_id) GROUP BY trace_id)
           SELECT CASE WHEN intent = '' THEN 'missing_intent' WHEN ok IS NULL THEN 'success_unknown' WHEN k IS NULL THEN 'zero_tool_spans' ELSE 'kept' END AS drop_reason, count(*) AS n_traces, CAST(sum(coalesce(k, 0)) AS BIGINT) AS n_steps FROM g LEFT JOIN n USING (trace_id) GROUP BY 1""",
+        "projected_steps": f"""WITH RECURSIVE {base}, {inner}, {decided}, l AS (SELECT trace_id, span_id, p, {_attr('gen_ai.agent.name')} AS agent FROM s), {up},
+          ag AS (SELECT trace_id, span_id, coalesce(arg_min(agent, n) FILTER (WHERE agent IS NOT NULL), '') AS agent_name FROM up GROUP BY trace_id, span_id)
+          SELECT s.trace_id, s.span_id, agent_name, s.tool AS action, md5(left(coalesce({_attr('gen_ai.tool.call.result', 'traceloop.entity.output', 'output.value', 'gen_ai.task.output')}, ''), 2000)) AS observation_md5, 'tool' AS origin
+          FROM s JOIN ag USING (trace_id, span_id) LEFT JOIN wr USING (trace_id, span_id) WHERE s.tool IS NOT NULL AND wr.span_id IS NULL
+          UNION ALL SELECT lc.trace_id, '', '', lc.tool, md5(left(coalesce(rs.text, ''), 2000)), 'llm_fallback' FROM lc LEFT JOIN rs ON rs.trace_id = lc.trace_id AND rs.call_id = lc.call_id""",
         "catalog_first_source": f"WITH {base}, a AS (SELECT *, {_attr('gen_ai.tool.description', 'tool.description')} AS d FROM s WHERE tool IS NOT NULL) SELECT tool, coalesce(arg_min(d, (t0, span_id)) FILTER (WHERE d IS NOT NULL), '') AS description, count(*) AS n_spans FROM a GROUP BY tool",
         "idle_sessions": f"""WITH a AS (SELECT {d} AS trace_id, epoch_us(received_at) AS ts FROM otel_spans), b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= 30000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM a WHERE trace_id IS NOT NULL WINDOW w AS (PARTITION BY trace_id ORDER BY ts)),
           c AS (SELECT *, sum(new) OVER (PARTITION BY trace_id ORDER BY ts) AS session FROM b) SELECT trace_id, CAST(session AS BIGINT) AS session, count(*) AS n_rows, max(ts) - min(ts) AS micros FROM c GROUP BY trace_id, session""",

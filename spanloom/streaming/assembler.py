@@ -123,9 +123,11 @@ def _step(config: RuntimeConfig, event_time: bool):
 
 def assemble(deliveries: DataFrame, config: RuntimeConfig = RuntimeConfig(), event_time: bool = False, lateness: str = "0 seconds") -> DataFrame:
     """A streaming frame of ``otel_spans`` rows → completed traces and late spans."""
+    own = deliveries.sparkSession.conf.get(A.PREFIX_SETTING, "")
+    own = own.rstrip(".") + "." if own else ""
     s = deliveries.withColumn("attrs", A.as_map("attributes"))
     at = F.col("received_at").cast("timestamp")
-    s = s.select(canonical_id("trace_id", 16).alias("trace_id"), canonical_id("span_id", 8).alias("span_id"), A.role().alias("role"), at.alias("at"), F.unix_millis(at).alias("ms")).filter("trace_id is not null and span_id is not null and at is not null")
+    s = s.select(canonical_id("trace_id", 16).alias("trace_id"), canonical_id("span_id", 8).alias("span_id"), A.role(own).alias("role"), at.alias("at"), F.unix_millis(at).alias("ms")).filter("trace_id is not null and span_id is not null and at is not null")
     if event_time:
         s = s.withWatermark("at", lateness)
     timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.ProcessingTimeTimeout

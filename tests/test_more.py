@@ -1,40 +1,92 @@
 """Twins, replies, benchmark spans, streaming state, models."""
 
 import json
+import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.__main__ import parser
 from spanloom.config import ModelConfig, RuntimeConfig
-from spanloom.functions.attrs import TASK_SPAN
 from spanloom.functions.replies import ranked_names, tool_line
 from spanloom.operators import benchmark, learn, traces, twins
 from spanloom.streaming.assembler import Inflight, run_available
 
 
-def node(i, up=None, tool=None, start=0, server=False, call=False, session=False, shared=False):
-    return {"span_id": i, "up": up, "start": start, "tool": tool, "server": server, "call": call, "session": session, "shared": shared or server or session}
-
-
-def test_twins_by_ancestry_and_sequence():
-    one = [node("c", tool="add", call=True), node("v", "c", server=True), node("s", "v", "add", 1)]
-    assert twins.pair(pd.DataFrame(one)) == ["c"]
-    two = [node("h", shared=True), node("c1", "h", "add", 0, call=True), node("c2", "h", "add", 2, call=True), node("v", "h", server=True), node("s1", "v", "add", 1), node("s2", "v", "add", 3)]
-    assert twins.pair(pd.DataFrame(two)) == ["c1", "c2"]
-    apart = [node("c1", tool="x", start=0, call=True), node("c2", tool="add", start=1, call=True), node("v", server=True), node("s", "v", "add", 2)]
-    assert twins.pair(pd.DataFrame(apart)) == ["c2"]
-    assert twins.pair(pd.DataFrame([node("c", tool="add", call=True), node("t", tool="add")])) == []
-
-
-@pytest.mark.parametrize("cap", [5000, 1])
-def test_twins_on_spans(spark, cap):
-    rows = [("t", "1", None, "tools/call.tool", 0, "{}"), ("t", "2", "1", "mcp.server.call", 1, "{}"), ("t", "3", "2", "add.tool", 2, "{}"), ("u", "1", None, "add.tool", 0, "{}")]
-    s = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, name string, start long, a string")
-    s = s.withColumn("attrs", F.from_json("a", "map<string,string>")).withColumn("kind", F.lit("")).withColumn("tool", F.when(F.col("name") != "mcp.server.call", F.lit("add")))
-    got = [tuple(r) for r in twins.client_twins(s, cap).collect()]
-    assert got == ([("t", "1")] if cap > 1 else [])  # the nth-call rule needs a span that is a server itself
+def pair(spans):
+    """The rule one client after the other, on whole chains of ancestors; rows are dictionaries."""
+    by_id = {r["span_id"]: r for r in spans}
+
+    def chain(i):
+        out, at = [], by_id[i]["up"]
+        while at in by_id and at not in out:
+            out.append(at)
+            at = by_id[at]["up"]
+        return out
+
+    servers, clients = [], []
+    for r in sorted((r for r in spans if r["tool"]), key=lambda r: (r["start"], r["span_id"])):
+        above = [by_id[i] for i in chain(r["span_id"])]
+        if r["server"] or any(x["server"] for x in above):
+            servers.append(r)
+        elif r["call"] or any(x["session"] for x in above):
+            clients.append(r)
+
+    def related(a, b):
+        x, y = set(chain(a["span_id"])), set(chain(b["span_id"]))
+        return a["span_id"] in y or b["span_id"] in x or any(by_id[i]["shared"] for i in x & y)
+
+    left, gone = [], set()
+    for c in clients:
+        twin = next((s for s in servers if s["tool"] == c["tool"] and related(c, s)), None)
+        if twin is None:
+            left.append(c)
+        else:
+            servers.remove(twin)
+            gone.add(c["span_id"])
+    for c in left:
+        if servers and c["tool"] == servers[0]["tool"]:
+            gone.add(c["span_id"])
+            servers.pop(0)
+    return gone
+
+
+KINDS = [("x", None), ("add.tool", "add"), ("sub.tool", "sub"), ("tools/call.tool", "add"), ("tools/call.tool", "sub"), ("mcp.server.call", None), ("mcp.client.session", None), ("mcp.list", None)]
+
+
+def twin_spans(spark, rows):
+    """rows: (trace, span, parent, name, tool, start)."""
+    s = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, name string, tool string, start long")
+    return s.withColumn("attrs", F.from_json(F.lit("{}"), "map<string,string>")).withColumn("kind", F.lit(""))
+
+
+def test_twins_against_the_plain_rule(spark):
+    """Random forests of every shape in one table; among them deep chains, many calls of one top, calls outside the protocol."""
+    rng, rows, want = random.Random(5), [], set()
+    for t in range(120):
+        n, kinds = rng.choice([4, 12, 40]), rng.choice([KINDS, KINDS[1:6], KINDS[3:7], KINDS[:5] + KINDS[5:6]])
+        mine = []
+        for i in range(n):
+            up = None if i == 0 or rng.random() < 0.15 else f"{rng.randrange(max(0, i - rng.choice([1, 3, i])), i):03d}"
+            name, tool = rng.choice(kinds)
+            mine.append((f"t{t}", f"{i:03d}", up, name, tool, rng.randrange(n)))
+        rows += mine
+        marks = [{"span_id": i, "up": up, "start": at, "tool": tool, "server": "mcp.server" in name, "call": name == "tools/call.tool", "session": "mcp.client.session" in name, "shared": "mcp." in name} for _, i, up, name, tool, at in mine]
+        want |= {(f"t{t}", i) for i in pair(marks)}
+    got = [tuple(r) for r in twins.client_twins(twin_spans(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and len(want) > 50
+    assert set(got) == want
+
+
+def test_twins_of_large_traces_follow_the_same_rule(spark):
+    """A session with 6000 calls and a server with as many: each call has its twin; a tool span below the session counts."""
+    rows = [("t", "s", None, "mcp.client.session", None, 0), ("t", "v", None, "mcp.server.run", None, 0)]
+    rows += [("t", f"c{i}", "s", "add.tool", "add", i) for i in range(6000)] + [("t", f"v{i}", "v", "add.tool", "add", i) for i in range(5999)]
+    got = {r.span_id for r in twins.client_twins(twin_spans(spark, rows)).collect()}
+    assert got == {f"c{i}" for i in range(5999)}
+    chain = [("u", "0", None, "mcp.client.session", None, 0), ("u", "1", "0", "add.tool", "add", 1), ("u", "2", "1", "mcp.server.call", None, 2), ("u", "3", "2", "add.tool", "add", 3)]
+    assert [r.span_id for r in twins.client_twins(twin_spans(spark, chain)).collect()] == ["1"]
+    assert twins.client_twins(twin_spans(spark, [("u", "1", None, "add.tool", "add", 0)])) is None
 
 
 @pytest.mark.parametrize("reply,want", [('["a", "b", "a"]', ["a", "b"]), ('```json\n{"tools": [{"name": "x"}, "y"]}\n```', ["x", "y"]), ('Sure: ["p", 3] done', ["p", "3"]), ('first "q" then "r"', ["q", "r"]), (None, []), ("nothing", []), ('{"other": ["a"]}', ["other", "a"])])
@@ -80,9 +132,11 @@ def test_stream_closes_and_reports_late_spans(spark, tmp_path):
         spark.createDataFrame(rows, "delivery_id long, s long, trace_id string, span_id string, name string, attributes string").select("delivery_id", F.timestamp_seconds("s").alias("received_at"), "trace_id", "span_id", "name", "attributes").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         run_available(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     t1, t2, t3 = "a1" * 16, "a2" * 16, "a3" * 16
-    land(1, [(1, 100, t1, "01" * 8, "x", "{}"), (2, 101, t1, "02" * 8, TASK_SPAN, "{}"), (3, 100, t2, "03" * 8, "x", "{}"), (4, 120, t1, "05" * 8, "x", "{}")])
+    spark.conf.set("spanloom.collector.prefix", "own")
+    land(1, [(1, 100, t1, "01" * 8, "x", "{}"), (2, 101, t1, "02" * 8, "own.task", "{}"), (3, 100, t2, "03" * 8, "x", "{}"), (4, 120, t1, "05" * 8, "x", "{}")])
     land(2, [(5, 200, t3, "04" * 8, "x", "{}"), (6, 140, t2, "06" * 8, "x", "{}")])
     land(3, [(7, 900, t3, "07" * 8, "x", "{}")])
+    spark.conf.unset("spanloom.collector.prefix")
     got = {(r.trace_id, r.complete_reason, tuple(r.span_ids)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert (t1, "explicit", ("01" * 8, "02" * 8)) in got and (t1, "late", ("05" * 8,)) in got and (t2, "idle", ("03" * 8,)) in got and (t3, "idle", ("04" * 8,)) in got
 

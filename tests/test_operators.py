@@ -35,7 +35,10 @@ def test_tool_name(spark, raw, want):
     "name,attrs,role,tool",
     [
         ("chat", {"gen_ai.operation.name": "embeddings", "traceloop.span.kind": "task"}, "skip", None),
-        (A.TASK_SPAN, {}, "root", None),
+        ("own.task", {}, "root", None),
+        ("other.task", {}, "other", None),
+        ("x", {"own.task_root": "true"}, "root", None),
+        ("x", {"own.task_root": "false"}, "other", None),
         ("mcp_tools", {"openinference.span.kind": "TOOL"}, "skip", None),
         ("x", {"gen_ai.operation.name": "execute_tool", "gen_ai.tool.name": "f(1)"}, "tool", "f"),
         ("execute_tool look_up", {}, "tool", "look_up"),
@@ -52,10 +55,19 @@ def test_tool_name(spark, raw, want):
 )
 def test_roles_and_tools(spark, name, attrs, role, tool):
     df = spark.createDataFrame([(name, json.dumps(attrs))], "name string, a string").withColumn("attrs", A.as_map("a"))
-    r = df.select(A.role().alias("role"), A.tool_of_span().alias("tool")).first()
+    r = df.select(A.role("own.").alias("role"), A.tool_of_span("own.").alias("tool")).first()
     assert r.role == role and (role != "tool" or r.tool == tool)
 
 
+def test_the_collectors_prefix_is_found_or_set(spark):
+    texts = ['{"ours.task_root": true}', '{"ours.task_root": 1, "x": 2}', '{"theirs.task_root" : true}', '{"a.task": 1}', "ours.task_root", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "attributes string")
+    assert A.collector_prefix(df) == "ours." and A.collector_prefix(df.filter("attributes like '%a.task%'")) == ""
+    spark.conf.set(A.PREFIX_SETTING, "theirs")
+    assert A.collector_prefix(df) == "theirs."
+    spark.conf.unset(A.PREFIX_SETTING)
+
+
 def test_bad_attributes_are_empty(spark):
     df = spark.createDataFrame([(None,), ("",), ('{"a": "b', ), ("[1]",)], "a string")
     assert [len(r[0]) for r in df.select(A.as_map("a")).collect()] == [0, 0, 0, 0]
@@ -161,6 +173,26 @@ def test_wrappers_fold_into_the_innermost(spark):
     assert sorted(r.span_id for r in traces.innermost_tools(spans, trees).collect()) == ["2", "3", "4"]
 
 
+def test_a_group_over_many_ranges_keeps_its_order(spark):
+    from spanloom.joins import next_in_order
+
+    rows = [("a", i) for i in range(500)] + [("b", 3), ("c", 1), ("c", 2)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {(r.g, r.x): r.y for r in next_in_order(spark.createDataFrame(rows, "g string, x long").repartition(5), ["g"], ["x"], "x", "y").collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 503 and all(y == (x + 1 if (g, x + 1) in got else None) for (g, x), y in got.items())
+
+
+def test_too_many_hot_keys_are_salted(spark, monkeypatch):
+    from spanloom import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 100)
+    left = spark.createDataFrame([(i % 5,) for i in range(100)] + [(9,), (None,)], "k int")
+    right = spark.createDataFrame([(i, f"v{i}") for i in range(10)], "k int, v string")
+    got = [(r.k, r.v) for r in lookup(left, right, ["k"], hot_rows=10).collect()]
+    assert len(got) == 102 and all(v == (None if k is None else f"v{k}") for k, v in got)
+
+
 def test_assistant_text_and_indexed_messages(spark):
     out = [{"role": "assistant", "parts": [{"type": "text", "content": "first"}, {"type": "tool_call", "name": "f"}, {"type": "text", "content": "later"}]}, {"role": "assistant", "content": "plain"}, {"role": "user", "content": "no"}]
     rows = [({"gen_ai.output.messages": out},), ({"gen_ai.completion": "done"},), ({"llm.completions": [{"text": "a"}, {"text": "b"}]},), ({"llm.input_messages.10.message.content": "z", "llm.input_messages.2.message.content": "y"},)]
@@ -171,8 +203,9 @@ def test_assistant_text_and_indexed_messages(spark):
 
 def test_calls_of_the_output_follow(spark):
     inp = [{"role": "assistant", "tool_calls": [{"id": "a", "name": "f"}, {"name": "g"}, {"name": "g"}]}, {"role": "tool", "tool_call_id": "a", "content": "seen"}]
+    inp[0]["tool_calls"] += [{"name": "g", "arguments": '{"a": 1, "b": {"d": 2, "c": 3}}'}, {"name": "g", "arguments": '{"b":{"c":3,"d":2},"a":1}'}]  # the same in another order
     out = [{"role": "assistant", "tool_calls": [{"id": "a", "name": "f"}, {"id": "b", "name": "h"}, {"name": "k"}]}]
     rows = [("t", "1", None, 0, "llm", None, json.dumps({"gen_ai.input.messages": inp, "gen_ai.output.messages": out}))]
     df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, start long, role string, tool string, a string").withColumn("attrs", A.as_map("a"))
     got = [(r.tool, r.call_id, r.observation) for r in traces.message_decisions(df).orderBy("message", "place").collect()]
-    assert got == [("f", "a", "seen"), ("g", "", ""), ("h", "b", "")]
+    assert got == [("f", "a", "seen"), ("g", "", ""), ("g", "", ""), ("h", "b", "")]

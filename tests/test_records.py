@@ -140,7 +140,35 @@ def test_hierarchy_deep_chain_and_empty(spark):
     assert trees(spark, []) == {}
 
 
-def test_descendants(spark):
-    t = hierarchy.hierarchies(spark.createDataFrame([span(0, T1, hexid(0)), span(1, T1, hexid(1), hexid(0)), span(2, T1, hexid(2), hexid(1)), span(3, T1, hexid(3))], SPAN))
-    got = {(r.ancestor_span_id, r.span_id, r.distance) for r in hierarchy.descendants(t, t).collect()}
-    assert got == {(hexid(0), hexid(1), 1), (hexid(0), hexid(2), 2), (hexid(1), hexid(2), 1)}
+def test_descendants_of_every_node_in_blocks(spark):
+    rng = random.Random(8)
+    parent = {n: rng.randrange(max(0, n - 3), n) if n and rng.random() < 0.97 else None for n in range(300)} | {300: 301, 301: 300, 302: 300}
+    rows = [span(n, T1, hexid(n), None if p is None else hexid(p)) for n, p in parent.items()]
+    t = hierarchy.hierarchies(spark.createDataFrame(rows, SPAN), with_path=False)
+    want = set()
+    for n in range(300):
+        way, at = 0, n
+        while (at := parent[at]) is not None:
+            way += 1
+            want.add((hexid(at), hexid(n), way))
+    for block in (1, 8, 1000):
+        got = [(r.ancestor_span_id, r.span_id, r.distance) for r in hierarchy.descendants(t, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
+    some = t.filter("tree_depth = 1").select("trace_id", "span_id")
+    tops = {r.span_id for r in some.collect()}
+    assert {(r.ancestor_span_id, r.span_id, r.distance) for r in hierarchy.descendants(t, some).collect()} == {x for x in want if x[0] in tops}
+
+
+@pytest.mark.parametrize("cap", [1000, 3])
+def test_nearest_value_above_on_trees_and_circles(spark, cap):
+    rng = random.Random(9)
+    parent = {n: rng.randrange(n) if n and rng.random() < 0.9 else None for n in range(60)} | {60 + i: 60 + (i + 1) % 40 for i in range(40)} | {100: 61, 101: 100, 102: 103, 103: 102}
+    own = {n: f"a{n}" for n in parent if rng.random() < 0.15 and n < 60} | {75: "a75", 101: "b"}
+    rows = spark.createDataFrame([("g", str(n), None if p is None else str(p), n, 0, 0, own.get(n)) for n, p in parent.items()], "g string, v string, p string, ord long, recv long, did long, own string")
+    got = {r.span_id: r.nearest for r in hierarchy.solve(rows, False, cap, 4).collect()}
+    for n in parent:
+        at, seen = n, set()
+        while at is not None and at not in own and at not in seen:
+            seen.add(at)
+            at = parent[at]
+        assert got[str(n)] == own.get(at), n

@@ -63,12 +63,12 @@ def sp(i, parent=None, name="x", start=0, **attrs):
 
 
 def test_projection_of_assembled_traces(spark, tmp_path):
-    props = {"traceloop.association.properties": json.dumps({"task_id": "ticket-1", "success": True, "app_name": "shop"}), A.OWN_KEYS + "intent": "find the order"}
+    props = {"traceloop.association.properties": json.dumps({"task_id": "ticket-1", "success": True, "app_name": "shop"}), "own.task_root": True, "own.intent": "find the order"}
     tool = {"gen_ai.operation.name": "execute_tool", "gen_ai.tool.name": "lookup_order", "gen_ai.tool.call.arguments": '{"arguments": "id=1"}', "gen_ai.tool.call.result": {"found": 1}}
     call = [{"role": "user", "content": "mail please"}, {"role": "assistant", "parts": [{"type": "tool_call", "id": "a", "name": "search_emails", "arguments": "{}"}]}, {"role": "tool", "tool_call_id": "a", "content": "none"}, {"role": "assistant", "tool_calls": [{"id": "a", "function": {"name": "search_emails"}}]}]
     data = [
-        trace("a1" * 16, [sp("01" * 8, name=A.TASK_SPAN, **props), sp("02" * 8, "01" * 8, "invoke_agent", 1, **{"gen_ai.operation.name": "invoke_agent", "gen_ai.agent.name": "Support"}), sp("03" * 8, "02" * 8, "execute_tool lookup_order", 2, **tool)]),
-        trace("a2" * 16, [sp("01" * 8, name="crew.agent", **{"traceloop.span.kind": "agent", A.OWN_KEYS + "success": "no"}), sp("02" * 8, "01" * 8, "chat", 1, **{"gen_ai.operation.name": "chat", "gen_ai.input.messages": json.dumps(call)})]),
+        trace("a1" * 16, [sp("01" * 8, name="own.task", **props), sp("02" * 8, "01" * 8, "invoke_agent", 1, **{"gen_ai.operation.name": "invoke_agent", "gen_ai.agent.name": "Support"}), sp("03" * 8, "02" * 8, "execute_tool lookup_order", 2, **tool)]),
+        trace("a2" * 16, [sp("01" * 8, name="crew.agent", **{"traceloop.span.kind": "agent", "own.success": "no"}), sp("02" * 8, "01" * 8, "chat", 1, **{"gen_ai.operation.name": "chat", "gen_ai.input.messages": json.dumps(call)})]),
         trace("a3" * 16, [sp("01" * 8, name="chat", **{"gen_ai.operation.name": "chat", "gen_ai.input.messages": json.dumps(call[:1])})]),
     ]
     (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, data)))
