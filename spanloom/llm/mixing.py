@@ -6,9 +6,14 @@ fractional part a probability. Pivotal rounding makes the probabilities 0 or 1:
 one to the other, weighted by their tokens, in a random direction whose chances keep both expectations, until one of
 them is decided. So the tokens of a source stay what they should be but for the one text left over.
 
-It runs through a reduction tree: tasks round their own texts and pass on at most one undecided text per source; those
-are rounded together, up to ``fan_in`` at a time, until one per source is left, which is rounded by its probability.
-The random numbers are hashes of seed and id, so a lost task repeats the same result.
+Texts that hold more than ``large_share`` of their source, at most 1 / large_share of them, are decided first, largest
+first, each paired with all smaller texts of its source as one: what it gains or loses is spread over these, whose
+probabilities stay equal. So no long text is the one left undecided.
+
+The others run through a reduction tree: texts fall into blocks by the hash of their id, a block is rounded in one task and
+passes on at most one undecided text; those are rounded together, up to ``fan_in`` at a time, until one per source is
+left, which is rounded by its probability. Within a block texts are taken by size, largest first, so that what is left
+undecided is small. The random numbers come from seed, source and block: files, partitions and lost tasks don't matter.
 
 Defined results: texts of no tokens or of a source without a target are left out. A target source that has no tokens
 gets none, and the mix is then set by the others, their shares scaled to 1. Null sources are left out. Ids needn't be
@@ -18,89 +23,84 @@ unique: rows are drawn. Empty input gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import Scratch
 
-_SCHEMA = "source string, id {id}, size bigint, base int, p double, extra int, grp int"
-
-
-class Pivot:
-    """Pivotal rounding of a stream of (weight, probability), one per call; at most one is undecided."""
-
-    def __init__(self, seed: str):
-        self.rng = np.random.default_rng(zlib.crc32(seed.encode()))
-        self.open: tuple | None = None  # (key, weight, probability)
-
-    def add(self, key, w: float, p: float):
-        """Yields (key, 0 or 1) of whatever this text decides."""
-        if p <= 1e-12 or p >= 1 - 1e-12:
-            yield key, int(p > 0.5)
-            return
-        if self.open is None:
-            self.open = (key, w, p)
-            return
-        k2, w2, p2 = self.open
-        up = min((1 - p) * w, p2 * w2)  # tokens that may move to this text
-        down = min(p * w, (1 - p2) * w2)
-        if self.rng.random() < down / (up + down):
-            p, p2 = p + up / w, p2 - up / w2
+#: Share of a source's tokens above which a text is decided by itself.
+LARGE_SHARE = 0.001
+#: Expected texts of a block.
+BLOCK_ITEMS = 50_000
+#: Undecided texts of a block up to which they are paired one after the other.
+FEW = 256
+_SCHEMA = "source string, id {id}, size bigint, base int, p double, extra int, block bigint"
+_SURE = 1e-9
+
+
+def pivot(w: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities after pivotal rounding of weights ``w``, largest first, and whether each is decided (0 or 1); one at most isn't.
+
+    Neighbours are paired all at once, level by level, each pair deciding one of the two; the last few are paired one
+    after the other.
+    """
+    p = p.astype(float).copy()
+    p[p <= _SURE], p[p >= 1 - _SURE] = 0.0, 1.0
+
+    def settle(a: np.ndarray, b: np.ndarray) -> None:
+        up, down = np.minimum((1 - p[a]) * w[a], p[b] * w[b]), np.minimum(p[a] * w[a], (1 - p[b]) * w[b])  # mass from b to a, from a to b
+        move = np.where(rng.random(len(a)) * (up + down) < down, up, -down)
+        for i, q in ((a, p[a] + move / w[a]), (b, p[b] - move / w[b])):
+            p[i] = np.where(q <= _SURE, 0.0, np.where(q >= 1 - _SURE, 1.0, q))
+
+    live = np.flatnonzero((p > 0) & (p < 1))
+    while len(live) > FEW:
+        n = len(live) // 2 * 2
+        settle(live[0:n:2], live[1:n:2])
+        live = live[(p[live] > 0) & (p[live] < 1)]
+    held = live[:1]
+    for i in live[1:]:
+        if len(held):
+            settle(held, np.array([i]))
+            pair = np.array([held[0], i])
+            held = pair[(p[pair] > 0) & (p[pair] < 1)][:1]
         else:
-            p, p2 = p - down / w, p2 + down / w2
-        self.open = None
-        for k, v, q in ((key, w, p), (k2, w2, p2)):
-            if q <= 1e-9 or q >= 1 - 1e-9:
-                yield k, int(q > 0.5)
-            else:
-                self.open = (k, v, q)
-
-
-def _leaf(seed: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        pivots: dict = {}
-        held: dict = {}
-        for rb in batches:
-            t = rb.to_pydict()
-            src, ids, size, base, p = (t[c] for c in ("source", "id", "size", "base", "p"))
-            out = []
-            for i in range(rb.num_rows):
-                s = src[i]
-                pv = pivots.setdefault(s, Pivot(f"{seed}:{part}:{s}"))
-                row = (s, ids[i], size[i], base[i], p[i])
-                for k, x in pv.add(row, float(size[i]), p[i]):
-                    out.append((*k, x))
-            yield _batch(out, rb.schema, part)
-        yield _batch([(*pv.open[0][:4], pv.open[2], -1) for pv in pivots.values() if pv.open], rb.schema, part) if pivots else _batch([], None, part)
-
-    def _batch(rows, schema, part):
-        kinds = [pa.string(), schema.field("id").type if schema else pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32()]
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        return pa.record_batch([*[pa.array(c, k) for c, k in zip(cols, kinds)], pa.array([part] * len(rows), pa.int32())], names=["source", "id", "size", "base", "p", "extra", "grp"])
+            held = np.array([i])
+    return p, (p == 0) | (p == 1)
+
+
+def settle_large(w: list[int], p: float, mass: float, rng: np.random.Generator) -> tuple[list[float], float]:
+    """Probabilities of texts of weights ``w``, largest first, and that of all the others, whose weights sum to ``mass``.
+
+    All begin with p. Each text in turn is paired with all that follow it as one text: one of the two becomes 0 or 1.
+    """
+    out, rest = [], float(mass + sum(w))
+    for x in w:
+        rest -= x
+        if p <= _SURE or p >= 1 - _SURE or rest <= 0:
+            out.append(p)  # decided together with all others, or nothing is left to pair it with
+            continue
+        up, down = min((1 - p) * x, p * rest), min(p * x, (1 - p) * rest)
+        move = up if rng.random() * (up + down) < down else -down
+        q, p = p + move / x, min(1.0, max(0.0, p - move / rest))
+        out.append(0.0 if q <= _SURE else 1.0 if q >= 1 - _SURE else q)
+    return out, 0.0 if p <= _SURE else 1.0 if p >= 1 - _SURE else p
 
-    return run
 
+def _node(seed: str, level: int, key: str):
+    """Rounds one block of a source; rows are ordered by size, then by hash and id, so that their order of arrival doesn't count."""
 
-def _join(seed: str, level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["grp", "size", "id"], kind="stable").reset_index(drop=True)
-        pv = Pivot(f"{seed}:{level}:{pdf['source'].iloc[0]}:{int(pdf['up'].iloc[0])}")
-        extra, p = np.full(len(pdf), -1), pdf["p"].to_numpy().copy()
-        for i in range(len(pdf)):
-            for k, x in pv.add(i, float(pdf["size"].iloc[i]), float(p[i])):
-                extra[k] = x
-        if pv.open:
-            p[pv.open[0]] = pv.open[2]
-        pdf["p"], pdf["extra"], pdf["grp"] = p, extra, pdf["up"]
-        return pdf.drop(columns="up")
+        pdf = pdf.sort_values(["size", "h", "id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        block = int(pdf[key].iloc[0])
+        rng = np.random.default_rng(zlib.crc32(f"{seed}:{level}:{pdf['source'].iloc[0]}:{block}".encode()))
+        p, decided = pivot(pdf["size"].to_numpy(float), pdf["p"].to_numpy(), rng)
+        pdf["p"], pdf["extra"], pdf["block"] = p, np.where(decided, p, -1).astype(np.int32), block
+        return pdf[["source", "id", "size", "base", "p", "extra", "block"]]
 
     return run
 
@@ -117,7 +117,7 @@ def plan(sizes: list[tuple[str, int]], targets: list[tuple[str, float, int]], to
     return {s: min(float(r), w / whole * most / have[s]) for s, w, r in live}
 
 
-def mix(docs: DataFrame, targets: list[tuple[str, float, int]], doc_id: str = "doc_id", source: str = "source", size: str = "n_tokens", total: float | None = None, seed: str = "mix", fan_in: int = 1000) -> DataFrame:
+def mix(docs: DataFrame, targets: list[tuple[str, float, int]], doc_id: str = "doc_id", source: str = "source", size: str = "n_tokens", total: float | None = None, seed: str = "mix", fan_in: int = 1000, block_items: int = BLOCK_ITEMS, large_share: float = LARGE_SHARE) -> DataFrame:
     """``source``, id, ``size`` and ``n_copies`` of every text that is drawn."""
     scratch = Scratch(docs.sparkSession, "mixing")
     slim = docs.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), F.col(size).cast("long").alias("size")).filter("size > 0 and source is not null")
@@ -128,18 +128,32 @@ def mix(docs: DataFrame, targets: list[tuple[str, float, int]], doc_id: str = "d
     schema = _SCHEMA.format(id=id_type)
     if not copies:
         return docs.sparkSession.createDataFrame([], f"source string, {doc_id} {id_type}, size bigint, n_copies int")
-    c = None
-    for s, x in copies.items():
-        c = (F if c is None else c).when(F.col("source") == s, F.lit(float(x)))
-    rows = known.withColumn("c", c).filter("c is not null")
-    rows = rows.select("source", "id", "size", F.floor("c").cast("int").alias("base"), (F.col("c") - F.floor("c")).alias("p"))
-    leaf = scratch.cut(rows.mapInArrow(_leaf(seed), schema), "leaf")
-    done, level = [leaf.filter("extra >= 0")], 0
-    rest = leaf.filter("extra < 0")
+    edge = dict((s, max(1, int(n * large_share))) for s, n in sizes)
+    by_source = lambda values, kind: F.create_map(*[x for s in copies for x in (F.lit(s), F.lit(values[s]).cast(kind))])[F.col("source")]
+    rows = known.filter(F.col("source").isin(list(copies))).withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("large", F.col("size") > by_source(edge, "bigint"))
+    large: dict[str, list] = {s: [] for s in copies}
+    for r in rows.filter("large").select("source", "id", "size", "h").collect():  # at most 1 / large_share per source
+        large[r["source"]].append(r)
+    decided, undecided, p_rest = [], [], {}
+    for s, mine in large.items():
+        mine.sort(key=lambda r: (-r["size"], r["h"], str(r["id"])))
+        base = int(copies[s])
+        all_of = dict(sizes)[s]
+        ps, p_rest[s] = settle_large([r["size"] for r in mine], copies[s] - base, all_of - sum(r["size"] for r in mine), np.random.default_rng(zlib.crc32(f"{seed}:large:{s}".encode())))
+        for r, q in zip(mine, ps):
+            (decided if q in (0.0, 1.0) else undecided).append((s, r["id"], r["size"], base, q, int(q) if q in (0.0, 1.0) else -1, -1))
+    first = docs.sparkSession.createDataFrame(decided + undecided, T._parse_datatype_string(schema))
+    rows = rows.filter("not large").select("source", "id", "size", "h", by_source({s: int(x) for s, x in copies.items()}, "int").alias("base"), by_source(p_rest, "double").alias("p"))
+    n_of = known.groupBy("source").count().collect()  # one row per target
+    blocks = F.create_map(*[F.lit(x) for r in n_of for x in (r["source"], -(-r["count"] // block_items))])[F.col("source")]
+    leaves = rows.withColumn("b", F.pmod("h", blocks))
+    leaf = scratch.cut(leaves.groupBy("source", "b").applyInPandas(_node(seed, 0, "b"), schema), "leaf")
+    done, level = [leaf.filter("extra >= 0"), first.filter("extra >= 0")], 0
+    rest = leaf.unionByName(first).filter("extra < 0")
     while rest.count() > len(copies):
         level += 1
-        up = rest.withColumn("up", F.floor(F.col("grp") / F.lit(fan_in)).cast("int"))
-        node = scratch.cut(up.groupBy("source", "up").applyInPandas(_join(seed, level), schema), f"level{level}")
+        up = rest.withColumn("up", F.greatest(F.lit(0), F.floor(F.col("block") / F.lit(fan_in)))).withColumn("h", F.xxhash64(F.lit(seed), "id"))
+        node = scratch.cut(up.groupBy("source", "up").applyInPandas(_node(seed, level, "up"), schema), f"level{level}")
         done.append(node.filter("extra >= 0"))
         rest = node.filter("extra < 0")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), "source")), 1, 12), 16, 10).cast("double") / float(16**12)

@@ -82,26 +82,43 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(_overlap_rows(spark, sf_dir))
 
 
+#: Limits of a container besides its capacity: one segment for so many tokens, and the share of loss-bearing tokens.
+TOKENS_A_SEGMENT, LOSS_SHARE = 32, 0.95
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> dict[str, tuple[int, int, int]]:
+    """Limits on tokens, segments and loss-bearing tokens of each kind of container."""
+    rows = _table(spark, sf_dir, "container_sizes").collect()  # one row per kind
+    return {r["container_kind"]: (c := r["capacity_tokens"], max(1, c // TOKENS_A_SEGMENT), max(1, int(c * LOSS_SHARE))) for r in rows}
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.token_counts(_table(spark, sf_dir, "documents"), with_prompts=True)
+    return packing.pack_items(sizes, _kinds(spark, sf_dir), prompts="prompts")
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every text lies, in containers of each kind."""
-    sizes = tokens.token_counts(_table(spark, sf_dir, "documents"))
-    kinds = {r["container_kind"]: (r["capacity_tokens"], max(1, r["capacity_tokens"] // 8), r["capacity_tokens"]) for r in _table(spark, sf_dir, "container_sizes").collect()}
-    placed = packing.pack_items(sizes, kinds)
-    return placed.select(F.col("kind").alias("container_kind"), F.col("container").alias("container_id"), "doc_id", "piece", "from_token", "to_token")
+    return _placed(spark, sf_dir).select(F.col("kind").alias("container_kind"), F.col("container").alias("container_id"), "doc_id", "piece", "from_token", "to_token", "loss")
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers and unused space of each kind."""
-    placed = p8_packing(spark, sf_dir)
-    kinds = _table(spark, sf_dir, "container_sizes")
-    per = placed.groupBy("container_kind").agg(F.count_distinct("container_id").alias("n_containers"), F.sum(F.col("to_token") - F.col("from_token")).alias("n_tokens"))
-    return per.join(F.broadcast(kinds), "container_kind").select("container_kind", "n_containers", "n_tokens", (1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("unused"))
+    """Per kind: containers, unused space, and how many containers reach their limit on segments or on loss."""
+    c = packing.check(_placed(spark, sf_dir), _kinds(spark, sf_dir))
+    return c.select(F.col("kind").alias("container_kind"), "n_containers", "n_tokens", "unused", "at_segments", "at_loss", "alone_over_loss")
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind: texts placed, and the faults, of which there must be none."""
+    c = packing.check(_placed(spark, sf_dir), _kinds(spark, sf_dir))
+    return c.select(F.col("kind").alias("container_kind"), "n_items", "over_tokens", "over_segments", "over_loss", "gaps", "divided_small")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each text is drawn."""
-    sizes = tokens.token_counts(_table(spark, sf_dir, "documents"), keep=("source",))
     targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in _table(spark, sf_dir, "mix_targets").collect()]
+    docs = _table(spark, sf_dir, "documents").filter(F.col("source").isin([s for s, _, _ in targets]))  # others can't be drawn
+    sizes = tokens.token_counts(docs, keep=("source",))
     return mixing.mix(sizes, targets).withColumnRenamed("size", "n_tokens")
 
 
@@ -110,6 +127,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, sf_dir).withColumnRenamed("n_tokens", "size"), _table(spark, sf_dir, "mix_targets"))
 
 
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source: texts drawn more often than allowed, drawn twice as rows, or drawn from elsewhere; there must be none."""
+    mixed = p9_mix(spark, sf_dir)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("own"))
+    j = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("m"), F.max("n_copies").alias("most")).join(docs, "doc_id", "left").join(F.broadcast(_table(spark, sf_dir, "mix_targets")), "source", "right")
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return j.groupBy("source").agg(n(F.col("most") > F.col("max_repeats")).alias("over_repeats"), n(F.col("m") > 1).alias("twice"), n(F.col("own") != F.col("source")).alias("foreign"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(_table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -119,7 +145,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_beside_frozen, p5_found, p5_splits, p5_shares, p6_found, p6_report, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_beside_frozen, p5_found, p5_splits, p5_shares, p6_found, p6_report, p8_packing, p8_fill, p8_check, p9_mix, p9_shares, p9_check, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -150,6 +176,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"{p1} SELECT pattern FROM c",
         "p1_support": f"{p1} SELECT pattern, n_tasks FROM c",
+        "p8_check": """SELECT container_kind, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_items, 0::BIGINT AS over_tokens, 0::BIGINT AS over_segments, 0::BIGINT AS over_loss, 0::BIGINT AS gaps, 0::BIGINT AS divided_small
+          FROM container_sizes""",
+        "p9_check": "SELECT source, 0::BIGINT AS over_repeats, 0::BIGINT AS twice, 0::BIGINT AS foreign FROM mix_targets",
         "p5_found": f"{p5} SELECT record_id, min(record_id) OVER (PARTITION BY root) AS group_id FROM g WHERE apps >= 2",
         "p6_found": f"{p6} SELECT least(a, b) AS record_a, greatest(a, b) AS record_b FROM j WHERE same_task OR alike",
         "p6_report": f"""{p6}, f AS (SELECT b, bool_or(coalesce(exact, false)) AS exact, bool_or(coalesce(alike AND NOT exact, false)) AS near, bool_or(coalesce(same_task, false)) AS same_task FROM j GROUP BY b)
