@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +28,39 @@ def p2_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.when(F.col("gone").isNull(), 1).otherwise(0)).cast("long").alias("n_kept"))
 
 
+def _flat(spark: SparkSession, sf_dir: str, rules=flatten.RULES) -> dict[str, DataFrame]:
+    return flatten.flat_tables(table(spark, sf_dir, "otel_spans"), new_path(spark, "nested"), rules)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten.tagged_nodes(table(spark, sf_dir, "otel_spans"), with_payload=False).select(F.col("row_id").alias("delivery_id"), "node_path")
+    """Keys of all rows of the flat tables."""
+    tables = _flat(spark, sf_dir)
+    keys = [t.select(F.col("row_id").alias("delivery_id"), "node_path") for t in tables.values()]
+    return reduce(DataFrame.unionByName, keys)
+
+
+def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of messages; ``content`` where it is plain text."""
+    plain = F.when(~F.col("content").rlike(r"^\s*[\[{]"), F.col("content"))
+    return _flat(spark, sf_dir)["message"].select(F.col("row_id").alias("delivery_id"), "node_path", "place", "role", "tool_call_id", plain.alias("content"))
 
 
 def p4_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of tool calls, each with its message's role."""
-    path = new_path(spark, "nested")
-    flatten.write_tables(flatten.tagged_nodes(table(spark, sf_dir, "otel_spans")), path)
-    calls, messages = (flatten.read_table(spark, path, t) for t in ("call", "message"))
-    parents = messages.select("row_id", F.col("node_path").alias("parent_path"), "role")
-    return calls.join(parents, ["row_id", "parent_path"], "left").select(F.col("row_id").alias("delivery_id"), "node_path", "parent_path", "place", "role", "call_id", "name")
+    tables = _flat(spark, sf_dir)
+    parents = tables["message"].select("row_id", F.col("node_path").alias("parent_path"), "role")
+    return tables["call"].join(parents, ["row_id", "parent_path"], "left").select(F.col("row_id").alias("delivery_id"), "node_path", "parent_path", "place", "role", "call_id", "name")
+
+
+def p4_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of events."""
+    return _flat(spark, sf_dir)["event"].select(F.col("row_id").alias("delivery_id"), "node_path", "place", "name", "time_unix_nano")
+
+
+def p4_event_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' attributes member by member, down to plain values, each with its parent row."""
+    rows = _flat(spark, sf_dir, flatten.WITH_ATTRIBUTES)["attribute"]
+    return rows.select(F.col("row_id").alias("delivery_id"), "node_path", "parent_path", "key", "value")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +80,7 @@ def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_per_batch, p4_found, p4_calls, p7_found, p7_paths, p7_descendants)}
+    return {f.__name__: f for f in (p2_found, p2_per_batch, p4_found, p4_messages, p4_calls, p4_events, p4_event_attributes, p7_found, p7_paths, p7_descendants)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -86,6 +110,18 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT delivery_id, 'events.' || k FROM e WHERE CASE WHEN json_valid(events[k + 1]) THEN json_type(CAST(events[k + 1] AS JSON)) = 'OBJECT' ELSE false END""",
         "p4_calls": f"""{nodes} SELECT delivery_id, 'messages.' || i || '.' || field || '.' || k AS node_path, 'messages.' || i AS parent_path, CAST(k AS INTEGER) AS place, x ->> '$.role' AS "role", y ->> '$.id' AS call_id,
           CASE WHEN json_type(y -> '$.function') = 'OBJECT' THEN y ->> '$.function.name' ELSE y ->> '$.name' END AS name FROM calls""",
+        "p4_messages": f"""{nodes} SELECT delivery_id, 'messages.' || i AS node_path, CAST(i AS INTEGER) AS place, x ->> '$.role' AS "role", x ->> '$.tool_call_id' AS tool_call_id,
+          CASE WHEN json_type(x -> '$.content') = 'VARCHAR' AND NOT regexp_matches(x ->> '$.content', '^\\s*[\\[{{]') THEN x ->> '$.content' END AS content FROM msg""",
+        "p4_events": f"""{nodes}, ej AS (SELECT delivery_id, k, CASE WHEN json_valid(events[k + 1]) THEN CAST(events[k + 1] AS JSON) END AS x FROM e)
+          SELECT delivery_id, 'events.' || k AS node_path, CAST(k AS INTEGER) AS place, x ->> '$.name' AS name, x ->> '$.time_unix_nano' AS time_unix_nano FROM ej WHERE json_type(x) = 'OBJECT'""",
+        "p4_event_attributes": f"""WITH RECURSIVE e AS (SELECT delivery_id, events, unnest(range(len(events))) AS k FROM otel_spans WHERE len(events) > 0), ej AS (SELECT delivery_id, 'events.' || k AS path, CASE WHEN json_valid(events[k + 1]) THEN CAST(events[k + 1] AS JSON) END AS x FROM e),
+          t AS (SELECT delivery_id, path AS parent_path, path || '.attributes' AS prefix, x -> '$.attributes' AS v FROM ej WHERE json_type(x) = 'OBJECT'),
+          m AS (SELECT delivery_id, parent_path, prefix, unnest(json_keys(v)) AS key, v FROM t WHERE json_type(v) = 'OBJECT'
+            UNION ALL SELECT delivery_id, parent_path, prefix, CAST(unnest(range(CAST(json_array_length(v) AS BIGINT))) AS VARCHAR), v FROM t WHERE json_type(v) = 'ARRAY'),
+          r AS (SELECT delivery_id, parent_path, prefix || '.' || key AS node_path, key, CASE json_type(v) WHEN 'OBJECT' THEN json_extract(v, '$."' || key || '"') ELSE json_extract(v, '$[' || key || ']') END AS v FROM m
+            UNION ALL SELECT delivery_id, node_path, node_path || '.' || k, k, CASE json_type(v) WHEN 'OBJECT' THEN json_extract(v, '$."' || k || '"') ELSE json_extract(v, '$[' || k || ']') END
+            FROM (SELECT r.*, unnest(CASE json_type(v) WHEN 'OBJECT' THEN json_keys(v) ELSE [CAST(z AS VARCHAR) FOR z IN range(CAST(json_array_length(v) AS BIGINT))] END) AS k FROM r WHERE json_type(v) IN ('OBJECT', 'ARRAY')))
+          SELECT delivery_id, node_path, parent_path, key, CASE WHEN json_type(v) NOT IN ('OBJECT', 'ARRAY') THEN v ->> '$' END AS value FROM r""",
         "p7_found": f"WITH RECURSIVE {graph} SELECT l.t AS trace_id, l.s AS span_id, coalesce(w.r, '') AS root_span_id, CAST(coalesce(w.n, -1) AS INTEGER) AS tree_depth FROM l LEFT JOIN w ON w.t = l.t AND w.s = l.s",
         "p7_paths": f"""WITH RECURSIVE {graph}, b AS (SELECT t, a, count(*) AS n FROM (SELECT t, unnest(string_split(path, '/')) AS a FROM w) GROUP BY t, a)
           SELECT w.t AS trace_id, w.s AS span_id, path, b.n - 1 AS n_below FROM w JOIN b ON b.t = w.t AND b.a = w.s""",

@@ -85,11 +85,39 @@ def test_flatten_edge_cases(spark):
 def test_flat_tables_keep_links(spark):
     df = spark.createDataFrame([span(1, T1, "1", attributes=json.dumps({"gen_ai.input.messages": MESSAGES}))], SPAN)
     path = new_path(spark, "test")
-    flatten.write_tables(flatten.tagged_nodes(df), path)
-    calls = {r.node_path: r for r in flatten.read_table(spark, path, "call").collect()}
+    tables = flatten.flat_tables(df, path)
+    calls = {r.node_path: r for r in tables["call"].collect()}
     assert calls["messages.3.tool_calls.1"].name == "f" and calls["messages.3.tool_calls.1"].parent_path == "messages.3"
     assert calls["messages.3.parts.1"].name == "g" and calls["messages.4.content.0"].place == 0
-    assert {r.node_path for r in flatten.read_table(spark, path, "message").collect()} == {"messages.0", "messages.3", "messages.4"}
+    assert {r.node_path for r in tables["message"].collect()} == {"messages.0", "messages.3", "messages.4"}
+    drop(spark, path)
+
+
+def test_deep_nesting_costs_no_row(spark):
+    deep = "[" * 50_000 + "1" + "]" * 50_000
+    text = '{"gen_ai.input.messages": [{"role": "user", "content": %s}, {"role": "tool", "extra": {"a": %s}, "tool_calls": [{"id": "c"}]}]}' % (deep, deep.replace("[", '{"x":').replace("]", "}"))
+    got = {r.node_path: r.payload for r in flatten.tagged_nodes(spark.createDataFrame([span(1, T1, "1", attributes=text, events=['{"name": "e", "attributes": %s}' % deep])], SPAN)).collect()}
+    assert set(got) == {"messages.0", "messages.1", "messages.1.tool_calls.0", "events.0"}
+    assert json.loads(got["messages.0"])["content"] == deep and json.loads(got["events.0"])["attributes"] == deep
+    for bad in ("[" * 50_000, deep + "]", '{"a": ' * 20_000 + "}" * 20_000, deep[:-1] + ",]"):
+        assert flatten.parse(bad) is None
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, "x\\n\\u00e9", {}, [], null, true, false, {"b": {"c": [[]]}}]}', " [1 , 2 ] ", '"s"', "3", "", "{", '{"a" 1}', '{"a": 1,}', "[1 2]", "[NaN]", "[1]]", '{1: 2}', "nul", '{"a": 1, "a": 2}'])
+def test_both_parsers_agree(text):
+    assert flatten.parse_deep(text) == flatten.parse(text)
+
+
+def test_members_of_attributes_at_every_depth(spark):
+    events = [json.dumps({"name": "e", "attributes": {"a.b": 1, "r": {"n": None, "h": ["x", {"y": True}]}}}), json.dumps({"attributes": [{"key": "k"}]}), json.dumps({"attributes": 5})]
+    df = spark.createDataFrame([span(1, T1, "1", attributes=None, events=events)], SPAN)
+    path = new_path(spark, "test")
+    rows = {(r.node_path, r.parent_path, r.key, r.value) for r in flatten.flat_tables(df, path, flatten.WITH_ATTRIBUTES)["attribute"].collect()}
+    e = "events.0"
+    assert rows == {
+        (f"{e}.attributes.a.b", e, "a.b", "1"), (f"{e}.attributes.r", e, "r", None), (f"{e}.attributes.r.n", f"{e}.attributes.r", "n", None), (f"{e}.attributes.r.h", f"{e}.attributes.r", "h", None), (f"{e}.attributes.r.h.0", f"{e}.attributes.r.h", "0", "x"),
+        (f"{e}.attributes.r.h.1", f"{e}.attributes.r.h", "1", None), (f"{e}.attributes.r.h.1.y", f"{e}.attributes.r.h.1", "y", "true"), ("events.1.attributes.0", "events.1", "0", None), ("events.1.attributes.0.key", "events.1.attributes.0", "key", "k"),
+    }
     drop(spark, path)
 
 
