@@ -37,6 +37,8 @@ from ..storage import Scratch
 
 GROUP_CAP = 50_000
 CHUNK = 100_000
+#: Large groups that may be listed in a filter.
+FEW_HEAVY = 500
 OUT = "trace_id string, span_id string, parent_span_id string, root_span_id string, tree_depth int, path string, lo bigint, hi bigint, subtree_size bigint, nearest string"
 _ARROW = pa.schema([("trace_id", pa.string()), ("span_id", pa.string()), ("parent_span_id", pa.string()), ("root_span_id", pa.string()), ("tree_depth", pa.int32()), ("path", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("subtree_size", pa.int64()), ("nearest", pa.string())])
 #: Nodes of a tree in one block of a range join.
@@ -211,18 +213,27 @@ def _spread(rows: DataFrame, with_path: bool, scratch: Scratch, hot_rows: int) -
 
 def hierarchies(df: DataFrame, with_path: bool = True, cap: int = GROUP_CAP, hot_rows: int = 200_000) -> DataFrame:
     """One row per distinct span of ``otel_spans``-like rows."""
-    return solve(links(df), with_path, cap, hot_rows).drop("nearest")
+    # rows are counted by the ids as they are written, which are put into one notation afterwards
+    sizes = df.groupBy("trace_id").count().groupBy(canonical_id("trace_id", 16).alias("g")).agg(F.sum("count").alias("count"))
+    return solve(links(df), with_path, cap, hot_rows, sizes).drop("nearest")
 
 
-def solve(rows: DataFrame, with_path: bool = True, cap: int = GROUP_CAP, hot_rows: int = 200_000) -> DataFrame:
-    """The hierarchies of rows of links (``g``, ``v``, ``p``, ``ord``, ``recv``, ``did`` and perhaps ``own``)."""
+def solve(rows: DataFrame, with_path: bool = True, cap: int = GROUP_CAP, hot_rows: int = 200_000, sizes: DataFrame | None = None) -> DataFrame:
+    """The hierarchies of rows of links (``g``, ``v``, ``p``, ``ord``, ``recv``, ``did`` and perhaps ``own``).
+
+    ``sizes`` (``g``, ``count``) are the groups' numbers of rows, where they can be had more cheaply.
+    """
     spark = rows.sparkSession
     scratch = Scratch(spark, "hierarchy")
-    heavy = rows.groupBy("g").count().filter(F.col("count") > cap).select("g")
+    sizes = rows.groupBy("g").count() if sizes is None else sizes
+    heavy = sizes.filter((F.col("count") > cap) & F.col("g").isNotNull()).select("g")
     heavy = scratch.cut(heavy, "heavy")
     n_heavy = heavy.count()
     if n_heavy == 0:
         light, large = rows, None
+    elif n_heavy <= FEW_HEAVY:  # a list in the filter
+        ids = [r["g"] for r in heavy.collect()]
+        light, large = rows.filter(~F.col("g").isin(ids)), rows.filter(F.col("g").isin(ids))
     elif fits_broadcast(n_heavy, 64):
         light, large = rows.join(F.broadcast(heavy), "g", "left_anti"), rows.join(F.broadcast(heavy), "g", "left_semi")
     else:  # salted, for the large groups' rows

@@ -5,9 +5,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import dedup, flatten, hierarchy
-from spanloom.storage import drop, new_path
+from spanloom.storage import Scratch, drop, new_path
 
 SPAN = "delivery_id bigint, batch_id bigint, received_at timestamp_ntz, trace_id string, span_id string, parent_span_id string, name string, start_time_unix_nano bigint, end_time_unix_nano bigint, status_code string, attributes string, resource string, events array<string>, kind string, k string"
 
@@ -51,7 +52,28 @@ def test_dedup_repeated_rows_and_units(spark, monkeypatch):
     df = spark.createDataFrame(rows, SPAN).repartition(5)
     assert sorted(r[0] for r in dedup.surplus_deliveries(df).collect()) == sorted(gone)
     monkeypatch.setattr(dedup, "UNIT_ROWS", 200)
-    assert sorted(r[0] for r in dedup.surplus_deliveries(df, bucket_seconds=3600).collect()) == sorted(gone)
+    assert sorted(r[0] for r in dedup.surplus_deliveries(df).collect()) == sorted(gone)
+
+
+def test_time_buckets_hold_equal_parts():
+    assert dedup.time_buckets([]) == [] and dedup.time_buckets([(5, 3), (2, 1)]) == [(2, 1), (5, 3)]
+    days = [(d, 1 + d % 3) for d in range(1000)] + [(3000, 4000)]
+    got = dedup.time_buckets(days)
+    assert len(got) <= dedup.MAX_BUCKETS and sum(n for _, n in got) == sum(n for _, n in days)
+    assert [d for d, _ in got] == sorted(d for d, _ in got) and got[0][0] == 0
+    assert max(n for _, n in got) <= sum(n for _, n in days) / dedup.MAX_BUCKETS + 4000
+    even = dedup.time_buckets([(d, 10) for d in range(1000)])
+    assert len(even) == dedup.MAX_BUCKETS and {n for _, n in even} == {620, 630}
+
+
+@pytest.mark.parametrize("days", [1, 36, 1000])
+def test_the_screen_passes_few_new_keys_over_any_number_of_days(spark, days):
+    df = spark.range(0, 60_000, 1, 6).select(F.lit(T1).alias("trace_id"), F.format_string("%016x", F.xxhash64("id")).alias("span_id"), F.timestamp_seconds(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(days)) * 86_400).alias("received_at"), F.col("id").alias("delivery_id"))
+    again = df.filter("delivery_id < 300").withColumn("received_at", F.expr("received_at + interval 2 days")).withColumn("delivery_id", F.col("delivery_id") + 100_000)
+    both = df.unionByName(again)
+    _, known = dedup.screen(both, [("trace_id", 16), ("span_id", 8)], "received_at", "delivery_id", Scratch(spark, "test"))
+    assert 600 <= known.count() < 600 + 0.04 * 60_000
+    assert sorted(r[0] for r in dedup.surplus_deliveries(both).collect()) == [100_000 + i for i in range(300)]
 
 
 def test_first_deliveries_keep_one(spark):
@@ -161,6 +183,16 @@ def test_hierarchy_forms_agree_with_brute_force(spark, cap):
     assert all(got[T2, hexid(i)].tree_depth == 0 for i in (1, 2, 3))
 
 
+@pytest.mark.parametrize("few,rows_of", [(0, 10**9), (0, 0)])
+def test_many_large_groups(spark, monkeypatch, few, rows_of):
+    """Large groups told apart by a broadcast, or by salted joins where there are too many for one."""
+    monkeypatch.setattr(hierarchy, "FEW_HEAVY", few)
+    monkeypatch.setattr(hierarchy, "fits_broadcast", lambda n, b: n <= rows_of)
+    rows = [span(100 * t + n, f"{t:032x}".replace("0", "a"), hexid(n), hexid(n - 1) if n else None) for t in range(1, 4) for n in range(3 * t)]
+    got = trees(spark, rows, cap=4)
+    assert len(got) == 18 and all(r.tree_depth == int(r.span_id, 16) - 4096 for r in got.values())
+
+
 def test_hierarchy_deep_chain_and_empty(spark):
     rows = [span(n, T1, hexid(n), hexid(n - 1) if n else None) for n in range(700)]
     assert trees(spark, rows)[T1, hexid(699)].tree_depth == 699
