@@ -82,6 +82,16 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(_overlap_rows(spark, sf_dir))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of classes of equal intents that match between training and evaluation, with their sizes."""
+    return overlap.class_overlaps(_overlap_rows(spark, sf_dir))[0]
+
+
+def p6_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks in training and in evaluation, with their numbers of rows."""
+    return overlap.task_overlaps(_overlap_rows(spark, sf_dir))
+
+
 #: Limits of a container besides its capacity: one segment for so many tokens, and the share of loss-bearing tokens.
 TOKENS_A_SEGMENT, LOSS_SHARE = 32, 0.95
 
@@ -145,7 +155,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_beside_frozen, p5_found, p5_splits, p5_shares, p6_found, p6_report, p8_packing, p8_fill, p8_check, p9_mix, p9_shares, p9_check, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_beside_frozen, p5_found, p5_splits, p5_shares, p6_found, p6_report, p6_classes, p6_tasks, p8_packing, p8_fill, p8_check, p9_mix, p9_shares, p9_check, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -184,6 +194,9 @@ def oracle_sql() -> dict[str, str]:
         "p6_report": f"""{p6}, f AS (SELECT b, bool_or(coalesce(exact, false)) AS exact, bool_or(coalesce(alike AND NOT exact, false)) AS near, bool_or(coalesce(same_task, false)) AS same_task FROM j GROUP BY b)
           SELECT split, source, count(*) AS n_rows, CAST(count(*) FILTER (WHERE exact) AS BIGINT) AS n_exact, CAST(count(*) FILTER (WHERE near) AS BIGINT) AS n_near, CAST(count(*) FILTER (WHERE same_task) AS BIGINT) AS n_same_task,
           CAST(count(*) FILTER (WHERE exact OR near OR same_task) AS BIGINT) AS n_any FROM ev LEFT JOIN f ON f.b = ev.record_id GROUP BY split, source""",
+        "p6_classes": f"""{p6.split("j AS (")[0].rstrip().rstrip(",")}, ca AS (SELECT w, min(record_id) AS id, count(*) AS n FROM tr WHERE len(w) > 0 GROUP BY w), cb AS (SELECT w, min(record_id) AS id, count(*) AS n FROM ev WHERE len(w) > 0 GROUP BY w)
+          SELECT ca.id AS class_train, cb.id AS class_eval, ca.n AS n_train, cb.n AS n_eval, ca.w = cb.w AS exact FROM ca, cb WHERE len(list_intersect(ca.w, cb.w)) * 10 >= 7 * (len(ca.w) + len(cb.w) - len(list_intersect(ca.w, cb.w)))""",
+        "p6_tasks": f"""{p6.split("j AS (")[0].rstrip().rstrip(",")} SELECT tr.task, tr.n AS n_train, ev.n AS n_eval FROM (SELECT task, count(*) AS n FROM tr WHERE task IS NOT NULL GROUP BY task) tr JOIN (SELECT task, count(*) AS n FROM ev WHERE task IS NOT NULL GROUP BY task) ev USING (task)""",
         "p3_found": f"{p3} SELECT tool_a, tool_b FROM p WHERE n_ab * n >= 8 * n_a * n_b",
         "p3_beside_frozen": f"""{p3}, o AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(n_together) AS n_frozen FROM (SELECT {N.tool_name_sql("tool_a")} AS a, {N.tool_name_sql("tool_b")} AS b, n_together FROM co_occurrence) GROUP BY ALL)
           SELECT tool_a, tool_b, n_ab AS n_together, floor(n_ab * n * 10000 / (n_a * n_b)) / 10000 AS lift, CASE WHEN n_ab < n_a THEN floor(n_a * (n - n_b) * 10000 / (n * (n_a - n_ab))) / 10000 END AS conviction, n_frozen FROM p LEFT JOIN o ON o.a = tool_a AND o.b = tool_b""",

@@ -110,6 +110,34 @@ def test_overlaps_brute_force(spark):
     assert rep["n_any"].sum() == len({b if side(dict((r[0], r[3]) for r in rows)[b]) == "eval" else a for a, b in want})
 
 
+def test_hot_keys_of_a_join_are_split(spark):
+    a = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(5)] + [(3, 1), (None, 1)], "k int, a int")
+    b = spark.createDataFrame([(1, i) for i in range(37)] + [(2, i) for i in range(50)] + [(4, 1), (None, 2)], "k int, b int")
+    for block in (8, 1000):
+        got = sorted(tuple(r) for r in overlap.joined(a, b, ["k"], block).collect())
+        assert got == sorted((1, x, y) for x in range(60) for y in range(37)) + sorted((2, x, y) for x in range(5) for y in range(50))
+
+
+def test_classes_and_members_stand_for_all_pairs(spark):
+    texts = ["Find the order now", "find, the order NOW!", "find the order", "other thing here", None, " ", "now order the find"]
+    rows = [(i, f"t{i % 3}" if i % 4 else None, texts[i % 7], ("train", "test", "Validation ", None)[i % 4]) for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id long, task string, intent string, split_name string")
+    pairs, members = overlap.class_overlaps(df)
+    m = members.toPandas()
+    inside = {True: {}, False: {}}
+    for r in m.itertuples():
+        inside[r.train].setdefault(r.class_id, []).append(r.record_id)
+    out = set()
+    for r in pairs.collect():
+        assert r.n_train == len(inside[True][r.class_train]) and r.n_eval == len(inside[False][r.class_eval]) and r.class_train == min(inside[True][r.class_train])
+        out |= {(min(x, y), max(x, y)) for x in inside[True][r.class_train] for y in inside[False][r.class_eval]}
+    tasks = {r.task: (r.n_train, r.n_eval) for r in overlap.task_overlaps(df).collect()}
+    side = lambda s: None if not s else "train" if s.strip().lower() == "train" else "eval"
+    assert tasks == {t: n for t in ("t0", "t1", "t2") if all(n := tuple(sum(r[1] == t and side(r[3]) == s for r in rows) for s in ("train", "eval")))}
+    by_task = {(min(x[0], y[0]), max(x[0], y[0])) for x in rows for y in rows if x[1] and x[1] == y[1] and side(x[3]) == "train" and side(y[3]) == "eval"}
+    assert {tuple(r) for r in overlap.overlaps(df).collect()} == out | by_task
+
+
 LIMITS = {"s": (100, 12, 60), "l": (250, 50, 250)}
 
 
