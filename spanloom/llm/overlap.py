@@ -46,27 +46,17 @@ def _key(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(_SLOTS, np.int64)
-    for rb in batches:
-        for w in rb.column("wset").to_pylist():
-            for x in w:
-                n[_slot(x)] += 1
-    at = np.flatnonzero(n)
-    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["slot", "n"])
-
-
 def _prefixes(counts, t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
         for rb in batches:
-            h, sizes, tokens = [], [], []
+            h, sizes, tokens, common = [], [], [], []
             for key, w in zip(rb.column("h").to_pylist(), rb.column("wset").to_pylist()):
                 n = len(w)
                 k = n - -(-t.numerator * n // t.denominator) + 1
                 for x in sorted(w, key=lambda x: (often[_slot(x)], x))[:k]:
-                    h.append(key), sizes.append(n), tokens.append(_key(x))
-            yield pa.record_batch([pa.array(h, pa.binary()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.int64())], names=["h", "n", "token"])
+                    h.append(key), sizes.append(n), tokens.append(_key(x)), common.append(bool(often[_slot(x)] > BLOCK))
+            yield pa.record_batch([pa.array(h, pa.binary()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.int64()), pa.array(common, pa.bool_())], names=["h", "n", "token", "common"])
 
     return run
 
@@ -93,11 +83,11 @@ def joined(a: DataFrame, b: DataFrame, keys: list[str], block: int = BLOCK) -> D
 
 
 def word_classes(records: DataFrame, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Members (all columns and ``h``) and classes (``h``, ``wset``, ``in_train``, ``in_eval``); ``records`` has ``train`` boolean."""
+    """Members (all columns and ``h``) and classes (``h``, ``wset``, ``in_train``, ``in_eval``, ``size``); ``records`` has ``train`` boolean."""
     wset = F.array_sort(F.array_distinct(words(text)))
     rows = records.withColumn("wset", wset).filter(F.size("wset") > 0).withColumn("h", F.unhex(F.md5(F.array_join("wset", " "))))
     rows = scratch.cut(rows, "rows")
-    classes = rows.groupBy("h").agg(F.first("wset").alias("wset"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"))
+    classes = rows.groupBy("h").agg(F.first("wset").alias("wset"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"), F.count(F.lit(1)).alias("size"))
     return rows.drop("wset"), scratch.cut(classes, "classes")
 
 
@@ -106,16 +96,21 @@ def matching_classes(classes: DataFrame, threshold: float, scratch: Scratch) ->
     spark, t = classes.sparkSession, Fraction(str(threshold))
     same = classes.filter("in_train and in_eval").select(F.col("h").alias("h_train"), F.col("h").alias("h_eval"), F.lit(True).alias("exact"))
     counts = np.zeros(_SLOTS, np.int64)
-    slots = classes.select("wset").mapInArrow(_count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2^18 rows
+    slots = classes.select(F.explode("wset").alias("w")).select(F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(_SLOTS)).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 2^18 rows
     counts[slots["slot"].to_numpy(int)] = slots["n"].to_numpy()
     shared = spark.sparkContext.broadcast(counts)
-    pre = scratch.cut(classes.select("h", "wset").mapInArrow(_prefixes(shared, t), "h binary, n int, token bigint"), "prefixes")
+    pre = scratch.cut(classes.select("h", "wset").mapInArrow(_prefixes(shared, t), "h binary, n int, token bigint, common boolean"), "prefixes")
     side = classes.select("h", "in_train", "in_eval")
     pre = pre.join(side, "h")
-    train = pre.filter("in_train").select("token", "n", F.col("h").alias("h_train"))
+    train = pre.filter("in_train").select("token", "n", F.col("h").alias("h_train"), "common")
     least, most = F.ceil(F.col("n") * t.numerator / t.denominator - 1e-9), F.floor(F.col("n") * t.denominator / t.numerator + 1e-9)
-    ev = pre.filter("in_eval").select("token", F.col("h").alias("h_eval"), F.explode(F.sequence(least.cast("int"), most.cast("int"))).alias("n"))
-    cand = joined(train, ev, ["token", "n"]).filter("h_train <> h_eval").select("h_train", "h_eval").distinct()
+    ev = pre.filter("in_eval").select("token", F.col("h").alias("h_eval"), "common", F.explode(F.sequence(least.cast("int"), most.cast("int"))).alias("n"))
+    # only words that many classes have can be hot keys; a prefix holds the rarest, so these are few
+    of = lambda d, common: d.filter(F.col("common") == common).drop("common")
+    met = of(train, False).join(of(ev, False), ["token", "n"])
+    if not pre.filter("common").isEmpty():
+        met = met.unionByName(joined(of(train, True), of(ev, True), ["token", "n"]))
+    cand = met.filter("h_train <> h_eval").select("h_train", "h_eval").distinct()
     a = classes.select(F.col("h").alias("h_train"), F.col("wset").alias("wa"))
     b = classes.select(F.col("h").alias("h_eval"), F.col("wset").alias("wb"))
     inter = F.size(F.array_intersect("wa", "wb"))
@@ -138,9 +133,12 @@ def overlaps(records: DataFrame, record_id: str = "record_id", task: str = "task
     match = matching_classes(classes, threshold, scratch)
     tr = members.filter("train").select(F.col("rid").alias("a"), F.col("h").alias("h_train"))
     ev = members.filter("not train").select(F.col("rid").alias("b"), F.col("h").alias("h_eval"))
-    by_text = joined(joined(match.select("h_train", "h_eval"), tr, ["h_train"]).select("a", "h_eval"), ev, ["h_eval"]).select("a", "b")
+    plain = lambda a, b, keys: a.join(b, keys)
+    meet = plain if classes.filter(F.col("size") > BLOCK).isEmpty() else joined
+    by_text = meet(meet(match.select("h_train", "h_eval"), tr, ["h_train"]).select("a", "h_eval"), ev, ["h_eval"]).select("a", "b")
     known = rows.filter("task is not null")
-    by_task = joined(known.filter("train").select("task", F.col("rid").alias("a")), known.filter("not train").select("task", F.col("rid").alias("b")), ["task"]).select("a", "b")
+    meet = plain if known.groupBy("task").count().filter(F.col("count") > BLOCK).isEmpty() else joined
+    by_task = meet(known.filter("train").select("task", F.col("rid").alias("a")), known.filter("not train").select("task", F.col("rid").alias("b")), ["task"]).select("a", "b")
     return by_text.unionByName(by_task).select(F.least("a", "b").alias("record_a"), F.greatest("a", "b").alias("record_b")).distinct()
 
 
