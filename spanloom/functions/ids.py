@@ -22,8 +22,8 @@ def canonical_id(col: Column | str, n_bytes: int) -> Column:
     core = F.rtrim(F.translate(t, "-_=", "+/ "))
     b64 = F.lower(F.hex(F.unbase64(F.rpad(core, -(-n_b64 // 4) * 4, "="))))
     hexa = f"^[0-9a-f]{{{n_hex}}}$"
-    return (
-        F.when((F.length(t) == n_hex) & plain.rlike(hexa), plain)
+    return (  # unhex gives null for what isn't hexadecimal, at a fraction of a pattern's cost
+        F.when((F.length(t) == n_hex) & F.unhex(t).isNotNull(), plain)
         .when(F.length(t) == 0, F.lit(None).cast("string"))
         .when(bare.rlike(hexa), bare)
         .when(t.rlike(f"^[A-Za-z0-9+/_-]{{{n_b64}}}={{0,2}}$"), b64)

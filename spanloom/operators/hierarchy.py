@@ -180,7 +180,7 @@ def _spread(rows: DataFrame, with_path: bool, scratch: Scratch, hot_rows: int) -
         seen = s.select("g", F.col("v").alias("jump"), F.col("jump").alias("jump2"), F.col("root").alias("root2"), F.col("dist").alias("dist2"), F.col("near").alias("near2"))
         moved = lookup(s.filter("jump is not null"), seen, ["g", "jump"], hot_rows)
         moved = moved.select("g", "v", "p", "ord", F.coalesce("near", "near2").alias("near"), F.col("jump2").alias("jump"), F.col("root2").alias("root"), (F.col("dist") + F.col("dist2")).alias("dist"), "size")
-        s = s.filter("jump is null").unionByName(moved).join(below, ["g", "v"], "left")
+        s = s.filter("jump is null").unionByName(moved).join(below.hint("merge"), ["g", "v"], "left")
         s = scratch.cut(s.withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"), "up")
     circles = s.filter("root is null").select("g", "v", "p", F.lit("").alias("root"), F.lit(-1).alias("dist"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("size"), "near")
 
