@@ -44,8 +44,10 @@ class DatasetConfig:
 @dataclass(frozen=True)
 class ModelConfig:
     kind: str = "gbt"
+    encoder: str = "tfidf"
     max_terms: int = 5000
     top_k: int = 7
+    holdout: float = 0.1  # of the rows, to stop boosting early by
     gbt: dict = field(default_factory=lambda: {"maxIter": 300, "maxDepth": 8, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 3, "seed": 42})
     forest: dict = field(default_factory=lambda: {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 5, "seed": 42})
     logistic: dict = field(default_factory=lambda: {"c": 1.0, "maxIter": 1000})
@@ -57,6 +59,8 @@ class RuntimeConfig:
     settle_s: float = 2.0
     max_age_s: float = 300.0
     max_spans: int = 500
+    remember_s: float = 600.0  # a closed trace's spans count as late for so long
+    prefix: str = ""  # of the collector's own keys
 
 
 @dataclass(frozen=True)
@@ -69,12 +73,15 @@ class Config:
     runtime: RuntimeConfig = RuntimeConfig()
 
 
+def _names(base: Any) -> set[str]:
+    return {f.name for f in fields(base)}
+
+
 def merged(base: Any, over: dict) -> Any:
     """``base`` with the members in ``over``; nested dataclasses and dictionaries are merged, unknown members raise."""
     if isinstance(base, dict):
         return base | {k: merged(base[k], v) if isinstance(base.get(k), dict) and isinstance(v, dict) else v for k, v in over.items()}
-    known = {f.name for f in fields(base)}
-    if unknown := set(over) - known:
+    if unknown := set(over) - _names(base):
         raise ValueError(f"unknown settings: {sorted(unknown)}")
     new = {}
     for k, v in over.items():

@@ -6,6 +6,9 @@ uses prefix sums in two levels, so no window runs over all rows in one task.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +53,44 @@ def long_scores(metrics: DataFrame, columns: list[str], pool: str, method: str,
     return metrics.select(F.lit(pool).alias("pool"), F.lit(method).alias("method"), F.col(task).alias("task_id"), F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(c).cast("double") for c in columns]))).alias("metric", "value"))
 
 
+def format_metrics(metrics: dict[str, float]) -> str:
+    """One line per metric, by name, with four digits."""
+    return "\n".join(f"{k}: {v:.4f}" if isinstance(v, float) else f"{k}: {v}" for k, v in sorted(metrics.items()))
+
+
+def list_metrics(lists: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS, task: str = "task_id") -> DataFrame:
+    """The metrics of ranked lists of names (``ranked``, in order, as a model replies) against ``relevant`` (arrays), inner by task.
+
+    A name counts where it first occurs. Without a relevant tool all are 0; null and blank names take no place.
+    """
+    names = F.array_distinct(F.filter("ranked", lambda x: F.coalesce(F.trim(x), F.lit("")) != ""))
+    j = lists.select(task, names.alias("_l")).join(relevant.select(task, F.array_distinct("relevant").alias("_r")), task)
+    at = F.filter(F.transform("_r", lambda t: F.array_position("_l", t)), lambda p: p > 0)
+    r = F.size("_r")
+    share = lambda k: F.coalesce(F.try_divide(F.size(F.filter("_at", lambda p: p <= k)), r), F.lit(0.0))
+    j = j.withColumn("_at", at)
+    return j.select(task, share(r).alias("r_precision"), F.coalesce(F.try_divide(F.lit(1.0), F.array_min("_at")), F.lit(0.0)).alias("mrr"), *[share(F.lit(k)).alias(f"recall_{k}") for k in ks])
+
+
+def random_scores(rows: DataFrame, seed: str = "random", task: str = "task_id", tool: str = "tool_name") -> DataFrame:
+    """Adds ``score``: uniform in [0, 1), by the hash of seed, task and tool."""
+    text = F.concat(F.lit(seed + ":"), F.col(task).cast("string"), F.lit(":"), F.col(tool))
+    return rows.withColumn("score", F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0)
+
+
+def latency_means(rows: DataFrame, method: str = "method", ms: str = "latency_ms") -> DataFrame:
+    """Mean latency of a decision by method; rows without a latency don't count."""
+    known = rows.filter(F.col(ms).isNotNull())
+    return known.groupBy(method).agg(F.count(F.lit(1)).alias("n"), (F.sum(ms) / F.count(F.lit(1))).alias("mean_ms"))
+
+
+def timed(method: str, n_decisions: int, run: Callable[[], object]) -> tuple[str, int, float]:
+    """(method, decisions, milliseconds a decision) of a call."""
+    began = time.perf_counter()
+    run()
+    return method, n_decisions, (time.perf_counter() - began) * 1000 / max(1, n_decisions)
+
+
 def confusion(rows: DataFrame, label: str = "label", p: str = "score", threshold: float = 0.5) -> DataFrame:
     y, q = F.col(label) == 1, F.col(p) >= threshold
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))

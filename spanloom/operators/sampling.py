@@ -1,23 +1,20 @@
 """Positives, negative sampling and group splits. Every random choice is a hash of seed and decision, so results don't
-depend on partitioning or on retried tasks. The catalog travels as one broadcast array, whose size is
-checked; sampling then needs no shuffle.
+depend on partitioning or on retried tasks. Negatives are drawn as places in the sorted catalog, from which the excluded
+tools' places are left out by arithmetic. A small catalog, whose size is checked, travels as one broadcast array and the
+draw needs no shuffle; from a larger one the places are looked up by joins, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..joins import fits_broadcast
-
-
-def _catalog_row(catalog: DataFrame, row_bytes: int = 512) -> DataFrame:
-    """The catalog (tool, description) as a row with one array, sorted by tool."""
-    n = catalog.count()
-    if not fits_broadcast(n, row_bytes):
-        raise ValueError(f"a catalog of {n} tools is too large to broadcast")
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.nullif("description", F.lit("")), "tool")), r"\s+"), lambda w: w != ""))
-    return catalog.agg(F.array_sort(F.collect_list(F.struct("tool", words.alias("words")))).alias("catalog"))
+from ..config import DatasetConfig
+from ..joins import fits_broadcast, lookup
+from ..storage import Scratch
+from . import ranking
 
 
 def _let(value: Column, body) -> Column:
@@ -30,91 +27,176 @@ def _number(seed: str, decision: Column, what) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def _drawn(pool: Column, seed: str, decision: Column, n) -> Column:
-    """n tools of an array without replacement, or all if there are fewer; each with the same probability.
+def _places(n_pool: Column, seed: str, decision: Column, n) -> Column:
+    """Places of n tools in a pool of ``n_pool``, without replacement, or of all if there are fewer; each equally probable.
 
-    The array, turned by a random offset, is cut into n parts of equal size, and one tool is drawn from each: n + 1 hashes
-    a decision, whatever the catalog's size.
+    The pool, turned by a random offset, is cut into n parts of equal size, and one place is drawn from each: n + 1 hashes
+    a decision, whatever the pool's size.
     """
-    m = F.size(pool).cast("bigint")
-    k = F.least(n if isinstance(n, Column) else F.lit(n), F.size(pool)).cast("bigint")
+    m = n_pool.cast("bigint")
+    k = F.least(n.cast("bigint") if isinstance(n, Column) else F.lit(n).cast("bigint"), m)
     off = _number(seed, decision, "off")
     edge = lambda j: (j * m / k).cast("bigint")
     at = lambda j: F.pmod(off + edge(j) + F.pmod(_number(seed, decision, j.cast("string")), edge(j + 1) - edge(j)), m)
-    drawn = F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda j: F.get(pool, at(j).cast("int")))
-    return F.when(k > 0, drawn).otherwise(F.array().cast("array<string>"))
+    return F.when(k > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), at)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _drawn(pool: Column, seed: str, decision: Column, n) -> Column:
+    """The tools of an array at such places."""
+    return F.transform(_places(F.size(pool), seed, decision, n), lambda p: F.get(pool, p.cast("int")))
+
+
+def _around(places: Column, taken: Column) -> Column:
+    """Places in the pool → places in the catalog, ``taken`` being the sorted places that the pool lacks."""
+    return F.transform(places, lambda p: F.aggregate(taken, p, lambda at, t: F.when(t <= at, at + 1).otherwise(at)))
 
 
-def random_negatives(decisions: DataFrame, catalog: DataFrame, key: str, exclude: str, n: int | Column = 3, seed: str = "neg") -> DataFrame:
-    """Adds ``negatives``: n tools of the catalog without ``exclude``, or as many as there are."""
-    d = decisions.crossJoin(F.broadcast(_catalog_row(catalog)))  # one row
-    d = d.withColumn("_pool", F.array_except(F.transform("catalog", lambda c: c["tool"]), F.col(exclude)))
-    return d.withColumn("negatives", _drawn(F.col("_pool"), seed, F.col(key).cast("string"), n)).drop("catalog", "_pool")
+def random_negatives(decisions: DataFrame, catalog: DataFrame, key: str, exclude: str, n: int | Column = 3, seed: str = "neg", column: str = "negatives") -> DataFrame:
+    """Adds n tools of the catalog without ``exclude``, or as many as there are.
+
+    ``key`` tells decisions apart. Null and unknown tools in ``exclude`` exclude nothing; a null array is empty.
+    """
+    names = catalog.select("tool").filter("tool is not null").distinct()
+    size = names.count()
+    k, gone = F.col(key).cast("string"), F.array_distinct(F.coalesce(F.col(exclude), F.array().cast("array<string>")))
+    if fits_broadcast(size, 128):
+        d = decisions.crossJoin(F.broadcast(names.agg(F.array_sort(F.collect_list("tool")).alias("_names"))))  # one row
+        d = d.withColumn("_taken", F.array_sort(F.filter(F.transform(gone, lambda t: F.array_position("_names", t) - 1), lambda p: p >= 0)))
+        at = _around(_places(F.lit(size) - F.size("_taken"), seed, k, n), F.col("_taken"))
+        return d.withColumn("_at", at).withColumn(column, F.transform("_at", lambda p: F.get("_names", p.cast("int")))).drop("_names", "_taken", "_at")
+    scratch = Scratch(decisions.sparkSession, "negatives")
+    placed = scratch.cut(ranking.prefix_sums(names.withColumn("one", F.lit(1)), "tool", "one", "place").select("tool", F.col("place").cast("bigint").alias("place")), "catalog")
+    d = scratch.cut(decisions.withColumn("_row", F.monotonically_increasing_id()), "decisions")
+    taken = lookup(d.select("_row", F.explode(gone).alias("tool")), placed, ["tool"]).groupBy("_row").agg(F.array_sort(F.collect_list("place")).alias("_taken"))
+    d = d.join(taken, "_row", "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<bigint>")))
+    d = scratch.cut(d.withColumn("_at", _around(_places(F.lit(size) - F.size("_taken"), seed, k, n), F.col("_taken"))), "drawn")
+    drawn = lookup(d.select("_row", F.posexplode("_at").alias("j", "place")), placed, ["place"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("j", "tool"))).alias("_x"))
+    out = d.join(drawn, "_row", "left").withColumn(column, F.coalesce(F.transform("_x", lambda x: x["tool"]), F.array().cast("array<string>")))
+    return out.drop("_row", "_taken", "_at", "_x")
+
+
+def _words() -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.nullif("description", F.lit("")), "tool")), r"\s+"), lambda w: w != ""))
+
+
+def like_baskets(baskets: DataFrame, catalog: DataFrame, co_occurrence: DataFrame, most: int | None, scratch: Scratch) -> DataFrame:
+    """For each distinct set of tools (``_b``, ``tools``): ``_co``, tools used together with it, by use; ``_like``, others by shared words.
+
+    Words in common are counted over an inverted index of the descriptions, once per set; at most ``most`` are kept (None:
+    all). Tools without a word in common follow by name.
+    """
+    names = scratch.cut(catalog.filter("tool is not null").groupBy("tool").agg(F.first(_words()).alias("words")), "words")
+    known = co_occurrence.join(names.select(F.col("tool").alias("tool_b")), "tool_b", "left_semi")
+    ranked = known.groupBy(F.col("tool_a").alias("tool")).agg(F.array_sort(F.collect_list(F.struct("n_together", F.col("tool_b").alias("t")))).alias("x")).select("tool", F.reverse(F.transform("x", lambda x: x["t"])).alias("co"))
+    each = lookup(lookup(baskets.select("_b", F.explode("tools").alias("tool")), names, ["tool"]), ranked, ["tool"])
+    none = F.array().cast("array<string>")
+    sets = each.groupBy("_b").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("words", none)))).alias("_words"), F.array_sort(F.collect_list(F.struct("tool", F.coalesce("co", none).alias("co")))).alias("x"))
+    sets = baskets.join(sets, "_b", "left").select("_b", "tools", F.coalesce("_words", none).alias("_words"), F.array_except(F.coalesce(F.array_distinct(F.flatten(F.transform("x", lambda x: x["co"]))), none), F.col("tools")).alias("_co"))
+    sets = scratch.cut(sets, "sets")
+    index = names.select("tool", F.explode("words").alias("word")).groupBy("word").agg(F.collect_list("tool").alias("of"))
+    shared = lookup(sets.select("_b", F.explode("_words").alias("word")), index, ["word"]).select("_b", F.explode("of").alias("tool"), F.lit(1).alias("n"))
+    out = sets.select("_b", F.explode(F.concat("tools", "_co")).alias("tool"), F.lit(None).cast("int").alias("n"))  # these are out of the question
+    score = shared.unionByName(out).groupBy("_b", "tool").agg(F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("out")).filter("not out")
+    order = Window.partitionBy("_b").orderBy(F.desc("n"), "tool")
+    top = score.withColumn("r", F.row_number().over(order))
+    top = (top if most is None else top.filter(F.col("r") <= most)).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("r", "tool"))).alias("x")).select("_b", F.transform("x", lambda x: x["tool"]).alias("_like"))
+    got = scratch.cut(sets.drop("_words").join(top, "_b", "left").withColumn("_like", F.coalesce("_like", none)), "liked")
+    # where words don't suffice, the first names that are neither in the set nor found already
+    lacks = F.lit(True) if most is None else F.size("_like") < most
+    seen = F.size("tools") + F.size("_co") + F.size("_like")
+    longest = got.filter(lacks).agg(F.max(seen)).first()[0]
+    if longest is None:
+        return got
+    n_first = names.count() if most is None else longest + most
+    first = names.select("tool").orderBy("tool").limit(n_first).agg(F.array_sort(F.collect_list("tool")).alias("_first"))  # no longer than the longest row's own arrays
+    more = F.array_except("_first", F.concat("tools", "_co", "_like"))
+    like = F.concat("_like", more) if most is None else F.when(lacks, F.slice(F.concat("_like", more), 1, most)).otherwise(F.col("_like"))
+    return got.crossJoin(F.broadcast(first)).withColumn("_like", like).drop("_first")
 
 
 def hard_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, co_occurrence: DataFrame, key: str = "record_id", n: int = 10, weights: tuple[float, float, float] = (0.4, 0.3, 0.3), seed: str = "neg", column: str = "negatives") -> DataFrame:
     """Adds n tools like the positives in ``tools``: of the same app, used together with them, alike in description; then random.
 
     Quotas are max(1, int(n * weight)) for the first two and the rest for likeness. A rest below 0 keeps all but as many of
-    the last. Tools ranked by use together count as seen by the likeness stage even beyond their quota.
+    the last. Tools ranked by use together count as seen by the likeness stage even beyond their quota. What depends on the
+    set of tools alone is found once per distinct set.
     """
     a, c = max(1, int(n * weights[0])), max(1, int(n * weights[1]))
     s = n - a - c
-    d = tasks.join(app_tools.select("app", F.col("tools").alias("_app")), "app", "left")
-    ranked = co_occurrence.groupBy("tool_a").agg(F.array_sort(F.collect_list(F.struct("n_together", F.col("tool_b").alias("t")))).alias("_co")).withColumn("_co", F.reverse(F.transform("_co", lambda x: x["t"])))
-    used = tasks.select(key, F.explode("tools").alias("tool_a")).join(ranked, "tool_a").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tool_a", "_co"))).alias("_x")).select(key, F.array_distinct(F.flatten(F.transform("_x", lambda x: x["_co"]))).alias("_co"))
-    d = d.join(used, key, "left").crossJoin(F.broadcast(_catalog_row(catalog)))
-    none, names = F.array().cast("array<string>"), F.transform("catalog", lambda x: x["tool"])
+    scratch, none = Scratch(tasks.sparkSession, "hard"), F.array().cast("array<string>")
+    d = scratch.cut(tasks.withColumn("_b", F.md5(F.array_join("tools", "\u0001"))), "tasks")
+    baskets = scratch.cut(d.groupBy("_b").agg(F.first("tools").alias("tools")), "baskets")
+    liked = scratch.cut(like_baskets(baskets, catalog, co_occurrence, a + s if s >= 0 else None, scratch).drop("tools"), "like")
+    apps = app_tools.select("app", F.explode("tools").alias("tool")).join(catalog.select("tool").distinct(), "tool", "left_semi").groupBy("app").agg(F.array_sort(F.collect_list("tool")).alias("_app"))
+    d = lookup(lookup(d, liked, ["_b"]), apps, ["app"])
     k = F.col(key).cast("string")
-    pool = F.array_except(names, F.col("tools"))
-    d = d.withColumn("_pool", pool)
-    d = d.withColumn("_same", F.array_intersect("_pool", F.coalesce("_app", none)))
-    d = d.withColumn("_same", _drawn(F.col("_same"), seed + ":app", k, a))
-    d = d.withColumn("_cand", F.array_except(F.array_intersect(F.coalesce("_co", none), F.col("_pool")), F.col("_same")))
-    mine = _let(F.col("tools"), lambda t: F.array_distinct(F.flatten(F.transform(F.filter("catalog", lambda x: F.array_contains(t, x["tool"])), lambda x: x["words"]))))
-    d = d.withColumn("_words", mine)
-    likeness = lambda v: F.transform(
-        F.array_sort(F.transform(F.filter("catalog", lambda x: F.array_contains(v["open"], x["tool"])), lambda x: F.struct((-F.size(F.array_intersect(x["words"], v["words"]))).alias("s"), x["tool"].alias("t")))), lambda x: x["t"]
-    )
-    like = _let(F.struct(F.array_except(F.array_except("_pool", "_same"), "_cand").alias("open"), F.col("_words").alias("words")), likeness)
-    d = d.withColumn("_like", like).withColumn("_like", F.slice("_like", 1, F.lit(s) if s >= 0 else F.greatest(F.lit(0), F.size("_like") + s)))
-    d = d.withColumn("_hard", F.concat("_same", F.slice("_cand", 1, c), "_like"))
-    d = d.withColumn("_rest", F.array_except("_pool", "_hard"))
-    fill = _drawn(F.col("_rest"), seed + ":fill", k, F.greatest(F.lit(0), F.lit(n) - F.size("_hard")))
-    return d.withColumn(column, F.slice(F.concat("_hard", fill), 1, n)).drop("_app", "_co", "catalog", "_pool", "_same", "_cand", "_words", "_like", "_hard", "_rest")
-
-
-def mixed_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, co_occurrence: DataFrame, key: str = "record_id", n: int = 10, hard_ratio: float = 0.5, seed: str = "neg") -> DataFrame:
+    d = d.withColumn("_same", _let(F.array_except(F.coalesce("_app", none), F.col("tools")), lambda pool: _drawn(pool, seed + ":app", k, a)))
+    like = F.array_except("_like", "_same")
+    like = F.slice(like, 1, F.lit(s) if s >= 0 else F.greatest(F.lit(0), F.size(like) + s))
+    d = d.withColumn("_hard", F.concat("_same", F.slice(F.array_except("_co", "_same"), 1, c), like)).withColumn("_used", F.concat("tools", "_hard"))
+    d = random_negatives(d.drop("_b", "_app", "_co", "_like", "_same"), catalog, key, "_used", F.greatest(F.lit(0), F.lit(n) - F.size("_hard")), seed + ":fill", "_fill")
+    return d.withColumn(column, F.slice(F.concat("_hard", "_fill"), 1, n)).drop("_hard", "_used", "_fill")
+
+
+def mixed_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, co_occurrence: DataFrame, key: str = "record_id", n: int = 10, hard_ratio: float = 0.5, weights: tuple[float, float, float] = (0.4, 0.3, 0.3), seed: str = "neg") -> DataFrame:
     """max(1, int(n * hard_ratio)) hard negatives and random ones for the rest."""
     h = min(n, max(1, int(n * hard_ratio)))
-    d = hard_negatives(tasks, catalog, app_tools, co_occurrence, key, h, seed=seed, column="_h").withColumn("_used", F.concat("tools", "_h"))
+    d = hard_negatives(tasks, catalog, app_tools, co_occurrence, key, h, weights, seed, "_h").withColumn("_used", F.concat("tools", "_h"))
     return random_negatives(d, catalog, key, "_used", n - h, seed + ":mix").withColumn("negatives", F.concat("_h", "negatives")).drop("_h", "_used")
 
 
+Sampler = Callable[..., DataFrame]
+#: Samplers by name; each takes (tasks, catalog, app_tools, co_occurrence, key, n, config) and adds ``negatives``.
+SAMPLERS: dict[str, Sampler] = {
+    "random": lambda t, cat, apps, co, key, n, c: random_negatives(t, cat, key, "tools", n, c.seed),
+    "hard": lambda t, cat, apps, co, key, n, c: hard_negatives(t, cat, apps, co, key, n, tuple(c.weights), c.seed),
+    "mixed": lambda t, cat, apps, co, key, n, c: mixed_negatives(t, cat, apps, co, key, n, c.hard_ratio, tuple(c.weights), c.seed),
+}
+
+
+def negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, co_occurrence: DataFrame, n: int, config: DatasetConfig = DatasetConfig(), key: str = "record_id") -> DataFrame:
+    """Adds ``negatives`` by the sampler that the settings name; samplers of one's own are added to ``SAMPLERS``."""
+    name = config.sampler.lower().strip()
+    if name not in SAMPLERS:
+        raise ValueError(f"no such sampler: {config.sampler!r}; there are {sorted(SAMPLERS)}")
+    return SAMPLERS[name](tasks, catalog, app_tools, co_occurrence, key, n, config)
+
+
 def pointwise(rows: DataFrame, positives: str, keep: list[str]) -> DataFrame:
     """One row per candidate: the tools in ``positives`` with label 1, those in ``negatives`` with label 0."""
     both = F.concat(F.transform(positives, lambda t: F.struct(t.alias("tool_name"), F.lit(1).alias("label"))), F.transform("negatives", lambda t: F.struct(t.alias("tool_name"), F.lit(0).alias("label"))))
     return rows.select(*keep, F.explode(both).alias("c")).select(*keep, "c.tool_name", "c.label")
 
 
-def group_split(rows: DataFrame, group: str, test_share: float = 0.2, seed: str = "split") -> DataFrame:
-    """(group, part): ceil(share * groups) groups in hash order go to 'test', the others to 'train'.
+def _first_groups(rows: DataFrame, group: str, wanted: Callable[[int], int], seed: str) -> DataFrame:
+    """(group, ``first``): whether a group is among the first ``wanted(groups)`` in hash order.
 
     The cut is found on a histogram of 2^16 hash ranges, then exactly within one range: no global sort in one task.
     """
     g = rows.select(group).filter(F.col(group).isNotNull()).distinct().withColumn("h", F.md5(F.concat(F.lit(seed + ":"), F.col(group).cast("string"))))
     g = g.withColumn("b", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"))
     hist = g.groupBy("b").count().orderBy("b").collect()  # at most 2^16 rows
-    n_test, seen, cut = -(-sum(r["count"] for r in hist) * round(test_share * 10**6) // 10**6), 0, -1
+    n, seen, cut = wanted(sum(r["count"] for r in hist)), 0, -1
     for r in hist:
-        if seen + r["count"] > n_test:
+        if seen + r["count"] > n:
             cut = r["b"]
             break
         seen += r["count"]
     rank = F.row_number().over(Window.orderBy("h", group))
-    edge = g.filter(F.col("b") == cut).withColumn("part", F.when(rank <= n_test - seen, "test").otherwise("train"))
-    rest = g.filter(F.col("b") != cut).withColumn("part", F.when(F.lit(cut < 0) | (F.col("b") < cut), "test").otherwise("train"))
-    return edge.unionByName(rest).select(group, "part")
+    edge = g.filter(F.col("b") == cut).withColumn("first", rank <= n - seen)
+    rest = g.filter(F.col("b") != cut).withColumn("first", F.lit(cut < 0) | (F.col("b") < cut))
+    return edge.unionByName(rest).select(group, "first")
+
+
+def group_split(rows: DataFrame, group: str, test_share: float = 0.2, seed: str = "split") -> DataFrame:
+    """(group, part): ceil(share * groups) groups in hash order go to 'test', the others to 'train'."""
+    cut = _first_groups(rows, group, lambda n: -(-n * round(test_share * 10**6) // 10**6), seed)
+    return cut.select(group, F.when(F.col("first"), "test").otherwise("train").alias("part"))
+
+
+def random_groups(rows: DataFrame, group: str, n: int, seed: str = "subset") -> DataFrame:
+    """n groups, each equally probable, or all if there are fewer."""
+    return _first_groups(rows, group, lambda _: n, seed).filter("first").select(group)
 
 
 def group_kfold(rows: DataFrame, group: str, n_splits: int = 5, big_share: float = 0.001, seed: str = "fold") -> DataFrame:

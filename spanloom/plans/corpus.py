@@ -224,26 +224,26 @@ def oracle_sql() -> dict[str, str]:
         at = f"({number(seed, d, chr(39) + 'off' + chr(39))} + {edge('j')} + {number(seed, d, 'j')} % ({edge('j + 1')} - {edge('j')})) % {m}"
         return f"[{pool}[1 + {at}] FOR j IN range({k})]"
 
-    neg = lambda n: f"cl AS (SELECT list(tool ORDER BY tool) AS cl FROM cat), pl AS (SELECT x.*, [t FOR t IN cl IF NOT list_contains(ex, t)] AS pool FROM x, cl), ng AS (SELECT *, {drawn('pool', 'neg', 'id', n)} AS negatives FROM pl)"
+    neg = lambda n, seed="neg": f"cl AS (SELECT list(tool ORDER BY tool) AS cl FROM cat), pl AS (SELECT x.*, [t FOR t IN cl IF NOT list_contains(ex, t)] AS pool FROM x, cl), ng AS (SELECT *, {drawn('pool', seed, 'id', n)} AS negatives FROM pl)"
     gate = f"""{base}, g AS (SELECT *, metadata ->> '$."otel.trace_id"' AS trace, CASE WHEN coalesce(trim(intent, ' \t\r\n '), '') = '' THEN 'missing_intent' WHEN NOT EXISTS (SELECT 1 FROM st WHERE st.record_id = rec.record_id AND tool IS NOT NULL) THEN 'zero_tool_spans'
         WHEN coalesce(metadata ->> '$."success_source"', 'unknown') = 'unknown' THEN 'success_unknown' WHEN NOT success THEN 'success_false' WHEN len(spans) > 200 THEN 'too_many_spans' END AS r FROM rec),
       q AS (SELECT record_id, CASE WHEN r IS NOT NULL THEN r WHEN trace IS NOT NULL AND row_number() OVER (PARTITION BY trace, r IS NULL ORDER BY recorded_at, record_id) > 1 THEN 'duplicate_trace' END AS drop_reason FROM g)"""
     n_of = lambda k: f"CAST(len([p FOR p IN parameters IF p.type = '{k}']) AS BIGINT) AS n_{k}_params"
     tr = "split_name = 'train'"
-    hard = f"""{base}, ap AS (SELECT DISTINCT app, tool FROM ut WHERE {tr} AND app IS NOT NULL), co AS (SELECT a.tool AS a, b.tool AS b, count(*) AS n FROM ut a JOIN ut b ON a.record_id = b.record_id AND a.tool <> b.tool WHERE a.{tr} GROUP BY ALL),
+    hard = lambda n, a, c, s: f"""{base}, ap AS (SELECT DISTINCT app, tool FROM ut WHERE {tr} AND app IS NOT NULL), co AS (SELECT a.tool AS a, b.tool AS b, count(*) AS n FROM ut a JOIN ut b ON a.record_id = b.record_id AND a.tool <> b.tool WHERE a.{tr} GROUP BY ALL),
       po AS (SELECT rec.record_id AS d, app, tools, cat.tool FROM rec, cat WHERE NOT list_contains(tools, cat.tool)),
       sa AS (SELECT d, list(po.tool ORDER BY po.tool) AS pool FROM po JOIN ap ON ap.app = po.app AND ap.tool = po.tool GROUP BY d),
-      s1 AS (SELECT d, unnest(l) AS tool, unnest(range(len(l))) AS n FROM (SELECT d, {drawn("pool", "neg:app", "d", "4")} AS l FROM sa)),
+      s1 AS (SELECT d, unnest(l) AS tool, unnest(range(len(l))) AS n FROM (SELECT d, {drawn("pool", "neg:app", "d", str(a))} AS l FROM sa)),
       c1 AS (SELECT ut.record_id AS d, ut.tool AS a, co.b AS tool, row_number() OVER (PARTITION BY ut.record_id ORDER BY ut.tool, n DESC, co.b DESC) AS o FROM ut JOIN co ON co.a = ut.tool),
       s2 AS (SELECT d, tool, row_number() OVER (PARTITION BY d ORDER BY o) AS n FROM (SELECT c1.d, c1.tool, min(o) AS o FROM c1 JOIN po ON po.d = c1.d AND po.tool = c1.tool WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.d = c1.d AND s1.tool = c1.tool) GROUP BY ALL)),
       wd AS (SELECT tool, [x FOR x IN list_distinct(string_split_regex(lower(coalesce(nullif(description, ''), tool)), '\\s+')) IF x <> ''] AS words FROM cat),
       mw AS (SELECT record_id AS d, list_distinct(flatten(list(words))) AS words FROM ut JOIN wd USING (tool) GROUP BY 1),
       s3 AS (SELECT po.d, po.tool, row_number() OVER (PARTITION BY po.d ORDER BY len(list_intersect(wd.words, coalesce(mw.words, []))) DESC, po.tool) AS n FROM po JOIN wd USING (tool) LEFT JOIN mw ON mw.d = po.d
-        WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.d = po.d AND s1.tool = po.tool) AND NOT EXISTS (SELECT 1 FROM s2 WHERE s2.d = po.d AND s2.tool = po.tool) QUALIFY n <= 3),
-      hd AS (SELECT d, tool, 1 AS st, n FROM s1 UNION ALL SELECT d, tool, 2, n FROM s2 WHERE n <= 3 UNION ALL SELECT d, tool, 3, n FROM s3),
-      fp AS (SELECT po.d, list(po.tool ORDER BY po.tool) AS pool, 10 - (SELECT count(*) FROM hd WHERE hd.d = po.d) AS n FROM po WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.d = po.d AND hd.tool = po.tool) GROUP BY po.d),
+        WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.d = po.d AND s1.tool = po.tool) AND NOT EXISTS (SELECT 1 FROM s2 WHERE s2.d = po.d AND s2.tool = po.tool) QUALIFY n <= {s}),
+      hd AS (SELECT d, tool, 1 AS st, n FROM s1 UNION ALL SELECT d, tool, 2, n FROM s2 WHERE n <= {c} UNION ALL SELECT d, tool, 3, n FROM s3),
+      fp AS (SELECT po.d, list(po.tool ORDER BY po.tool) AS pool, {n} - (SELECT count(*) FROM hd WHERE hd.d = po.d) AS n FROM po WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.d = po.d AND hd.tool = po.tool) GROUP BY po.d),
       fl AS (SELECT d, unnest(l) AS tool, 4 AS st, unnest(range(len(l))) AS n FROM (SELECT d, {drawn("pool", "neg:fill", "d", "greatest(0, n)")} AS l FROM fp)),
-      al AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY st, n) AS r FROM (SELECT * FROM hd UNION ALL SELECT * FROM fl) QUALIFY r <= 10)"""
+      al AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY st, n) AS r FROM (SELECT * FROM hd UNION ALL SELECT * FROM fl) QUALIFY r <= {n})"""
     return {
         "tool_frequency": f"WITH {base} SELECT tool, count(*) AS n_records FROM ut GROUP BY tool",
         "tool_cooccurrence": f"WITH {base} SELECT a.tool AS tool_a, b.tool AS tool_b, count(*) AS n_together FROM ut a JOIN ut b ON a.record_id = b.record_id AND a.tool <> b.tool GROUP BY ALL",
@@ -266,8 +266,9 @@ def oracle_sql() -> dict[str, str]:
         "tool_app_match": f"WITH {base}, k AS (SELECT DISTINCT app, tool FROM ut WHERE {tr} AND app IS NOT NULL) SELECT st.record_id, CAST(st.k AS INTEGER) AS k, st.tool, CAST(k.tool IS NOT NULL AS INTEGER) AS tool_app_match FROM st JOIN rec USING (record_id) LEFT JOIN k ON k.app = rec.app AND k.tool = st.tool WHERE st.tool IS NOT NULL",
         "cooccurrence_score": f"WITH {base} SELECT a.record_id, CAST(a.k AS INTEGER) AS k, a.tool, round(sum(coalesce(n_together, 0)) / count(*), 6) AS tool_co_occurrence FROM st a JOIN st b ON a.record_id = b.record_id AND b.k < a.k AND b.tool IS NOT NULL LEFT JOIN co_occurrence c ON c.tool_a = a.tool AND c.tool_b = b.tool WHERE a.tool IS NOT NULL GROUP BY ALL",
         "random_negatives": f"WITH {base}, x AS (SELECT record_id AS id, tools AS ex FROM rec), {neg('3')} SELECT id AS record_id, array_to_string(negatives, ',') AS negatives FROM ng",
-        "hard_negatives": f"WITH {hard} SELECT record_id, coalesce(string_agg(al.tool, ',' ORDER BY r), '') AS negatives FROM rec LEFT JOIN al ON d = record_id GROUP BY record_id",
-        "mixed_negatives": "SELECT record_id, CAST(6 AS BIGINT) AS n, CAST(6 AS BIGINT) AS n_distinct, CAST(0 AS BIGINT) AS n_wrong FROM trajectories",
+        "hard_negatives": f"WITH {hard(10, 4, 3, 3)} SELECT record_id, coalesce(string_agg(al.tool, ',' ORDER BY r), '') AS negatives FROM rec LEFT JOIN al ON d = record_id GROUP BY record_id",
+        "mixed_negatives": f"""WITH {hard(3, 1, 1, 1)}, hl AS (SELECT record_id AS id, tools, list(al.tool ORDER BY r) FILTER (WHERE al.tool IS NOT NULL) AS h FROM rec LEFT JOIN al ON d = record_id GROUP BY ALL),
+          x AS (SELECT id, coalesce(h, []) AS h, list_concat(tools, coalesce(h, [])) AS ex FROM hl), {neg('3', 'neg:mix')} SELECT id AS record_id, array_to_string(list_concat(h, negatives), ',') AS negatives FROM ng""",
         "pointwise_rows": f"WITH {base}, x AS (SELECT record_id AS id, tools AS ex FROM rec), {neg('3 * len(ex)')} SELECT record_id, tool AS tool_name, 1 AS label FROM ut UNION ALL SELECT id, unnest(negatives), 0 FROM ng",
         "per_decision_rows": f"""WITH {base}, x AS (SELECT record_id, k, tool, record_id || ':' || k AS id, list_append(coalesce(list(tool) FILTER (WHERE tool IS NOT NULL) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []), tool) AS ex FROM st QUALIFY tool IS NOT NULL),
           {neg('3')} SELECT record_id, CAST(k AS INTEGER) AS k, tool AS tool_name, 1 AS label FROM x UNION ALL SELECT record_id, CAST(k AS INTEGER), unnest(negatives), 0 FROM ng""",

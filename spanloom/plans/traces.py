@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attrs as A
 from ..functions.ids import canonical_id_sql
-from ..operators import traces, twins
+from ..operators import traces
 from ..storage import Scratch
 from .records import table
 
@@ -96,13 +96,6 @@ def projected_steps(spark, sf_dir):
     return steps.select("trace_id", F.col("at.c").alias("span_id"), "agent_name", "action", F.md5("observation").alias("observation_md5"), "origin")
 
 
-def client_twin_spans(spark, sf_dir):
-    """JN5, EXT9, EXT10: client spans whose call the server recorded too."""
-    spans = _kept(spark, sf_dir)
-    gone = twins.client_twins(spans)
-    return gone if gone is not None else spans.filter(F.lit(False)).select("trace_id", "span_id")
-
-
 def catalog_first_source(spark, sf_dir):
     """AG8, SO1: tools seen in spans; the first description in order of start wins."""
     s = _spans(spark, sf_dir).filter("tool is not null")
@@ -121,7 +114,7 @@ def idle_sessions(spark, sf_dir):
 
 
 def queries() -> dict:
-    fs = (classify_spans, tool_io, trace_roots, role_counts, token_sums, trace_fields, first_user_intent, last_user_intent, nearest_agent, asof_thoughts, innermost_tools, call_response_pairing, drop_reason_counts, projected_steps, client_twin_spans, catalog_first_source, idle_sessions)
+    fs = (classify_spans, tool_io, trace_roots, role_counts, token_sums, trace_fields, first_user_intent, last_user_intent, nearest_agent, asof_thoughts, innermost_tools, call_response_pairing, drop_reason_counts, projected_steps, catalog_first_source, idle_sessions)
     return {f.__name__: f for f in fs}
 
 
@@ -134,8 +127,9 @@ def _own(key: str) -> str:
     return f"""nullif(j ->> ('$."' || own || '{key}"'), '')"""
 
 
-def clean_spans_sql() -> str:
-    """CTEs: s (clean spans with kind, role, tool; ``own`` is the collector's prefix, found in the data)."""
+def clean_spans_sql(copies: bool = False) -> str:
+    """CTEs: s (clean spans with kind, role, tool; ``own`` is the collector's prefix, found in the data), with all ``copies`` or the first."""
+    first = "" if copies else "QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY received_at, delivery_id) = 1"
     t, s, p = canonical_id_sql("trace_id", 16), canonical_id_sql("span_id", 8), canonical_id_sql("parent_span_id", 8)
     kind = f"lower(coalesce({_attr('traceloop.span.kind', 'openinference.span.kind')}, ''))"
     root = f"(coalesce(name = own || '{A.TASK}', false) OR coalesce({_own(A.TASK_ROOT)} NOT IN ('false', '0'), false))"
@@ -145,8 +139,7 @@ def clean_spans_sql() -> str:
     prefix = """pf AS (SELECT coalesce((SELECT p FROM (SELECT regexp_extract(attributes, '"([A-Za-z0-9_-]+)\\.task_root"\\s*:', 1) AS p FROM otel_spans) WHERE p <> '' GROUP BY p ORDER BY count(*) DESC, p LIMIT 1), '') || '.' AS own)"""
     return f"""{prefix}, s0 AS (SELECT own, {t} AS trace_id, {s} AS span_id, {p} AS p, name, start_time_unix_nano AS t0, end_time_unix_nano AS t1, received_at, delivery_id,
         CASE WHEN json_valid(attributes) THEN CAST(attributes AS JSON) END AS j, CASE WHEN json_valid(resource) THEN CAST(resource AS JSON) END AS r FROM otel_spans, pf),
-      s1 AS (SELECT * EXCLUDE (p), CASE WHEN NOT regexp_full_match(p, '0+') THEN p END AS p FROM s0 WHERE trace_id IS NOT NULL AND span_id IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY received_at, delivery_id) = 1),
+      s1 AS (SELECT * EXCLUDE (p), CASE WHEN NOT regexp_full_match(p, '0+') THEN p END AS p FROM s0 WHERE trace_id IS NOT NULL AND span_id IS NOT NULL {first}),
       s2 AS (SELECT *, {kind} AS kind, coalesce({_attr('gen_ai.operation.name', 'llm.request.type')}, '') AS op, {root} AS is_root FROM s1),
       s3 AS (SELECT *, CASE WHEN op IN ('embeddings', 'vector_db_retrieve', 'handoff') OR kind IN ('session', 'handoff', 'server') THEN 'skip' WHEN is_root THEN 'root' WHEN name IN ('mcp_tools', 'tools/list') THEN 'skip'
         WHEN op = 'execute_tool' OR {_attr('gen_ai.tool.name', 'tool.name')} IS NOT NULL OR name LIKE 'execute_tool %' OR name LIKE '%.tool' OR (name LIKE 'function.%' AND kind IN ('tool', '')) OR kind = 'tool' THEN 'tool'

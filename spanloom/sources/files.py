@@ -7,7 +7,7 @@ nothing, and ``with_rejects`` counts them. Files may lie in folders at any depth
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +71,8 @@ def read_trajectories(spark: SparkSession, path: str, fields: FieldMap = FieldMa
     return out.filter("success") if success_only else out
 
 
+#: Schema of landed deliveries.
+DELIVERY = "delivery_id bigint, batch_id bigint, received_at timestamp_ntz, trace_id string, span_id string, parent_span_id string, name string, start_time_unix_nano bigint, end_time_unix_nano bigint, status_code string, attributes string, resource string, events array<string>"
 SPAN_COLUMNS = ("trace_id", "span_id", "parent_span_id", "name", "start_time_unix_nano", "end_time_unix_nano", "status_code", "attributes", "resource", "events")
 
 
@@ -239,6 +241,65 @@ def read_otlp(spark: SparkSession, path: str) -> DataFrame:
     return _deliveries(as_json.unionByName(bodies.select("content").mapInArrow(_decode_proto, _FLAT_DDL)))
 
 
+def read_bodies(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(deliveries, refused bodies with their status) of OTLP requests as they came: ``body``, ``content_type``, ``content_encoding``.
+
+    What a collector answers over HTTP is a column here: 415 for another content type or encoding, 400 for a body that can't
+    be inflated or read, 200 else. Types are compared without case and parameters.
+    """
+    plain = lambda c: F.lower(F.trim(F.substring_index(F.coalesce(F.col(c), F.lit("")), ";", 1)))
+    b = bodies.select("body", plain("content_type").alias("type"), plain("content_encoding").alias("coding"))
+    known = F.col("type").isin("application/json", "application/x-protobuf", "application/protobuf") & F.col("coding").isin("", "identity", "gzip")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
+        import zlib
+
+        for rb in batches:
+            out, status = [], []
+            for body, kind, coding in zip(*(rb.column(c).to_pylist() for c in ("body", "type", "coding"))):
+                try:
+                    raw = gzip.decompress(bytes(body or b"")) if coding == "gzip" else bytes(body or b"")
+                    if kind == "application/json":
+                        out.append(json.dumps(json.loads(raw.decode("utf-8"))).encode())
+                    else:
+                        list(otlp_proto_spans(raw))
+                        out.append(raw)
+                    status.append(200)
+                except (ValueError, OSError, EOFError, zlib.error):
+                    out.append(bytes(body or b""))
+                    status.append(400)
+            yield pa.record_batch([pa.array(out, pa.binary()), rb.column("type"), pa.array(status, pa.int32())], names=["body", "type", "status"])
+
+    read = b.filter(known).mapInArrow(run, "body binary, type string, status int")
+    good = read.filter("status = 200")
+    as_json = good.filter("type = 'application/json'").select(F.decode("body", "utf-8").alias("rec")).mapInArrow(_decode_json, _FLAT_DDL)
+    as_proto = good.filter("type <> 'application/json'").select(F.col("body").alias("content")).mapInArrow(_decode_proto, _FLAT_DDL)
+    refused = b.filter(~known).select("body", "type", F.lit(415).alias("status")).unionByName(read.filter("status = 400"))
+    return _deliveries(as_json.unionByName(as_proto)), refused
+
+
+#: Readers of trajectories by name; each takes (session, path) and returns the columns of ``read_trajectories``.
+LOADERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def load(spark: SparkSession, path: str, loader: str = "", fields: FieldMap = FieldMap(), success_only: bool = False) -> DataFrame:
+    """Trajectories by a loader of one's own in ``LOADERS``, whose columns are checked, or else by ``read_trajectories``."""
+    if not loader:
+        return read_trajectories(spark, path, fields, success_only)
+    if loader not in LOADERS:
+        raise ValueError(f"no such loader: {loader!r}; there are {sorted(LOADERS)}")
+    t = LOADERS[loader](spark, path)
+    if missing := {"task_id", "intent", "app_name", "success", "spans", "tools_used", "metadata"} - set(t.columns):
+        raise ValueError(f"loader {loader!r} lacks columns {sorted(missing)}")
+    return t.filter("success") if success_only else t
+
+
+def read_dataset_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A dataset as written in CSV with a header, in one folder per split or as a whole; types are inferred, texts may span lines."""
+    return spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
 def read_api_specs(spark: SparkSession, path: str, helpers: tuple[str, ...] = ("supervisor", "api_docs")) -> DataFrame:
     """Tools of function-calling specifications, one file per app: ``tool_name``, ``app``, ``description``, ``parameters``."""
     t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)

@@ -6,7 +6,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,41 @@ def write_dataset(df: DataFrame, path: str, split: str | None = "part", fmt: str
     (w.partitionBy(split) if split else w).save(path)
 
 
+def private(spark: SparkSession, path: str) -> None:
+    """Give files below ``path`` mode 0600 and folders 0700, as far as the file system knows modes: they hold what users said."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mode = lambda m: getattr(hadoop.permission, "FsPermission")(m)
+    todo = [fs.getFileStatus(at)]
+    while todo:
+        s = todo.pop()
+        fs.setPermission(s.getPath(), mode("700" if s.isDirectory() else "600"))
+        todo += fs.listStatus(s.getPath()) if s.isDirectory() else []
+
+
+def append_private(df: DataFrame, path: str) -> None:
+    """Trajectories appended as JSON lines that only their owner may read."""
+    write_trajectories(df, path)
+    private(df.sparkSession, path)
+
+
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Rows of any schema as JSON lines, nulls included."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def metrics_table(rows: list[dict], columns: list[str] | None = None) -> str:
+    """A table for the console: four digits, numbers to the right."""
+    columns = columns or list(dict.fromkeys(c for r in rows for c in r))
+    show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    cells = [columns, *[[show(r.get(c)) for c in columns] for r in rows]]
+    width = [max(len(r[i]) for r in cells) for i in range(len(columns))]
+    number = [any(isinstance(r.get(c), (int, float)) for r in rows) for c in columns]
+    return "\n".join("  ".join(x.rjust(w) if n else x.ljust(w) for x, w, n in zip(r, width, number)).rstrip() for r in cells)
+
+
 def write_report(report: dict, path: str) -> None:
     """A small report as JSON, renamed into place."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)

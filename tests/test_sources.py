@@ -1,5 +1,6 @@
 """Readers and writers on files of our own."""
 
+import gzip
 import json
 import struct
 
@@ -105,3 +106,34 @@ def test_config_and_reports(tmp_path):
     sinks.write_report({"a": 1}, str(tmp_path / "d" / "r.json"))
     assert json.loads((tmp_path / "d" / "r.json").read_text()) == {"a": 1}
     assert sinks.metrics_text({("kept", None): 2, ("dropped", "late"): 1}) == 'spanloom_dropped{reason="late"} 1\nspanloom_kept 2\n'
+
+
+def test_request_bodies_by_type_and_encoding(spark):
+    good = {"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "ab" * 16, "spanId": "01" * 8, "name": "x"}]}]}]}
+    text = json.dumps(good).encode()
+    rows = [
+        (text, "application/json", None), (gzip.compress(text), "Application/JSON; charset=utf-8", "gzip"), (text, "application/json", "br"), (text, "text/plain", ""), (b"{", "application/json", ""), (text, "application/json", "gzip"),
+        (None, "application/x-protobuf", ""), (b"\xff\xff", "application/x-protobuf", ""), (b"[1]", None, None),
+    ]
+    spans, refused = files.read_bodies(spark.createDataFrame([(None if b is None else bytearray(b), t, e) for b, t, e in rows], "body binary, content_type string, content_encoding string"))
+    assert [(r.trace_id, r.name) for r in spans.collect()] == [("ab" * 16, "x")] * 2
+    assert sorted(r.status for r in refused.collect()) == [400, 400, 400, 415, 415, 415]
+
+
+def test_private_files_tables_and_loaders(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("t", "i", True, "{}")], "task_id string, intent string, success boolean, metadata string")
+    sinks.append_private(df, str(tmp_path / "out"))
+    sinks.append_private(df, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    modes = {oct(p.stat().st_mode & 0o777) for p in (tmp_path / "out").rglob("*.json")}
+    assert modes == {"0o600"} and oct((tmp_path / "out").stat().st_mode & 0o777) == "0o700"
+    assert sinks.metrics_table([{"m": "a", "v": 0.25}, {"m": "bcd", "v": None}]) == "m         v\na    0.2500\nbcd"
+    sinks.write_json(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "j"))
+    assert '"b":null' in "".join(p.read_text() for p in (tmp_path / "j").glob("*.json"))
+    with pytest.raises(ValueError):
+        files.load(spark, "x", "mine")
+    monkeypatch.setitem(files.LOADERS, "mine", lambda s, path: df)
+    with pytest.raises(ValueError):
+        files.load(spark, "x", "mine")
+    monkeypatch.setitem(files.LOADERS, "mine", lambda s, path: df.selectExpr("*", "'a' AS app_name", "array() AS spans", "array() AS tools_used"))
+    assert files.load(spark, "x", "mine", success_only=True).count() == 1
