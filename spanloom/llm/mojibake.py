@@ -3,15 +3,16 @@
 A best-first search runs over a passage's states. Operations are: encode the passage's non-ASCII runs in one encoding and
 decode them in another, and unescape HTML entities. States are visited once (by hash); a character-plausibility cost
 orders the queue, and the cheapest state reached is the restored text. A passage counts as garbled if a state reached by
-at least one encode and decode is cheaper by ``margin`` bits, or if it shows replacement or C1 control characters.
+at least one encode and decode is cheaper by ``margin`` bits, or if the cheapest text still shows replacement or C1 control
+characters, which no writing has.
 
 The cost of a text is the sum, over its pairs of neighbouring characters of which one isn't ASCII, of the bits that a
 pair model needs. The model is counted over all distinct passages (hashed to 2^20 counters, a table of fixed size that is
 broadcast), one that comes n times weighing 1 + log2(n), on top of small fixed prior counts for pairs that occur in
 writing: they decide where the corpus says nothing.
 
-Passages are lines, cut further after sentence ends. Those that the model finds ordinary aren't searched, unless another
-reading is better by the prior alone: what is garbled often is frequent too.
+Passages are lines, cut further after sentence ends. Every passage with a character that isn't ASCII, or an entity, is
+searched; passages that are alike in these characters and their neighbours share one search.
 
 Defined results: null and empty texts are never garbled. Texts of any length are handled whole, passage by passage.
 Repeated texts give the same result each. A passage that can't be restored keeps its text and is reported as garbled.
@@ -22,8 +23,10 @@ from __future__ import annotations
 import heapq
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -48,16 +51,22 @@ _UPPER = {c.upper() for c in _LOWER if len(c.upper()) == 1} | {"İ"}
 _SIGNS = set("“”„’‘–—…«»€£°§µ²³½№¿¡·•\xa0")
 #: Bits that a state must save for the passage to count as garbled; bits an operation costs.
 MARGIN, STEP = 10.0, 2.0
-#: Bits of a pair, in the mean and at most, up to which a passage is ordinary.
-ORDINARY, RARE = 12.0, 14.0
-#: States that are expanded, operations in a row, bits by which a state on the way may be dearer than the start.
-MAX_STATES, MAX_DEPTH, SLACK = 8, 4, 20.0
 _CONTEXT = re.compile(r"[\x00-\x7f]?(?:[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#\d{2,6});)+[\x00-\x7f]?")
 _WORDLIKE = re.compile(r"[a-z][^\x00-\x7f]|[^\x00-\x7f][a-z]|[^\W\d_a-z][^\x00-\x7f]|[^\x00-\x7f][^\W\d_a-z]")
 _NARROW = frozenset(WRITTEN_IN)
 _ALIKE = {c: 48 for c in range(48, 58)} | {c: c + 32 for c in range(65, 91)}
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What bounds a search: states that are expanded (None: all), operations in a row, and bits by which a state on the way
+    may be dearer than the start."""
+
+    states: int | None = 64
+    depth: int = 4
+    slack: float = 20.0
+
+
 def _codes(text: str) -> np.ndarray:
     """Code points, ASCII letters in lower case, digits and blanks unified, with a blank at either end."""
     x = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -110,42 +119,51 @@ def _kind(c: str) -> str:
 
 _PRIOR = {"al": 0.5, "la": 0.5, " l": 0.3, "l ": 0.3, " L": 0.3, "La": 0.3, "yy": 0.5, " y": 0.2, "y ": 0.2, " Y": 0.2, "Yy": 0.3, "YY": 0.1, "as": 0.2, "sa": 0.2, " s": 0.3, "s ": 0.3, "hh": 0.05, "ls": 0.1, "sl": 0.1, "sL": 0.1, "ss": 0.05, "ys": 0.2, "sy": 0.2, "sY": 0.2, "hs": 0.05, "sh": 0.05}
 _RARE = 0.015
+#: Pairs whose bits are remembered.
+_REMEMBERED = 500_000
 
 
-@lru_cache(maxsize=200_000)
-def _prior(a: str, b: str) -> float:
-    return _PRIOR.get(_kind(a) + _kind(b), _RARE)
+class _Pairs(dict):
+    """Bits of pairs of characters, found when first asked for; pairs of ASCII have none."""
 
+    def __init__(self, bits: Callable[[str], float]):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, pair: str) -> float:
+        if len(self) > _REMEMBERED:
+            self.clear()
+        self[pair] = x = 0.0 if pair.isascii() else self.bits(pair)
+        return x
+
+    def of(self, text: str) -> list[float]:
+        """Bits of every pair of a text of which one character isn't ASCII."""
+        return [x for x in map(self.__getitem__, map(add, " " + text, text + " ")) if x]
+
+    def sum(self, text: str) -> float:
+        return sum(map(self.__getitem__, map(add, " " + text, text + " ")))
 
-def _prior_bits(text: str) -> float:
-    """Bits of a pair by the prior alone, in the mean."""
-    x = _codes(text)
-    a, b = x[:-1], x[1:]
-    use = np.flatnonzero((a > 127) | (b > 127))
-    return float(np.mean([-np.log2(_prior(chr(p), chr(q))) for p, q in zip(a[use], b[use])])) if len(use) else 0.0
+
+def prior(pair: str, weights: dict[str, float] = _PRIOR) -> float:
+    return weights.get(_kind(pair[0]) + _kind(pair[1]), _RARE)
 
 
 class Restorer:
-    def __init__(self, counts: np.ndarray, margin: float = MARGIN):
-        self.counts, self.total, self.margin = counts, float(counts.sum()) + 2000.0, margin
+    """Finds and restores garbled passages; ``weights`` are the prior counts of pairs by kind."""
+
+    def __init__(self, counts: np.ndarray, margin: float = MARGIN, limits: Limits = Limits(), weights: dict[str, float] = _PRIOR):
+        self.counts, self.total, self.margin, self.limits = counts, float(counts.sum()) + 2000.0, margin, limits
         self.memo: dict = {}
+        self.expanded = 0  # states, in all searches
 
-    def each(self, text: str) -> np.ndarray:
-        """Bits of every pair."""
-        x = _codes(text)
-        a, b = x[:-1], x[1:]
-        use = np.flatnonzero((a > 127) | (b > 127))
-        n = self.counts[((a[use] * 1_000_003 + b[use] * 7919) ^ (a[use] >> 3)) % SLOTS]
-        prior = np.array([_prior(chr(p), chr(q)) for p, q in zip(a[use], b[use])])
-        return np.log2(self.total / (n + prior))
+        def bits(pair: str) -> float:
+            n = self.counts[_slots(_codes(pair)[1:3])]
+            return float(np.log2(self.total / (n[0] + prior(pair, weights))))
 
-    def bits(self, text: str) -> tuple[float, int]:
-        """Bits and number of pairs."""
-        x = self.each(text)
-        return float(x.sum()), len(x)
+        self.pairs = _Pairs(bits)
 
     def cost(self, text: str) -> float:
-        return self.bits(text)[0] + 20.0 * len(_BROKEN.findall(text)) + 12.0 * len(_ENTITY.findall(text))
+        return self.pairs.sum(text) + 20.0 * len(_BROKEN.findall(text)) + 12.0 * len(_ENTITY.findall(text))
 
     def _neighbours(self, text: str, path: list):
         """(state, operation) for each operation that changes the text, which ``path`` led to."""
@@ -175,38 +193,31 @@ class Restorer:
         Bytes of one encoding always have a meaning in another encoding of single bytes, so such a change is only made
         once, to the text as it stands, and is weighed where it makes words: letters next to letters.
         """
-        own = self.cost(text)
+        own, lim = self.cost(text), self.limits
         in_words = " ".join(m for m in text.split("\x1f") if _WORDLIKE.search(m))
-        own_words, n_pairs = self.bits(in_words)
-        best, best_cost, queue, seen, n = [], own, [(own, 0, text, [])], {hash(text)}, 0
-        while queue and n < MAX_STATES:
+        own_bits = self.pairs.of(in_words)
+        own_words, n_pairs = sum(own_bits), len(own_bits)
+        best, best_cost, queue, seen, n = [], own, [(own, 0, text, [])], {text}, 0
+        while queue and (lim.states is None or n < lim.states):
             cost, _, t, path = heapq.heappop(queue)
             n += 1
-            if len(path) == MAX_DEPTH or cost > own + SLACK:
+            if len(path) == lim.depth or cost > own + lim.slack:
                 continue
             for u, op in self._neighbours(t, path):
-                if (k := hash(u)) in seen:
+                if u in seen:
                     continue
-                seen.add(k)
+                seen.add(u)
                 c, way = self.cost(u) + STEP * (len(path) + 1), [*path, op]
                 if op and op[1] in _NARROW:
-                    gain = own_words - self.bits(apply(way, in_words))[0]
-                    if gain >= max(self.margin, 2 * n_pairs) and c < best_cost - 1e-9:
+                    if c < best_cost - 1e-9 and own_words - self.pairs.sum(apply(way, in_words)) >= max(self.margin, 2 * n_pairs):
                         best, best_cost = way, c
                     continue
                 if c < best_cost - 1e-9:
                     best, best_cost = way, c
                 heapq.heappush(queue, (c, len(seen), u, way))
+        self.expanded += n
         return best if any(best) and own - best_cost >= self.margin else []
 
-    def ordinary(self, passage: str) -> bool:
-        """Whether the model finds the passage usual and neither UTF-8 nor a reading better by the prior can be behind it."""
-        x = self.each(passage)
-        if x.sum() > ORDINARY * len(x) or (x > RARE).any() or any(_maybe_utf8(r) for r in _RUN.findall(passage)):
-            return False
-        own = _prior_bits(passage)
-        return not any(a < own for a in (_prior_bits(u) for u, _ in self._neighbours(passage, [])))
-
     def passage(self, passage: str) -> tuple[str, bool]:
         """The restored passage and whether it is garbled."""
         entity = bool(_ENTITY.search(passage))
@@ -217,13 +228,13 @@ class Restorer:
         if not entity:
             key = key.translate(_ALIKE)
         way = self.memo.get(key)
-        broken = bool(_BROKEN.search(passage))
         if way is None:
-            way = [] if not entity and not broken and self.ordinary(key) else self.search(key)
+            way = self.search(key)
             if len(self.memo) > 100_000:
                 self.memo.clear()
             self.memo[key] = way
-        return apply(way, passage), bool(way) or broken
+        out = apply(way, passage)
+        return out, bool(way) or bool(_BROKEN.search(out))
 
     def text(self, text: str | None) -> tuple[str | None, int]:
         """The restored text and the number of garbled passages."""
@@ -254,11 +265,6 @@ def _encode(run: str, enc: str) -> bytes:
     return b""
 
 
-@lru_cache(maxsize=100_000)
-def _maybe_utf8(run: str) -> bool:
-    return any((b := _encode(run, enc)) and len(b) > 1 and _decode(b, "utf-8", enc in READ_AS_WIDE) is not None for enc in READ_AS + READ_AS_WIDE)
-
-
 @lru_cache(maxsize=100_000)
 def _decode(raw: bytes, dec: str, wide: bool) -> str | None:
     """The text of some bytes; none if there is none, or if it has ASCII, which a wrong encoding of single bytes leaves alone.
@@ -298,14 +304,14 @@ def pair_counts(docs: DataFrame, text: str) -> np.ndarray:
     return counts
 
 
-def restore(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", margin: float = MARGIN, only_garbled: bool = True) -> DataFrame:
+def restore(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", margin: float = MARGIN, only_garbled: bool = True, limits: Limits = Limits()) -> DataFrame:
     """``doc_id``, ``restored`` text and ``n_passages``, the number of garbled passages."""
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     shared = spark.sparkContext.broadcast(pair_counts(slim, "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(shared.value, margin)
+        r = Restorer(shared.value, margin, limits)
         for rb in batches:
             got = [r.text(t) for t in rb.column("text").to_pylist()]
             keep = [i for i, (_, n) in enumerate(got) if n or not only_garbled]
