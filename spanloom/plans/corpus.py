@@ -210,21 +210,34 @@ def records_sql() -> str:
       ut AS (SELECT record_id, app, split_name, unnest(tools) AS tool FROM rec), cat AS (SELECT {name('tool_name')} AS tool, description FROM tool_catalog)"""
 
 
-def oracle_sql() -> dict[str, str]:
+def contexts_sql() -> str:
+    """CTEs of ``records_sql`` and ctx (context of every tool step)."""
     base = records_sql()
-    ctx = f"""{base}, w AS (SELECT *, string_agg(tool, ' | ') OVER p AS prev, lag(th) OVER o AS th0, lag(obs) OVER o AS obs0, last_value(tool IGNORE NULLS) OVER p AS act, len(list_distinct(list(tool) FILTER (WHERE tool IS NOT NULL) OVER p)) AS uniq,
+    return f"""{base}, w AS (SELECT *, string_agg(tool, ' | ') OVER p AS prev, lag(th) OVER o AS th0, lag(obs) OVER o AS obs0, last_value(tool IGNORE NULLS) OVER p AS act, len(list_distinct(list(tool) FILTER (WHERE tool IS NOT NULL) OVER p)) AS uniq,
         string_agg(coalesce(tool, 'think') || '→' || left(coalesce(obs, ''), 50), ' | ') OVER h AS hist FROM st
         WINDOW o AS (PARTITION BY record_id ORDER BY k), p AS (PARTITION BY record_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), h AS (PARTITION BY record_id ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
       ctx AS (SELECT * FROM w WHERE tool IS NOT NULL)"""
-    number = lambda seed, d, what: f"CAST(('0x' || substr(md5('{seed}:' || {d} || ':' || {what}), 1, 8)) AS BIGINT)"
 
-    def drawn(pool: str, seed: str, d: str, n: str) -> str:
-        m, k = f"len({pool})", f"least({n}, len({pool}))"
-        edge = lambda j: f"(({j}) * {m} // {k})"
-        at = f"({number(seed, d, chr(39) + 'off' + chr(39))} + {edge('j')} + {number(seed, d, 'j')} % ({edge('j + 1')} - {edge('j')})) % {m}"
-        return f"[{pool}[1 + {at}] FOR j IN range({k})]"
 
-    neg = lambda n, seed="neg": f"cl AS (SELECT list(tool ORDER BY tool) AS cl FROM cat), pl AS (SELECT x.*, [t FOR t IN cl IF NOT list_contains(ex, t)] AS pool FROM x, cl), ng AS (SELECT *, {drawn('pool', seed, 'id', n)} AS negatives FROM pl)"
+def _number_sql(seed: str, d: str, what: str) -> str:
+    return f"CAST(('0x' || substr(md5('{seed}:' || {d} || ':' || {what}), 1, 8)) AS BIGINT)"
+
+
+def drawn_sql(pool: str, seed: str, d: str, n: str) -> str:
+    """n tools of a list, as ``sampling`` draws them."""
+    m, k = f"len({pool})", f"least({n}, len({pool}))"
+    edge = lambda j: f"(({j}) * {m} // {k})"
+    at = f"({_number_sql(seed, d, chr(39) + 'off' + chr(39))} + {edge('j')} + {_number_sql(seed, d, 'j')} % ({edge('j + 1')} - {edge('j')})) % {m}"
+    return f"[{pool}[1 + {at}] FOR j IN range({k})]"
+
+
+def negatives_sql(n: str, seed: str = "neg") -> str:
+    """CTEs up to ng: ``negatives`` of the rows x (``id``, ``ex``)."""
+    return f"cl AS (SELECT list(tool ORDER BY tool) AS cl FROM cat), pl AS (SELECT x.*, [t FOR t IN cl IF NOT list_contains(ex, t)] AS pool FROM x, cl), ng AS (SELECT *, {drawn_sql('pool', seed, 'id', n)} AS negatives FROM pl)"
+
+
+def oracle_sql() -> dict[str, str]:
+    base, ctx, drawn, neg = records_sql(), contexts_sql(), drawn_sql, negatives_sql
     gate = f"""{base}, g AS (SELECT *, metadata ->> '$."otel.trace_id"' AS trace, CASE WHEN coalesce(trim(intent, ' \t\r\n '), '') = '' THEN 'missing_intent' WHEN NOT EXISTS (SELECT 1 FROM st WHERE st.record_id = rec.record_id AND tool IS NOT NULL) THEN 'zero_tool_spans'
         WHEN coalesce(metadata ->> '$."success_source"', 'unknown') = 'unknown' THEN 'success_unknown' WHEN NOT success THEN 'success_false' WHEN len(spans) > 200 THEN 'too_many_spans' END AS r FROM rec),
       q AS (SELECT record_id, CASE WHEN r IS NOT NULL THEN r WHEN trace IS NOT NULL AND row_number() OVER (PARTITION BY trace, r IS NULL ORDER BY recorded_at, record_id) > 1 THEN 'duplicate_trace' END AS drop_reason FROM g)"""
@@ -274,5 +287,12 @@ def oracle_sql() -> dict[str, str]:
           {neg('3')} SELECT record_id, CAST(k AS INTEGER) AS k, tool AS tool_name, 1 AS label FROM x UNION ALL SELECT record_id, CAST(k AS INTEGER), unnest(negatives), 0 FROM ng""",
         "app_scoped_candidates": f"WITH {base}, ap AS (SELECT DISTINCT app, tool FROM ut WHERE {tr} AND app IS NOT NULL) SELECT record_id, ap.tool AS tool_name, CAST(list_contains(tools, ap.tool) AS INTEGER) AS label FROM rec JOIN ap USING (app)",
         "group_split": f"WITH {base}, g AS (SELECT DISTINCT task FROM rec WHERE task IS NOT NULL), r AS (SELECT task, row_number() OVER (ORDER BY md5('split:' || task), task) AS n, count(*) OVER () AS c FROM g) SELECT task, CASE WHEN n <= ceil(c * 0.2) THEN 'test' ELSE 'train' END AS part FROM r",
+        "group_kfold": f"""WITH RECURSIVE {base}, sz AS (SELECT task, count(*) AS n FROM rec WHERE task IS NOT NULL GROUP BY task), al AS (SELECT CAST(sum(n) AS BIGINT) AS total FROM sz),
+          big AS (SELECT task, n, row_number() OVER (ORDER BY n DESC, task) AS k FROM sz WHERE n > 0.001::DOUBLE * (SELECT total FROM al)),
+          pl AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS task, -1::BIGINT AS fold, [0::BIGINT, 0, 0, 0, 0] AS l UNION ALL SELECT big.k, big.task, CAST(list_position(l, list_min(l)) - 1 AS BIGINT), [CASE WHEN i = list_position(l, list_min(l)) THEN l[i] + big.n ELSE l[i] END FOR i IN range(1, 6)] FROM pl JOIN big ON big.k = pl.k + 1),
+          lk AS (SELECT [greatest(0.0::DOUBLE, total / 5.0::DOUBLE - z) FOR z IN l] AS r FROM (SELECT l FROM pl ORDER BY k DESC LIMIT 1), al), w AS (SELECT r, CASE WHEN r[1] + r[2] + r[3] + r[4] + r[5] > 0 THEN r[1] + r[2] + r[3] + r[4] + r[5] ELSE 1 END AS whole FROM lk),
+          u AS (SELECT sz.task, CAST(('0x' || substr(md5('fold:' || task), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM sz)
+          SELECT u.task, CAST(coalesce(pl.fold, CASE WHEN u < r[1] / whole THEN 0 WHEN u < r[1] / whole + r[2] / whole THEN 1 WHEN u < r[1] / whole + r[2] / whole + r[3] / whole THEN 2 WHEN u < r[1] / whole + r[2] / whole + r[3] / whole + r[4] / whole THEN 3 ELSE 4 END) AS INTEGER) AS fold
+          FROM u CROSS JOIN w LEFT JOIN pl ON pl.task = u.task""",
         "unseen_tasks": f"WITH {base}, k AS (SELECT DISTINCT tool FROM ut WHERE {tr}) SELECT record_id, count(*) AS n_tools, count(k.tool) AS n_known, count(k.tool) = 0 AS unseen FROM ut LEFT JOIN k USING (tool) WHERE split_name IN ('test', 'validation') GROUP BY record_id",
     }
