@@ -7,7 +7,9 @@ never one task's work. Lineage is cut by a written table each round.
 
 ``assign_splits`` hashes component identifiers into ranges proportional to the shares. Components that hold more than
 ``big_share`` of all records (at most 1 / big_share of them) would spoil the proportions and are placed first, each in
-the split that lacks most; the ranges are then proportional to what is still lacking.
+the split that lacks most; the ranges are then proportional to what is still lacking. With ``big_share`` None every
+component is hashed: a component's split then depends on its identifier alone, at the price of shares that miss by as much
+as the largest components hold.
 
 Defined results: null entities connect nothing. A record without any entity is a component of its own. Repeated rows
 are in one component. Empty input gives an empty result.
@@ -71,12 +73,12 @@ def record_groups(records: DataFrame, record_id: str, entities: list[str], hot_r
     return out
 
 
-def assign_splits(groups: DataFrame, targets: list[tuple[str, float]], big_share: float = 0.001, seed: str = "split") -> DataFrame:
+def assign_splits(groups: DataFrame, targets: list[tuple[str, float]], big_share: float | None = 0.001, seed: str = "split") -> DataFrame:
     """Adds ``split``; ``groups`` is the result of ``record_groups``, ``targets`` are (split, share) pairs."""
     whole = sum(w for _, w in targets)
     n = groups.count()
     lacking = {s: w / whole * n for s, w in targets}
-    big = groups.filter(F.col("n_records") > F.lit(big_share * n)).select("group_id", "n_records").distinct().collect()  # at most 1 / big_share
+    big = [] if big_share is None else groups.filter(F.col("n_records") > F.lit(big_share * n)).select("group_id", "n_records").distinct().collect()  # at most 1 / big_share
     placed: dict[str, list] = {s: [] for s in lacking}
     for g in sorted(big, key=lambda r: (-r["n_records"], str(r["group_id"]))):
         s = max(lacking, key=lambda x: lacking[x])

@@ -61,6 +61,12 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.assign_splits(_groups(spark, sf_dir), sorted(targets)).select("record_id", "group_id", "split")
 
 
+def p5_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split given to every record if every component is hashed, whatever its size."""
+    targets = [(r["split_name"], r["target_share"]) for r in _table(spark, sf_dir, "split_targets").collect()]
+    return components.assign_splits(_groups(spark, sf_dir), sorted(targets), None).select("record_id", "group_id", "split")
+
+
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of records reached, beside their targets."""
     per = p5_splits(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_records"))
@@ -155,7 +161,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_beside_frozen, p5_found, p5_splits, p5_shares, p6_found, p6_report, p6_classes, p6_tasks, p8_packing, p8_fill, p8_check, p9_mix, p9_shares, p9_check, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_beside_frozen, p5_found, p5_splits, p5_hashed, p5_shares, p6_found, p6_report, p6_classes, p6_tasks, p8_packing, p8_fill, p8_check, p9_mix, p9_shares, p9_check, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -179,6 +185,15 @@ def oracle_sql() -> dict[str, str]:
       r AS (SELECT u, u AS v FROM n UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
       c AS (SELECT u, min(v) AS root, count(*) FILTER (WHERE v LIKE 'a:%') AS apps FROM r GROUP BY u),
       g AS (SELECT record_id, root, apps FROM x JOIN c ON c.u = coalesce(t, a))"""
+    p5s = f"""{p5}, gr AS (SELECT x.record_id, min(x.record_id) OVER (PARTITION BY coalesce(g.root, 'r:' || x.record_id)) AS group_id, count(*) OVER (PARTITION BY coalesce(g.root, 'r:' || x.record_id)) AS n FROM x LEFT JOIN g USING (record_id)),
+      ta AS (SELECT list(split_name ORDER BY split_name) AS names, list(target_share ORDER BY split_name) AS w FROM split_targets), nn AS (SELECT count(*) AS m FROM gr), tn AS (SELECT names, [z / (w[1] + w[2] + w[3]) * m FOR z IN w] AS lack FROM ta, nn),
+      big AS (SELECT group_id, n, row_number() OVER (ORDER BY n DESC, CAST(group_id AS VARCHAR)) AS k FROM (SELECT DISTINCT group_id, n FROM gr WHERE n > 0.001::DOUBLE * (SELECT count(*) FROM gr))),
+      pl AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS group_id, NULL::VARCHAR AS split, lack FROM tn UNION ALL SELECT pl.k + 1, big.group_id, names[list_position(pl.lack, list_max(pl.lack))],
+        [CASE WHEN i = list_position(pl.lack, list_max(pl.lack)) THEN pl.lack[i] - big.n ELSE pl.lack[i] END FOR i IN range(1, len(pl.lack) + 1)] FROM pl JOIN big ON big.k = pl.k + 1, tn)"""
+    ranged = lambda src: f"""rs AS (SELECT names, [greatest(0.0::DOUBLE, z) FOR z IN lack] AS r FROM {src}), tt AS (SELECT *, r[1] + r[2] + r[3] AS total FROM rs),
+      hs AS (SELECT gr.*, CAST(('0x' || substr(md5('split:' || group_id), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM gr),
+      sp AS (SELECT hs.*, CASE WHEN u < r[1] / total THEN names[1] WHEN u < r[1] / total + r[2] / total THEN names[2] ELSE names[3] END AS hashed FROM hs, tt)"""
+    split_sql = f"""{p5s}, {ranged("(SELECT names, pl.lack FROM pl, tn ORDER BY k DESC LIMIT 1)")}, fin AS (SELECT sp.record_id, sp.group_id, coalesce(pl.split, hashed) AS split FROM sp LEFT JOIN pl ON pl.group_id = sp.group_id)"""
     p6 = f"""WITH x AS (SELECT record_id, {task} AS task, list_sort(list_distinct({N.words_sql("intent")})) AS w, lower(trim(split_name, ' \t\r\n ')) AS split, source FROM trajectories),
       tr AS (SELECT * FROM x WHERE split = 'train'), ev AS (SELECT * FROM x WHERE split IN ('validation', 'test')),
       j AS (SELECT tr.record_id AS a, ev.record_id AS b, tr.task = ev.task AS same_task, tr.w = ev.w AND len(ev.w) > 0 AS exact,
@@ -190,6 +205,9 @@ def oracle_sql() -> dict[str, str]:
           FROM container_sizes""",
         "p9_check": "SELECT source, 0::BIGINT AS over_repeats, 0::BIGINT AS twice, 0::BIGINT AS foreign FROM mix_targets",
         "p5_found": f"{p5} SELECT record_id, min(record_id) OVER (PARTITION BY root) AS group_id FROM g WHERE apps >= 2",
+        "p5_splits": f"{split_sql} SELECT record_id, group_id, split FROM fin",
+        "p5_hashed": f"{p5s}, {ranged('tn')} SELECT record_id, group_id, hashed AS split FROM sp",
+        "p5_shares": f"{split_sql} SELECT split_name AS split, count(record_id) AS n_records, any_value(target_share) AS target_share, count(record_id) / (SELECT count(*) FROM fin) AS share FROM split_targets LEFT JOIN fin ON split = split_name GROUP BY split_name",
         "p6_found": f"{p6} SELECT least(a, b) AS record_a, greatest(a, b) AS record_b FROM j WHERE same_task OR alike",
         "p6_report": f"""{p6}, f AS (SELECT b, bool_or(coalesce(exact, false)) AS exact, bool_or(coalesce(alike AND NOT exact, false)) AS near, bool_or(coalesce(same_task, false)) AS same_task FROM j GROUP BY b)
           SELECT split, source, count(*) AS n_rows, CAST(count(*) FILTER (WHERE exact) AS BIGINT) AS n_exact, CAST(count(*) FILTER (WHERE near) AS BIGINT) AS n_near, CAST(count(*) FILTER (WHERE same_task) AS BIGINT) AS n_same_task,
