@@ -161,7 +161,7 @@ def frequent_sequences(records: DataFrame, entity: str, names: str, min_len: int
     if not items:
         return spark.createDataFrame([], schema)
     coded = rows.select("entity", _encode(items)("names").alias("seq"))
-    coded = coded.filter(F.size("seq") >= min_len).distinct()
+    coded = scratch.cut(coded.filter(F.size("seq") >= min_len).distinct(), "encoded")
     hot = coded.groupBy("entity").count().filter(F.col("count") > hot_entity).select("entity", F.lit(True).alias("hot"))
     hot = scratch.cut(hot, "hot")
     n_hot = hot.count()
@@ -172,7 +172,7 @@ def frequent_sequences(records: DataFrame, entity: str, names: str, min_len: int
     else:
         coded = coded.select("entity", "seq", F.lit(False).alias("loose"), F.lit(0).cast("long").alias("salt"))
     coded = scratch.cut(coded.repartition("entity", "salt").sortWithinPartitions("entity").drop("salt"), "coded")
-    scratch.drop("rows")
+    scratch.drop("rows", "encoded")
 
     levels = {1: {(i,): n for i, (_, n) in enumerate(found)}}
     for k in range(1, max_len):
