@@ -167,17 +167,29 @@ def curve_area(curve: DataFrame) -> DataFrame:
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
 
-def _weight(seed: str, b: Column, key: Column) -> Column:
-    """Copies of a task in replicate b: Poisson of mean 1, by hash."""
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), b.cast("string"), F.lit(":"), key.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return sum(((u >= x).cast("int") for x in POISSON), F.lit(0))
+#: Blocks of tasks that are resampled as one.
+BLOCKS = 1000
 
 
-def bootstrap(values: DataFrame, value: str, task: str = "task_id", by: list[str] = (), n_boot: int = 2000, seed: str = "42", level: float = 0.95) -> DataFrame:
-    """Mean and percentile interval by Poisson resampling of tasks; replicates are summed map-side."""
+def _hash(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def bootstrap(values: DataFrame, value: str, task: str = "task_id", by: list[str] = (), n_boot: int = 2000, seed: str = "42", level: float = 0.95, blocks: int = BLOCKS) -> DataFrame:
+    """Mean and percentile interval by Poisson resampling of blocks of tasks.
+
+    Tasks fall into ``blocks`` by their hash; in every replicate a block counts as often as a Poisson variable of mean 1
+    says, by the hash of seed, replicate and block. Blocks are random groups, so the spread of the means is that of resampled
+    tasks, while the work is one sum over the tasks and ``blocks`` * ``n_boot`` draws, however many tasks there are.
+    """
     v = values.filter(F.col(value).isNotNull())
-    reps = v.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("w", _weight(seed, F.col("b"), F.col(task))).filter("w > 0")
-    m = reps.groupBy(*by, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+    block = F.pmod(_hash(F.concat(F.lit("block:"), F.col(task).cast("string"))), F.lit(blocks)).cast("int")
+    sums = v.groupBy(*by, block.alias("block")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
+    spark = values.sparkSession
+    draws = spark.range(blocks).select(F.col("id").cast("int").alias("block")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    u = _hash(F.concat(F.lit(seed + ":"), F.col("b").cast("string"), F.lit(":"), F.col("block").cast("string"))).cast("double") / 4294967296.0
+    draws = Scratch(spark, "draws").cut(draws.select("block", "b", sum(((u >= x).cast("int") for x in POISSON), F.lit(0)).alias("w")).filter("w > 0"), "draws")
+    m = draws.join(sums, "block").groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("m"))
     ends = m.groupBy(*by).agg(F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"), F.avg((F.col("m") <= 0).cast("double")).alias("le"), F.avg((F.col("m") >= 0).cast("double")).alias("ge"))
     mean = v.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     out = mean.join(ends, list(by)) if by else mean.crossJoin(ends)

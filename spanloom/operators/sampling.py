@@ -88,13 +88,15 @@ def like_baskets(baskets: DataFrame, catalog: DataFrame, co_occurrence: DataFram
     names = scratch.cut(catalog.filter("tool is not null").groupBy("tool").agg(F.first(_words()).alias("words")), "words")
     known = co_occurrence.join(names.select(F.col("tool").alias("tool_b")), "tool_b", "left_semi")
     ranked = known.groupBy(F.col("tool_a").alias("tool")).agg(F.array_sort(F.collect_list(F.struct("n_together", F.col("tool_b").alias("t")))).alias("x")).select("tool", F.reverse(F.transform("x", lambda x: x["t"])).alias("co"))
-    each = lookup(lookup(baskets.select("_b", F.explode("tools").alias("tool")), names, ["tool"]), ranked, ["tool"])
+    n_tools = baskets.agg(F.coalesce(F.sum(F.size("tools")), F.lit(0))).first()[0]
+    each = lookup(lookup(baskets.select("_b", F.explode("tools").alias("tool")), names, ["tool"], n_left=n_tools), ranked, ["tool"], n_left=n_tools)
     none = F.array().cast("array<string>")
     sets = each.groupBy("_b").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("words", none)))).alias("_words"), F.array_sort(F.collect_list(F.struct("tool", F.coalesce("co", none).alias("co")))).alias("x"))
     sets = baskets.join(sets, "_b", "left").select("_b", "tools", F.coalesce("_words", none).alias("_words"), F.array_except(F.coalesce(F.array_distinct(F.flatten(F.transform("x", lambda x: x["co"]))), none), F.col("tools")).alias("_co"))
     sets = scratch.cut(sets, "sets")
     index = names.select("tool", F.explode("words").alias("word")).groupBy("word").agg(F.collect_list("tool").alias("of"))
-    shared = lookup(sets.select("_b", F.explode("_words").alias("word")), index, ["word"]).select("_b", F.explode("of").alias("tool"), F.lit(1).alias("n"))
+    n_words = sets.agg(F.coalesce(F.sum(F.size("_words")), F.lit(0))).first()[0]
+    shared = lookup(sets.select("_b", F.explode("_words").alias("word")), index, ["word"], n_left=n_words).select("_b", F.explode("of").alias("tool"), F.lit(1).alias("n"))
     out = sets.select("_b", F.explode(F.concat("tools", "_co")).alias("tool"), F.lit(None).cast("int").alias("n"))  # these are out of the question
     score = shared.unionByName(out).groupBy("_b", "tool").agg(F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("out")).filter("not out")
     order = Window.partitionBy("_b").orderBy(F.desc("n"), "tool")
@@ -128,7 +130,8 @@ def hard_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, c
     baskets = scratch.cut(d.groupBy("_b").agg(F.first("tools").alias("tools")), "baskets")
     liked = scratch.cut(like_baskets(baskets, catalog, co_occurrence, a + s if s >= 0 else None, scratch).drop("tools"), "like")
     apps = app_tools.select("app", F.explode("tools").alias("tool")).join(catalog.select("tool").distinct(), "tool", "left_semi").groupBy("app").agg(F.array_sort(F.collect_list("tool")).alias("_app"))
-    d = lookup(lookup(d, liked, ["_b"]), apps, ["app"])
+    n_rows = d.count()
+    d = lookup(lookup(d, liked, ["_b"], n_left=n_rows), apps, ["app"], n_left=n_rows)
     k = F.col(key).cast("string")
     d = d.withColumn("_same", _let(F.array_except(F.coalesce("_app", none), F.col("tools")), lambda pool: _drawn(pool, seed + ":app", k, a)))
     like = F.array_except("_like", "_same")

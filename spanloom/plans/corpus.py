@@ -180,6 +180,11 @@ def group_split(spark, sf_dir):
     return sampling.group_split(_recs(spark, sf_dir), "task")
 
 
+def random_tasks(spark, sf_dir):
+    """SP13: a hundred tasks by chance."""
+    return sampling.random_groups(_recs(spark, sf_dir), "task", 100)
+
+
 def group_kfold(spark, sf_dir):
     """SP9: tasks in five folds."""
     return sampling.group_kfold(_recs(spark, sf_dir), "task")
@@ -193,7 +198,7 @@ def unseen_tasks(spark, sf_dir):
     return ev.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_tools"), F.coalesce(F.sum("known"), F.lit(0)).alias("n_known")).withColumn("unseen", F.col("n_known") == 0)
 
 
-QUERIES = (tool_frequency, tool_cooccurrence, app_tool_sets, dominant_app, quality_gate, gate_counts, prev_tools_context, history_summary, span_expansion, catalog_merge, tool_features, candidate_text, spec_coverage, missing_specs, train_frequency_guard, total_records, tool_app_match, cooccurrence_score, random_negatives, hard_negatives, mixed_negatives, pointwise_rows, per_decision_rows, app_scoped_candidates, group_split, group_kfold, unseen_tasks)
+QUERIES = (tool_frequency, tool_cooccurrence, app_tool_sets, dominant_app, quality_gate, gate_counts, prev_tools_context, history_summary, span_expansion, catalog_merge, tool_features, candidate_text, spec_coverage, missing_specs, train_frequency_guard, total_records, tool_app_match, cooccurrence_score, random_negatives, hard_negatives, mixed_negatives, pointwise_rows, per_decision_rows, app_scoped_candidates, group_split, random_tasks, group_kfold, unseen_tasks)
 
 
 def queries() -> dict:
@@ -287,6 +292,7 @@ def oracle_sql() -> dict[str, str]:
           {neg('3')} SELECT record_id, CAST(k AS INTEGER) AS k, tool AS tool_name, 1 AS label FROM x UNION ALL SELECT record_id, CAST(k AS INTEGER), unnest(negatives), 0 FROM ng""",
         "app_scoped_candidates": f"WITH {base}, ap AS (SELECT DISTINCT app, tool FROM ut WHERE {tr} AND app IS NOT NULL) SELECT record_id, ap.tool AS tool_name, CAST(list_contains(tools, ap.tool) AS INTEGER) AS label FROM rec JOIN ap USING (app)",
         "group_split": f"WITH {base}, g AS (SELECT DISTINCT task FROM rec WHERE task IS NOT NULL), r AS (SELECT task, row_number() OVER (ORDER BY md5('split:' || task), task) AS n, count(*) OVER () AS c FROM g) SELECT task, CASE WHEN n <= ceil(c * 0.2) THEN 'test' ELSE 'train' END AS part FROM r",
+        "random_tasks": f"WITH {base}, g AS (SELECT DISTINCT task FROM rec WHERE task IS NOT NULL) SELECT task FROM g QUALIFY row_number() OVER (ORDER BY md5('subset:' || task), task) <= 100",
         "group_kfold": f"""WITH RECURSIVE {base}, sz AS (SELECT task, count(*) AS n FROM rec WHERE task IS NOT NULL GROUP BY task), al AS (SELECT CAST(sum(n) AS BIGINT) AS total FROM sz),
           big AS (SELECT task, n, row_number() OVER (ORDER BY n DESC, task) AS k FROM sz WHERE n > 0.001::DOUBLE * (SELECT total FROM al)),
           pl AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS task, -1::BIGINT AS fold, [0::BIGINT, 0, 0, 0, 0] AS l UNION ALL SELECT big.k, big.task, CAST(list_position(l, list_min(l)) - 1 AS BIGINT), [CASE WHEN i = list_position(l, list_min(l)) THEN l[i] + big.n ELSE l[i] END FOR i IN range(1, 6)] FROM pl JOIN big ON big.k = pl.k + 1),

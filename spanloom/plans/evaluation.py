@@ -143,6 +143,21 @@ def paired_holm(spark, sf_dir):
     return _round(ranking.holm(t, name="app"), ["mean", "lower", "upper", "p_value"])
 
 
+def random_baseline(spark, sf_dir):
+    """BL1: means over tasks of a uniformly random ranking."""
+    rows = ranking.random_scores(scored(spark, sf_dir).drop("score"))
+    return _round(ranking.macro(ranking.task_metrics(rows), METRICS), METRICS)
+
+
+def listed_metrics(spark, sf_dir):
+    """MT8, JN19, AG30: metrics of ranked lists, as a model's replies give them, against the tools of the task."""
+    top = ranking.top_k(scored(spark, sf_dir)).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tool_name"))).alias("x"))
+    lists = top.select("task_id", F.transform("x", lambda x: x["tool_name"]).alias("ranked"))
+    names = ["r_precision", "mrr", *[f"recall_{k}" for k in ranking.KS]]
+    relevant = _recs(spark, sf_dir).select(F.col("record_id").alias("task_id"), F.col("tools").alias("relevant"))
+    return _round(ranking.list_metrics(lists, relevant), names)
+
+
 def repeat_prev(spark, sf_dir):
     """BL5, WN14: how often a step repeats the tool before it."""
     c = corpus.contexts(_recs(spark, sf_dir))
@@ -175,7 +190,7 @@ def dense_cosine(spark, sf_dir):
     return ranking.top_k(s, 5).select(F.col("task_id").alias("query_id"), F.col("tool_name").alias("vec_id"), "rank", "score")
 
 
-QUERIES = (topk_per_task, task_metrics, macro_metrics, metrics_by_app, score_table, confusion_metrics, roc_auc, reliability_bins, ece, shortlist_confidence, hybrid_curve, coverage_at_risk, risk_area, quantile_thresholds, bootstrap_ci, paired_holm, repeat_prev, depth_buckets, tfidf_cosine, dense_cosine)
+QUERIES = (topk_per_task, task_metrics, macro_metrics, metrics_by_app, score_table, confusion_metrics, roc_auc, reliability_bins, ece, shortlist_confidence, hybrid_curve, coverage_at_risk, risk_area, quantile_thresholds, bootstrap_ci, paired_holm, random_baseline, listed_metrics, repeat_prev, depth_buckets, tfidf_cosine, dense_cosine)
 
 
 def queries() -> dict:
@@ -202,7 +217,8 @@ def oracle_sql() -> dict[str, str]:
     curve = f"""{cf}, c0 AS (SELECT i / 20 AS tau, avg(CASE WHEN confidence >= i / 20 THEN 1.0::DOUBLE ELSE 0 END) AS coverage, avg(CASE WHEN confidence >= i / 20 THEN 1.0::DOUBLE - correct END) AS risk, avg(CASE WHEN confidence >= i / 20 THEN correct::DOUBLE ELSE 0.95::DOUBLE END) AS acc FROM cf, range(21) t(i) GROUP BY i),
       cv AS (SELECT tau, coverage, coalesce(risk, 1) AS risk, 1 - acc AS hybrid_risk, coverage * 2e-7 + (1 - coverage) * 2e-3 AS cost, coverage * 0.3::DOUBLE + (1 - coverage) * 900 AS latency FROM c0)"""
     weight = lambda key: "(" + " + ".join(f"CAST(u >= {x!r}::DOUBLE AS INTEGER)" for x in ranking.POISSON) + ")"
-    boot = lambda src, n, by: f"SELECT {by} b, sum({weight('')} * v) / sum({weight('')}) AS m FROM (SELECT *, {hexa('''('42:' || b || ':' || task_id)''')} AS u FROM {src}, range({n}) t(b)) GROUP BY {by} b"
+    boot = lambda src, by: f"""SELECT {by} b, sum({weight('')} * s) / sum({weight('')} * c) AS m FROM (SELECT *, {hexa("('42:' || b || ':' || block)")} AS u FROM
+      (SELECT {by} CAST(('0x' || substr(md5('block:' || task_id), 1, 8)) AS BIGINT) % {ranking.BLOCKS} AS block, sum(v) AS s, count(*) AS c FROM {src} GROUP BY ALL), range(2000) t(b)) GROUP BY {by} b"""
     norm = lambda c: f"trim(replace(replace(lower({c}), '__', ' '), '_', ' '))"
     rx = r"\b\w\w+\b"
     return {
@@ -222,10 +238,13 @@ def oracle_sql() -> dict[str, str]:
         "coverage_at_risk": f"WITH {curve} SELECT t AS target, round(max(CASE WHEN risk <= t THEN coverage END), 6) AS coverage FROM cv, (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE)) v(t) GROUP BY t",
         "risk_area": f"WITH {curve}, d AS (SELECT coverage - lag(coverage) OVER w AS dx, (risk + lag(risk) OVER w) / 2 AS y FROM cv WINDOW w AS (ORDER BY coverage, tau)) SELECT round(sum(dx * y), 6) AS aurc FROM d",
         "quantile_thresholds": f"WITH {cf}, q AS (SELECT quantile_cont(confidence, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM cf) SELECT CAST(i AS INTEGER) AS i, round(q[i + 1], 9) AS tau FROM q, range(9) t(i)",
-        "bootstrap_ci": f"WITH {m}, v AS (SELECT task_id, r_precision AS v FROM m), bs AS ({boot('v', 200, '')}) SELECT (SELECT count(*) FROM v) AS n, round((SELECT avg(v) FROM v), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM bs",
-        "paired_holm": f"""WITH {m}, v AS (SELECT app, m.task_id, m.mrr - mp.mrr AS v FROM m JOIN mp USING (task_id) JOIN rec ON record_id = m.task_id), bs AS ({boot('v', 100, 'app,')}),
+        "bootstrap_ci": f"WITH {m}, v AS (SELECT task_id, r_precision AS v FROM m), bs AS ({boot('v', '')}) SELECT (SELECT count(*) FROM v) AS n, round((SELECT avg(v) FROM v), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM bs",
+        "paired_holm": f"""WITH {m}, v AS (SELECT app, m.task_id, m.mrr - mp.mrr AS v FROM m JOIN mp USING (task_id) JOIN rec ON record_id = m.task_id), bs AS ({boot('v', 'app,')}),
           t AS (SELECT app, n, mean, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper, least(1.0::DOUBLE, 2 * least(avg(CAST(m <= 0 AS DOUBLE)), avg(CAST(m >= 0 AS DOUBLE)))) AS p_value FROM bs JOIN (SELECT app, count(*) AS n, avg(v) AS mean FROM v GROUP BY app) USING (app) GROUP BY app, n, mean),
           k AS (SELECT *, p_value <= 0.05::DOUBLE / (count(*) OVER () - row_number() OVER (ORDER BY p_value, app) + 1) AS ok FROM t) SELECT app, n, round(mean, 6) AS mean, round(lower, 6) AS lower, round(upper, 6) AS upper, round(p_value, 6) AS p_value, bool_and(ok) OVER (ORDER BY p_value, app ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reject FROM k""",
+        "random_baseline": f"""WITH {base}, ra AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY {hexa("'random:' || task_id || ':' || tool_name")} DESC, tool_name) AS rank, sum(label) OVER (PARTITION BY task_id) AS r FROM sc), m AS ({metric('ra')}) SELECT count(*) AS n_tasks, {means} FROM m""",
+        "listed_metrics": f"""WITH {base}, t AS (SELECT task_id, list(rank) FILTER (WHERE label = 1) AS at FROM rk WHERE rank <= 7 GROUP BY task_id), n AS (SELECT task_id, coalesce("at", []) AS p, len(tools) AS r FROM t JOIN rec ON record_id = task_id)
+          SELECT task_id, round(CASE WHEN r > 0 THEN len([x FOR x IN p IF x <= r]) / r ELSE 0 END, 6) AS r_precision, round(coalesce(1 / list_min(p), 0), 6) AS mrr, {", ".join(f"round(CASE WHEN r > 0 THEN len([x FOR x IN p IF x <= {k}]) / r ELSE 0 END, 6) AS recall_{k}" for k in ranking.KS)} FROM n""",
         "repeat_prev": f"WITH {records_sql()}, w AS (SELECT st.*, app, last_value(tool IGNORE NULLS) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM st JOIN rec USING (record_id)) SELECT app, count(*) AS n_steps, CAST(sum(CASE WHEN prev = tool THEN 1 ELSE 0 END) AS BIGINT) AS n_repeats FROM w WHERE tool IS NOT NULL GROUP BY app",
         "depth_buckets": f"""WITH {records_sql()}, w AS (SELECT *, row_number() OVER (PARTITION BY record_id, tool ORDER BY k) > 1 AS again FROM st WHERE tool IS NOT NULL)
           SELECT CASE WHEN k = 0 THEN '0' WHEN k <= 2 THEN '1-2' WHEN k <= 9 THEN '3-9' ELSE '10+' END AS bucket, count(*) AS n_steps, round(avg(CASE WHEN again THEN 1.0::DOUBLE ELSE 0 END), 4) AS share FROM w GROUP BY 1""",

@@ -51,6 +51,13 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_spans(deliveries: DataFrame, path: str, mode: str = "append") -> None:
+    """Spans as JSON lines, one object each, as ``files.read_traces`` reads them; attributes and resource as objects."""
+    parsed = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")).alias(c)
+    plain = ("trace_id", "span_id", "parent_span_id", "name", "start_time_unix_nano", "end_time_unix_nano", "status_code")
+    deliveries.select(*plain, parsed("attributes"), parsed("resource"), "events").write.mode(mode).json(path)
+
+
 def metrics_table(rows: list[dict], columns: list[str] | None = None) -> str:
     """A table for the console: four digits, numbers to the right."""
     columns = columns or list(dict.fromkeys(c for r in rows for c in r))

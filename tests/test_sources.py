@@ -120,6 +120,14 @@ def test_request_bodies_by_type_and_encoding(spark):
     assert sorted(r.status for r in refused.collect()) == [400, 400, 400, 415, 415, 415]
 
 
+def test_spans_are_written_and_read_again(spark, tmp_path):
+    df = spark.createDataFrame([("ab" * 16, "01" * 8, None, "x", 5, 6, "OK", '{"a": 1, "b": {"c": "d"}}', None, ['{"name": "e"}'])], "trace_id string, span_id string, parent_span_id string, name string, start_time_unix_nano long, end_time_unix_nano long, status_code string, attributes string, resource string, events array<string>")
+    sinks.write_spans(df, str(tmp_path / "s.jsonl"))
+    (r,) = files.read_traces(spark, str(tmp_path / "s.jsonl")).collect()
+    assert (r.trace_id, r.span_id, r.name, r.start_time_unix_nano, r.status_code) == ("ab" * 16, "01" * 8, "x", 5, "OK")
+    assert json.loads(r.attributes) == {"a": "1", "b": '{"c":"d"}'} and json.loads(r.events[0]) == {"name": "e"}
+
+
 def test_private_files_tables_and_loaders(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([("t", "i", True, "{}")], "task_id string, intent string, success boolean, metadata string")
     sinks.append_private(df, str(tmp_path / "out"))

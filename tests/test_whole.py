@@ -41,12 +41,13 @@ def test_resampling_queries_take_all_replicates(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "_recs", lambda *_: recs)
 
     def replicates(values):
+        number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+        block = {i: number(f"block:{i}") % ranking.BLOCKS for i, _ in values}
         out = []
         for b in range(2000):
-            u = [int(hashlib.md5(f"42:{b}:{i}".encode()).hexdigest()[:8], 16) / 4294967296 for i, _ in values]
-            w = [sum(x >= c for c in ranking.POISSON) for x in u]
-            if sum(w):
-                out.append(sum(k * v for k, (_, v) in zip(w, values)) / sum(w))
+            w = {k: sum(number(f"42:{b}:{k}") / 4294967296 >= c for c in ranking.POISSON) for k in set(block.values())}
+            if any(w.values()):
+                out.append(sum(w[block[i]] * v for i, v in values) / sum(w[block[i]] for i, _ in values))
         return np.array(out)
 
     first = lambda i, column: 1 if max((r for r in rows if r[0] == i), key=lambda r: r[column])[2] else 0.5
@@ -57,3 +58,15 @@ def test_resampling_queries_take_all_replicates(spark, monkeypatch):
         m = replicates([(i, first(i, 3) - first(i, 4)) for i, app, _ in tasks if app == got.app])
         p = min(1, 2 * min((m <= 0).mean(), (m >= 0).mean()))
         assert (got.lower, got.upper, got.p_value) == pytest.approx((*np.quantile(m, [0.025, 0.975]), p), abs=1e-6)
+
+
+def test_blocks_spread_like_tasks(spark):
+    """The interval of many tasks in few blocks is about that of the normal approximation."""
+    rng = np.random.default_rng(7)
+    v = rng.gamma(2.0, 1.0, 20_000)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "task_id long, v double")
+    for blocks in (200, 1000):
+        r = ranking.bootstrap(df, "v", blocks=blocks).first()
+        half = 1.96 * v.std() / np.sqrt(len(v))
+        assert r.n == 20_000 and abs(r.mean - v.mean()) < 1e-9
+        assert abs((r.upper - r.lower) / 2 / half - 1) < 0.15
