@@ -26,6 +26,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from math import log2
 from operator import add
 
 import numpy as np
@@ -40,6 +41,7 @@ READ_AS_WIDE = ("gbk", "big5", "shift_jis", "euc_kr")
 WRITTEN_IN = ("cp1251", "koi8_r", "cp866", "cp1250", "iso8859_2", "cp1254", "cp1252", "mac_roman", "cp850")
 WRITTEN_IN_WIDE = ("gbk", "big5", "shift_jis", "euc_jp", "euc_kr")
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_RUNS = re.compile(r"([^\x00-\x7f]+)")
 _NO_ASCII = re.compile(r"[^\x00-\x7f]+\Z")
 _AS_ASCII = {"shift_jis": re.compile("[¥‾]")}
 _BROKEN = re.compile("[�\x80-\x9f]")
@@ -91,12 +93,22 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(SLOTS)
     for rb in batches:
-        for t, copies in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
-            np.add.at(n, _slots(_codes(t)), 1 + np.log2(copies))
+        texts = rb.column(0).to_pylist()
+        weight = 1 + np.log2(rb.column(1).to_numpy(zero_copy_only=False))
+        x = _codes(" ".join(texts))  # a blank stands between two passages, as at either end
+        of = np.repeat(weight, [len(t) + 1 for t in texts])  # of the pairs that begin at a passage's first blank and characters
+        use = (x[:-1] > 127) | (x[1:] > 127)
+        n += np.bincount(_slots(x), of[: len(use)][use], SLOTS)
     at = np.flatnonzero(n)
     yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["slot", "n"])
 
 
+def _slot(pair: str) -> int:
+    """The slot of one pair."""
+    a, b = (o + 32 if 65 <= o <= 90 else 48 if 48 <= o <= 57 else max(o, 32) for o in map(ord, pair))
+    return ((a * 1_000_003 + b * 7919) ^ (a >> 3)) % SLOTS
+
+
 def _kind(c: str) -> str:
     o = ord(c)
     if o < 128:
@@ -157,35 +169,35 @@ class Restorer:
         self.expanded = 0  # states, in all searches
 
         def bits(pair: str) -> float:
-            n = self.counts[_slots(_codes(pair)[1:3])]
-            return float(np.log2(self.total / (n[0] + prior(pair, weights))))
+            return log2(self.total / (float(self.counts[_slot(pair)]) + prior(pair, weights)))
 
         self.pairs = _Pairs(bits)
 
     def cost(self, text: str) -> float:
-        return self.pairs.sum(text) + 20.0 * len(_BROKEN.findall(text)) + 12.0 * len(_ENTITY.findall(text))
+        entities = len(_ENTITY.findall(text)) if "&" in text else 0
+        return self.pairs.sum(text) + 20.0 * len(_BROKEN.findall(text)) + 12.0 * entities
 
     def _neighbours(self, text: str, path: list):
         """(state, operation) for each operation that changes the text, which ``path`` led to."""
         narrow, swallows = not path, _swallows(path)
-        if _ENTITY.search(text):
+        if "&" in text and _ENTITY.search(text):
             t = html.unescape(text)
             if t != text:
                 yield t, None
-        runs = list(dict.fromkeys(_RUN.findall(text)))
-        if not runs:
+        parts = _RUNS.split(text)  # every second part is a run
+        if len(parts) == 1:
             return
-        long = max(map(len, runs)) >= 4
-        tried = set()
-        for enc in READ_AS + READ_AS_WIDE:
-            raw = tuple(_encode(r, enc) for r in runs)
-            if raw in tried or not any(raw):
-                continue
-            tried.add(raw)
-            for dec in ("utf-8", *(WRITTEN_IN_WIDE if long else ()), *(WRITTEN_IN if narrow else ())) if enc in READ_AS else ("utf-8",):
-                new = {r: v for r, b in zip(runs, raw) if b and (v := _decode(b, dec, swallows and enc in READ_AS_WIDE)) is not None and v != r}
-                if new and dec != enc:
-                    yield _RUN.sub(lambda m: new.get(m[0], m[0]), text), (enc, dec)
+        runs = dict.fromkeys(parts[1::2])
+        wide = max(map(len, runs)) >= 4
+        by_op: dict[tuple, dict[str, str]] = {}
+        for r in runs:
+            for op, kind, v in _readings(r, swallows):
+                if kind == 0 or (narrow if kind == 1 else wide):
+                    by_op.setdefault(op, {})[r] = v
+        for op in sorted(by_op, key=_ORDER.__getitem__):
+            new, t = by_op[op], parts.copy()
+            t[1::2] = [new.get(r, r) for r in parts[1::2]]
+            yield "".join(t), op
 
     def search(self, text: str) -> list:
         """The operations that lead to the cheapest reachable text; none if it isn't cheap enough.
@@ -220,7 +232,7 @@ class Restorer:
 
     def passage(self, passage: str) -> tuple[str, bool]:
         """The restored passage and whether it is garbled."""
-        entity = bool(_ENTITY.search(passage))
+        entity = "&" in passage and bool(_ENTITY.search(passage))
         if passage.isascii() and not entity:
             return passage, False
         # what matters are the runs with their neighbours; passages alike in these have one result
@@ -238,10 +250,13 @@ class Restorer:
 
     def text(self, text: str | None) -> tuple[str | None, int]:
         """The restored text and the number of garbled passages."""
-        if not text or text.isascii() and not _ENTITY.search(text):
+        if not text or text.isascii() and not ("&" in text and _ENTITY.search(text)):
             return text, 0
         out, n = [], 0
         for p in _PASSAGE.split(text):
+            if p.isascii() and "&" not in p:
+                out.append(p)
+                continue
             q, bad = self.passage(p)
             out.append(q)
             n += bad
@@ -265,6 +280,21 @@ def _encode(run: str, enc: str) -> bytes:
     return b""
 
 
+#: Every operation: an encoding a text was read in, one it was written in.
+_ORDER = {(enc, dec): i for i, (enc, dec) in enumerate((enc, dec) for enc in READ_AS + READ_AS_WIDE for dec in ("utf-8", *(WRITTEN_IN_WIDE + WRITTEN_IN if enc in READ_AS else ())) if enc != dec)}
+
+
+@lru_cache(maxsize=50_000)
+def _readings(run: str, swallows: bool) -> tuple[tuple[tuple[str, str], int, str], ...]:
+    """(operation, kind, text) of every operation that has another meaning for a run; kind 1 is narrow, 2 wide, 0 UTF-8."""
+    out = []
+    for enc, dec in _ORDER:
+        raw = _encode(run, enc)
+        if raw and (v := _decode(raw, dec, swallows and enc in READ_AS_WIDE)) is not None and v != run:
+            out.append(((enc, dec), 0 if dec == "utf-8" else 1 if dec in _NARROW else 2, v))
+    return tuple(out)
+
+
 @lru_cache(maxsize=100_000)
 def _decode(raw: bytes, dec: str, wide: bool) -> str | None:
     """The text of some bytes; none if there is none, or if it has ASCII, which a wrong encoding of single bytes leaves alone.
