@@ -94,10 +94,10 @@ def role(own: str = "", m: str = "attrs", name: str = "name") -> Column:
 def tool_of_name(name: Column) -> Column:
     """The tool in an instrumented span's name; empty if there is none."""
     return F.trim(
-        F.when(name.startswith("execute_tool "), F.substring(name, 14, 10_000))
+        F.when(name.startswith("execute_tool "), F.substr(name, F.lit(14)))
         .when(name == "tools/call.tool", "")
         .when(name.endswith(".tool"), F.regexp_replace(name, r"\.tool$", ""))
-        .when(name.startswith("function."), F.substring(name, 10, 10_000))
+        .when(name.startswith("function."), F.substr(name, F.lit(10)))
         .otherwise("")
     )
 

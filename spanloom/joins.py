@@ -42,7 +42,8 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = H
     if not fits_broadcast(n, row_bytes):
         salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
         marked = hot.withColumn("_hot", F.lit(True))
-        salted = left.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * SALTS).cast("int")).otherwise(0))
+        rest = [c for c, kind in left.dtypes if "map<" not in kind]  # maps have no hash
+        salted = left.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int")).otherwise(0))
         copies = right.join(marked, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), salts).otherwise(F.array(F.lit(0)))))
         return salted.drop("_hot").join(copies.drop("_hot").hint("merge"), [*keys, "_salt"], "left").drop("_salt")
     hot = hot.withColumn("_hot", F.lit(True))

@@ -82,8 +82,9 @@ def _words() -> Column:
 def like_baskets(baskets: DataFrame, catalog: DataFrame, co_occurrence: DataFrame, most: int | None, scratch: Scratch) -> DataFrame:
     """For each distinct set of tools (``_b``, ``tools``): ``_co``, tools used together with it, by use; ``_like``, others by shared words.
 
-    Words in common are counted over an inverted index of the descriptions, once per set; at most ``most`` are kept (None:
-    all). Tools without a word in common follow by name.
+    Words in common are counted once per set; at most ``most`` tools are kept (None: all), those without a word in common
+    last and by name. With a catalog that may be broadcast only the tools that are open to a set are looked at; with a
+    larger one an inverted index of the descriptions leads to those with a word in common.
     """
     names = scratch.cut(catalog.filter("tool is not null").groupBy("tool").agg(F.first(_words()).alias("words")), "words")
     known = co_occurrence.join(names.select(F.col("tool").alias("tool_b")), "tool_b", "left_semi")
@@ -94,15 +95,23 @@ def like_baskets(baskets: DataFrame, catalog: DataFrame, co_occurrence: DataFram
     sets = each.groupBy("_b").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("words", none)))).alias("_words"), F.array_sort(F.collect_list(F.struct("tool", F.coalesce("co", none).alias("co")))).alias("x"))
     sets = baskets.join(sets, "_b", "left").select("_b", "tools", F.coalesce("_words", none).alias("_words"), F.array_except(F.coalesce(F.array_distinct(F.flatten(F.transform("x", lambda x: x["co"]))), none), F.col("tools")).alias("_co"))
     sets = scratch.cut(sets, "sets")
+    best = Window.partitionBy("_b").orderBy(F.desc("n"), "tool")
+
+    def first(score: DataFrame) -> DataFrame:
+        top = score.withColumn("r", F.row_number().over(best))
+        top = (top if most is None else top.filter(F.col("r") <= most)).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("r", "tool"))).alias("x")).select("_b", F.transform("x", lambda x: x["tool"]).alias("_like"))
+        return scratch.cut(sets.drop("_words").join(top, "_b", "left").withColumn("_like", F.coalesce("_like", none)), "liked")
+
+    if fits_broadcast(names.count(), 512):
+        all_names = names.agg(F.array_sort(F.collect_list("tool")).alias("_names"))
+        mine = sets.crossJoin(F.broadcast(all_names)).select("_b", "_words", F.explode(F.array_except("_names", F.concat("tools", "_co"))).alias("tool"))
+        return first(mine.join(F.broadcast(names), "tool").select("_b", "tool", F.size(F.array_intersect("words", "_words")).alias("n")))
     index = names.select("tool", F.explode("words").alias("word")).groupBy("word").agg(F.collect_list("tool").alias("of"))
     n_words = sets.agg(F.coalesce(F.sum(F.size("_words")), F.lit(0))).first()[0]
     shared = lookup(sets.select("_b", F.explode("_words").alias("word")), index, ["word"], n_left=n_words).select("_b", F.explode("of").alias("tool"), F.lit(1).alias("n"))
     out = sets.select("_b", F.explode(F.concat("tools", "_co")).alias("tool"), F.lit(None).cast("int").alias("n"))  # these are out of the question
     score = shared.unionByName(out).groupBy("_b", "tool").agg(F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("out")).filter("not out")
-    order = Window.partitionBy("_b").orderBy(F.desc("n"), "tool")
-    top = score.withColumn("r", F.row_number().over(order))
-    top = (top if most is None else top.filter(F.col("r") <= most)).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("r", "tool"))).alias("x")).select("_b", F.transform("x", lambda x: x["tool"]).alias("_like"))
-    got = scratch.cut(sets.drop("_words").join(top, "_b", "left").withColumn("_like", F.coalesce("_like", none)), "liked")
+    got = first(score)
     # where words don't suffice, the first names that are neither in the set nor found already
     lacks = F.lit(True) if most is None else F.size("_like") < most
     seen = F.size("tools") + F.size("_co") + F.size("_like")
@@ -110,10 +119,10 @@ def like_baskets(baskets: DataFrame, catalog: DataFrame, co_occurrence: DataFram
     if longest is None:
         return got
     n_first = names.count() if most is None else longest + most
-    first = names.select("tool").orderBy("tool").limit(n_first).agg(F.array_sort(F.collect_list("tool")).alias("_first"))  # no longer than the longest row's own arrays
+    head = names.select("tool").orderBy("tool").limit(n_first).agg(F.array_sort(F.collect_list("tool")).alias("_first"))  # no longer than the longest row's own arrays
     more = F.array_except("_first", F.concat("tools", "_co", "_like"))
     like = F.concat("_like", more) if most is None else F.when(lacks, F.slice(F.concat("_like", more), 1, most)).otherwise(F.col("_like"))
-    return got.crossJoin(F.broadcast(first)).withColumn("_like", like).drop("_first")
+    return got.crossJoin(F.broadcast(head)).withColumn("_like", like).drop("_first")
 
 
 def hard_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, co_occurrence: DataFrame, key: str = "record_id", n: int = 10, weights: tuple[float, float, float] = (0.4, 0.3, 0.3), seed: str = "neg", column: str = "negatives") -> DataFrame:

@@ -210,10 +210,10 @@ def drop_reason(config: ProjectionConfig) -> Column:
     return r
 
 
-def project(deliveries: DataFrame, config: ProjectionConfig = ProjectionConfig()) -> tuple[DataFrame, DataFrame]:
+def project(deliveries: DataFrame, config: ProjectionConfig = ProjectionConfig(), prefix: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(traces with ``n_steps`` and ``drop_reason``, steps of all traces in order)."""
     scratch = Scratch(deliveries.sparkSession, "project")
-    return project_spans(scratch.cut(clean_spans(deliveries), "spans"), config)
+    return project_spans(scratch.cut(clean_spans(deliveries, prefix), "spans"), config)
 
 
 def project_spans(spans: DataFrame, config: ProjectionConfig = ProjectionConfig()) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +232,7 @@ def project_spans(spans: DataFrame, config: ProjectionConfig = ProjectionConfig(
     said = spans.filter("role = 'llm'").select("trace_id", F.col("span_id").alias("llm_span_id"), A.assistant_text(max_chars=config.max_thought_chars).alias("thoughts")).filter("thoughts <> ''")
     steps = steps.join(said, ["trace_id", "llm_span_id"], "left").withColumn("thoughts", F.coalesce("thoughts", F.lit("")))
     steps = steps.select("trace_id", F.struct(F.lit(0).alias("a"), F.col("start").alias("b"), F.col("span_id").alias("c")).alias("at"), F.coalesce("agent_name", F.lit("")).alias("agent_name"), F.col("tool").alias("action"), A.observation(max_chars=config.max_observation_chars).alias("observation"), A.tool_arguments().alias("arguments"), "thoughts", F.lit("tool").alias("origin"))
-    more = calls.select("trace_id", F.struct(F.lit(1).alias("a"), (F.col("message") * 100_000 + F.col("place")).cast("long").alias("b"), F.lit("").alias("c")).alias("at"), F.lit("").alias("agent_name"), F.col("tool").alias("action"), F.substring("observation", 1, config.max_observation_chars).alias("observation"), "arguments", F.lit("").alias("thoughts"), F.lit("llm_fallback").alias("origin"))
+    more = calls.select("trace_id", F.struct(F.lit(1).alias("a"), (F.col("message").cast("long") * 2**31 + F.col("place")).alias("b"), F.lit("").alias("c")).alias("at"), F.lit("").alias("agent_name"), F.col("tool").alias("action"), F.substring("observation", 1, config.max_observation_chars).alias("observation"), "arguments", F.lit("").alias("thoughts"), F.lit("llm_fallback").alias("origin"))
     return fields.withColumn("drop_reason", drop_reason(config)), steps.unionByName(more)
 
 

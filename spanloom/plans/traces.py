@@ -91,9 +91,12 @@ def drop_reason_counts(spark, sf_dir):
 
 
 def projected_steps(spark, sf_dir):
-    """EXT13-EXT15, PRJ17, JN3, JN4: the steps of all traces, with agent, thought and a digest of the observation."""
+    """EXT13-EXT15, PRJ17, JN3, JN4: the steps of all traces, with agent, thought and a digest of the observation.
+
+    The tables' model spans have no output, so all thoughts are empty there.
+    """
     _, steps = traces.project(table(spark, sf_dir, "otel_spans"))
-    return steps.select("trace_id", F.col("at.c").alias("span_id"), "agent_name", "action", F.md5("observation").alias("observation_md5"), "origin")
+    return steps.select("trace_id", F.col("at.c").alias("span_id"), "agent_name", "action", F.md5("observation").alias("observation_md5"), "thoughts", "origin")
 
 
 def catalog_first_source(spark, sf_dir):
@@ -210,9 +213,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT CASE WHEN intent = '' THEN 'missing_intent' WHEN ok IS NULL THEN 'success_unknown' WHEN k IS NULL THEN 'zero_tool_spans' ELSE 'kept' END AS drop_reason, count(*) AS n_traces, CAST(sum(coalesce(k, 0)) AS BIGINT) AS n_steps FROM g LEFT JOIN n USING (trace_id) GROUP BY 1""",
         "projected_steps": f"""WITH RECURSIVE {base}, {inner}, {decided}, l AS (SELECT trace_id, span_id, p, {_attr('gen_ai.agent.name')} AS agent FROM s), {up},
           ag AS (SELECT trace_id, span_id, coalesce(arg_min(agent, n) FILTER (WHERE agent IS NOT NULL), '') AS agent_name FROM up GROUP BY trace_id, span_id)
-          SELECT s.trace_id, s.span_id, agent_name, s.tool AS action, md5(left(coalesce({_attr('gen_ai.tool.call.result', 'traceloop.entity.output', 'output.value', 'gen_ai.task.output')}, ''), 2000)) AS observation_md5, 'tool' AS origin
+          SELECT s.trace_id, s.span_id, agent_name, s.tool AS action, md5(left(coalesce({_attr('gen_ai.tool.call.result', 'traceloop.entity.output', 'output.value', 'gen_ai.task.output')}, ''), 2000)) AS observation_md5, '' AS thoughts, 'tool' AS origin
           FROM s JOIN ag USING (trace_id, span_id) LEFT JOIN wr USING (trace_id, span_id) WHERE s.tool IS NOT NULL AND wr.span_id IS NULL
-          UNION ALL SELECT lc.trace_id, '', '', lc.tool, md5(left(coalesce(rs.text, ''), 2000)), 'llm_fallback' FROM lc LEFT JOIN rs ON rs.trace_id = lc.trace_id AND rs.call_id = lc.call_id""",
+          UNION ALL SELECT lc.trace_id, '', '', lc.tool, md5(left(coalesce(rs.text, ''), 2000)), '', 'llm_fallback' FROM lc LEFT JOIN rs ON rs.trace_id = lc.trace_id AND rs.call_id = lc.call_id""",
         "catalog_first_source": f"WITH {base}, a AS (SELECT *, {_attr('gen_ai.tool.description', 'tool.description')} AS d FROM s WHERE tool IS NOT NULL) SELECT tool, coalesce(arg_min(d, (t0, span_id)) FILTER (WHERE d IS NOT NULL), '') AS description, count(*) AS n_spans FROM a GROUP BY tool",
         "idle_sessions": f"""WITH a AS (SELECT {d} AS trace_id, epoch_us(received_at) AS ts FROM otel_spans), b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= 30000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM a WHERE trace_id IS NOT NULL WINDOW w AS (PARTITION BY trace_id ORDER BY ts)),
           c AS (SELECT *, sum(new) OVER (PARTITION BY trace_id ORDER BY ts) AS session FROM b) SELECT trace_id, CAST(session AS BIGINT) AS session, count(*) AS n_rows, max(ts) - min(ts) AS micros FROM c GROUP BY trace_id, session""",

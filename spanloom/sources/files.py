@@ -332,7 +332,9 @@ def read_benchmark_spans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Cached model results {tasks: {id: {ranked, cost_usd, latency_ms}}} as (task_id, ranked, cost_usd, latency_ms)."""
+    """Cached model results as (task_id, ranked, cost_usd, latency_ms): JSON {tasks: {id: {…}}}, or the table of ``write_results``."""
+    if not path.rstrip("/").endswith(".json"):
+        return spark.read.parquet(path)
     t = spark.read.text(path, wholetext=True).select(F.from_json(F.get_json_object("value", "$.tasks"), "map<string,struct<ranked:array<string>,cost_usd:double,latency_ms:double>>").alias("m"))
     return t.select(F.explode("m").alias("task_id", "r")).select("task_id", "r.*")
 

@@ -68,6 +68,21 @@ def metrics_table(rows: list[dict], columns: list[str] | None = None) -> str:
     return "\n".join("  ".join(x.rjust(w) if n else x.ljust(w) for x, w, n in zip(r, width, number)).rstrip() for r in cells)
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """A checkpoint of model results (``task_id``, ``ranked``, ``cost_usd``, ``latency_ms``) as Parquet, renamed into place.
+
+    What was there before stays until the new table is complete.
+    """
+    spark = results.sparkSession
+    results.write.mode("overwrite").parquet(f"{path}.part")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at, part = hadoop.Path(path), hadoop.Path(f"{path}.part")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(at, True)
+    if not fs.rename(part, at):
+        raise OSError(f"{path}.part can't be renamed")
+
+
 def write_report(report: dict, path: str) -> None:
     """A small report as JSON, renamed into place."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)

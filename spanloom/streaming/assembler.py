@@ -180,7 +180,8 @@ def finish(completed: DataFrame, path: str, part: str, config: Config = Config()
     """
     completed.write.mode("overwrite").parquet(f"{path}/completed/{part}")
     completed = completed.sparkSession.read.schema(OUT).parquet(f"{path}/completed/{part}")
-    fields, steps = traces.project(spans_of(completed), config.projection)
+    own = config.runtime.prefix
+    fields, steps = traces.project(spans_of(completed), config.projection, own.rstrip(".") + "." if own else None)
     t = traces.trajectories(fields, steps).withColumns({"record_id": F.xxhash64(F.get_json_object("metadata", "$['otel.trace_id']")), "score": F.lit(None).cast("double"), "tools_used": F.lit(None).cast("array<string>"), "split_name": F.lit(None).cast("string"), "recorded_at": F.lit(None).cast("timestamp")})
     gated = corpus.gate(corpus.records(t), config.gate.max_spans, config.gate.require_success)
     kept = t.join(gated.filter("drop_reason is null").select("record_id"), "record_id", "left_semi")

@@ -128,6 +128,14 @@ def test_spans_are_written_and_read_again(spark, tmp_path):
     assert json.loads(r.attributes) == {"a": "1", "b": '{"c":"d"}'} and json.loads(r.events[0]) == {"name": "e"}
 
 
+def test_results_replace_each_other(spark, tmp_path):
+    for cost in (0.1, 0.2):
+        df = spark.createDataFrame([("t", ["a"], cost, 5.0)], "task_id string, ranked array<string>, cost_usd double, latency_ms double")
+        sinks.write_results(df, str(tmp_path / "results"))
+    assert [r.cost_usd for r in files.read_results(spark, str(tmp_path / "results")).collect()] == [0.2]
+    assert not (tmp_path / "results.part").exists()
+
+
 def test_private_files_tables_and_loaders(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([("t", "i", True, "{}")], "task_id string, intent string, success boolean, metadata string")
     sinks.append_private(df, str(tmp_path / "out"))
