@@ -79,21 +79,31 @@ def _words() -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.nullif("description", F.lit("")), "tool")), r"\s+"), lambda w: w != ""))
 
 
-def like_baskets(baskets: DataFrame, catalog: DataFrame, co_occurrence: DataFrame, most: int | None, scratch: Scratch) -> DataFrame:
-    """For each distinct set of tools (``_b``, ``tools``): ``_co``, tools used together with it, by use; ``_like``, others by shared words.
+def like_baskets(baskets: DataFrame, catalog: DataFrame, co_occurrence: DataFrame, few: int, most: int | None, scratch: Scratch) -> DataFrame:
+    """For each distinct set of tools (``_b``, ``tools``): ``_co``, the first ``few`` tools used together with it, by use; ``_like``,
+    those that are neither in the set nor used together with it, by shared words.
 
     Words in common are counted once per set; at most ``most`` tools are kept (None: all), those without a word in common
-    last and by name. With a catalog that may be broadcast only the tools that are open to a set are looked at; with a
-    larger one an inverted index of the descriptions leads to those with a word in common.
+    last and by name. With a catalog that may be broadcast tools count by their place, and only those open to a set are
+    looked at; with a larger one by their name, and an inverted index of the descriptions leads to those with a word in common.
     """
     names = scratch.cut(catalog.filter("tool is not null").groupBy("tool").agg(F.first(_words()).alias("words")), "words")
-    known = co_occurrence.join(names.select(F.col("tool").alias("tool_b")), "tool_b", "left_semi")
-    ranked = known.groupBy(F.col("tool_a").alias("tool")).agg(F.array_sort(F.collect_list(F.struct("n_together", F.col("tool_b").alias("t")))).alias("x")).select("tool", F.reverse(F.transform("x", lambda x: x["t"])).alias("co"))
+    n_names = names.count()
+    small = fits_broadcast(n_names, 512)
+    all_names = names.agg(F.array_sort(F.collect_list("tool")).alias("_names"))
+    if small:
+        coded = names.join(F.broadcast(all_names.select(F.posexplode("_names").alias("code", "tool"))), "tool")
+    else:
+        coded = names.withColumn("code", F.col("tool"))
+    kind = "array<int>" if small else "array<string>"
+    known = co_occurrence.join(coded.select(F.col("tool").alias("tool_b"), "code"), "tool_b")
+    ranked = known.groupBy(F.col("tool_a").alias("tool")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("n_together", "code")))).alias("x")).select("tool", F.transform("x", lambda x: x["code"]).alias("co"))
     n_tools = baskets.agg(F.coalesce(F.sum(F.size("tools")), F.lit(0))).first()[0]
-    each = lookup(lookup(baskets.select("_b", F.explode("tools").alias("tool")), names, ["tool"], n_left=n_tools), ranked, ["tool"], n_left=n_tools)
-    none = F.array().cast("array<string>")
-    sets = each.groupBy("_b").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("words", none)))).alias("_words"), F.array_sort(F.collect_list(F.struct("tool", F.coalesce("co", none).alias("co")))).alias("x"))
-    sets = baskets.join(sets, "_b", "left").select("_b", "tools", F.coalesce("_words", none).alias("_words"), F.array_except(F.coalesce(F.array_distinct(F.flatten(F.transform("x", lambda x: x["co"]))), none), F.col("tools")).alias("_co"))
+    each = lookup(lookup(baskets.select("_b", F.explode("tools").alias("tool")), coded, ["tool"], n_left=n_tools), ranked, ["tool"], n_left=n_tools)
+    none, empty = F.array().cast("array<string>"), F.array().cast(kind)
+    sets = each.groupBy("_b").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("words", none)))).alias("_words"), F.collect_list("code").alias("_own"), F.array_sort(F.collect_list(F.struct("tool", F.coalesce("co", empty).alias("co")))).alias("x"))
+    sets = sets.select("_b", "_words", "_own", F.array_except(F.array_distinct(F.flatten(F.transform("x", lambda x: x["co"]))), "_own").alias("_co"))
+    sets = baskets.select("_b").join(sets, "_b", "left").select("_b", F.coalesce("_words", none).alias("_words"), F.coalesce("_own", empty).alias("_own"), F.coalesce("_co", empty).alias("_co"))
     sets = scratch.cut(sets, "sets")
     best = Window.partitionBy("_b").orderBy(F.desc("n"), "tool")
 
@@ -102,27 +112,29 @@ def like_baskets(baskets: DataFrame, catalog: DataFrame, co_occurrence: DataFram
         top = (top if most is None else top.filter(F.col("r") <= most)).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("r", "tool"))).alias("x")).select("_b", F.transform("x", lambda x: x["tool"]).alias("_like"))
         return scratch.cut(sets.drop("_words").join(top, "_b", "left").withColumn("_like", F.coalesce("_like", none)), "liked")
 
-    if fits_broadcast(names.count(), 512):
-        all_names = names.agg(F.array_sort(F.collect_list("tool")).alias("_names"))
-        mine = sets.crossJoin(F.broadcast(all_names)).select("_b", "_words", F.explode(F.array_except("_names", F.concat("tools", "_co"))).alias("tool"))
-        return first(mine.join(F.broadcast(names), "tool").select("_b", "tool", F.size(F.array_intersect("words", "_words")).alias("n")))
+    if small:
+        every = F.sequence(F.lit(0), F.lit(n_names - 1)) if n_names else empty
+        mine = sets.select("_b", "_words", F.explode(F.array_except(every, F.concat("_own", "_co"))).alias("code"))
+        got = first(mine.join(F.broadcast(coded), "code").select("_b", "tool", F.size(F.array_intersect("words", "_words")).alias("n")))
+        used = F.transform(F.slice("_co", 1, few), lambda p: F.get("_names", p))
+        return got.crossJoin(F.broadcast(all_names)).select("_b", used.alias("_co"), "_like")
     index = names.select("tool", F.explode("words").alias("word")).groupBy("word").agg(F.collect_list("tool").alias("of"))
     n_words = sets.agg(F.coalesce(F.sum(F.size("_words")), F.lit(0))).first()[0]
     shared = lookup(sets.select("_b", F.explode("_words").alias("word")), index, ["word"], n_left=n_words).select("_b", F.explode("of").alias("tool"), F.lit(1).alias("n"))
-    out = sets.select("_b", F.explode(F.concat("tools", "_co")).alias("tool"), F.lit(None).cast("int").alias("n"))  # these are out of the question
+    out = sets.select("_b", F.explode(F.concat("_own", "_co")).alias("tool"), F.lit(None).cast("int").alias("n"))  # these are out of the question
     score = shared.unionByName(out).groupBy("_b", "tool").agg(F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("out")).filter("not out")
     got = first(score)
     # where words don't suffice, the first names that are neither in the set nor found already
     lacks = F.lit(True) if most is None else F.size("_like") < most
-    seen = F.size("tools") + F.size("_co") + F.size("_like")
-    longest = got.filter(lacks).agg(F.max(seen)).first()[0]
+    longest = got.filter(lacks).agg(F.max(F.size("_own") + F.size("_co") + F.size("_like"))).first()[0]
+    done = got.select("_b", F.slice("_co", 1, few).alias("_co"), "_like")
     if longest is None:
-        return got
-    n_first = names.count() if most is None else longest + most
+        return done
+    n_first = n_names if most is None else longest + most
     head = names.select("tool").orderBy("tool").limit(n_first).agg(F.array_sort(F.collect_list("tool")).alias("_first"))  # no longer than the longest row's own arrays
-    more = F.array_except("_first", F.concat("tools", "_co", "_like"))
+    more = F.array_except("_first", F.concat("_own", "_co", "_like"))
     like = F.concat("_like", more) if most is None else F.when(lacks, F.slice(F.concat("_like", more), 1, most)).otherwise(F.col("_like"))
-    return got.crossJoin(F.broadcast(head)).withColumn("_like", like).drop("_first")
+    return got.crossJoin(F.broadcast(head)).select("_b", F.slice("_co", 1, few).alias("_co"), like.alias("_like"))
 
 
 def hard_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, co_occurrence: DataFrame, key: str = "record_id", n: int = 10, weights: tuple[float, float, float] = (0.4, 0.3, 0.3), seed: str = "neg", column: str = "negatives") -> DataFrame:
@@ -137,7 +149,7 @@ def hard_negatives(tasks: DataFrame, catalog: DataFrame, app_tools: DataFrame, c
     scratch, none = Scratch(tasks.sparkSession, "hard"), F.array().cast("array<string>")
     d = scratch.cut(tasks.withColumn("_b", F.md5(F.array_join("tools", "\u0001"))), "tasks")
     baskets = scratch.cut(d.groupBy("_b").agg(F.first("tools").alias("tools")), "baskets")
-    liked = scratch.cut(like_baskets(baskets, catalog, co_occurrence, a + s if s >= 0 else None, scratch).drop("tools"), "like")
+    liked = scratch.cut(like_baskets(baskets, catalog, co_occurrence, a + c, a + s if s >= 0 else None, scratch), "like")
     apps = app_tools.select("app", F.explode("tools").alias("tool")).join(catalog.select("tool").distinct(), "tool", "left_semi").groupBy("app").agg(F.array_sort(F.collect_list("tool")).alias("_app"))
     n_rows = d.count()
     d = lookup(lookup(d, liked, ["_b"], n_left=n_rows), apps, ["app"], n_left=n_rows)
